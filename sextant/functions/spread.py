@@ -160,3 +160,17 @@ def capped_shares(
             small, F.raise_error(F.lit("cap is infeasible for the number of rows"))).otherwise(F.col("_r")))
     share = F.when(F.col(value) > 0, F.least(F.col("_cap"), F.col(value) * F.col("_r"))).otherwise(F.lit(0.0))
     return joined.withColumn(out, share).drop("_r", "_cap")
+
+
+def symbol_order(df: DataFrame, column: str = "symbol", out: str = "_i") -> DataFrame:
+    """Distinct values of ``column`` with their position in sorted order from 0.
+
+    Positions are counted per leading-letters bucket first, so the distinct
+    values are never sorted in a single task.
+    """
+    names = df.select(column).distinct().withColumn("_b", F.substring(column, 1, 3))
+    counts = names.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_b").orderBy(column)) - 1
+    return names.join(offsets, "_b").select(column, (F.col("_before") + local).alias(out))

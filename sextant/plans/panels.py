@@ -88,12 +88,15 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.with_pos(cells, T.DAY)
 
 
-def calendar(panel: DataFrame) -> DataFrame:
-    """Distinct (ts, pos) of a panel."""
-    return panel.select("ts", "pos").distinct()
+def calendar(panel: DataFrame, step: int = T.DAY) -> DataFrame:
+    """Every bar (pos, ts) from the first to the last of the panel, also those without a row."""
+    offset = 4 * T.DAY if step == T.WEEK else 0
+    ends = panel.agg(F.min("pos").alias("a"), F.max("pos").alias("b")).filter("a IS NOT NULL")
+    bars = ends.select(F.explode(F.sequence("a", "b")).alias("pos"))
+    return bars.select("pos", T.from_epoch(F.col("pos") * step + offset).alias("ts"))
 
 
-def grid(panel: DataFrame, *columns: str) -> DataFrame:
-    """Every (ts, symbol) of the panel, absent cells as nulls in ``columns``."""
-    cells = calendar(panel).crossJoin(panel.select("symbol").distinct())
+def grid(panel: DataFrame, *columns: str, step: int = T.WEEK) -> DataFrame:
+    """Every (ts, symbol) of the panel's calendar, absent cells as nulls in ``columns``."""
+    cells = calendar(panel, step).crossJoin(panel.select("symbol").distinct())
     return cells.join(panel.select("pos", "symbol", *columns), ["pos", "symbol"], "left")
