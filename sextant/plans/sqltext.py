@@ -56,6 +56,8 @@ RETURNS = """rets AS (
 
 
 def query(*ctes: str, select: str, recursive: bool = False) -> str:
+    if not ctes:
+        return select
     head = "WITH RECURSIVE " if recursive else "WITH "
     return head + ",\n".join(ctes) + "\n" + select
 

@@ -39,7 +39,11 @@ def _cell(v):
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     out = [tuple(_cell(r[i]) for i in order) for r in rows]
-    return [columns[i] for i in order], sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
+    def key(row):
+        return tuple((isinstance(x, float), x is None, str(x)) for x in sorted(
+            row, key=lambda x: isinstance(x, float)))
+
+    return [columns[i] for i in order], sorted(out, key=key)
 
 
 def compare(spark_df, con, sql):
