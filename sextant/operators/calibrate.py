@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from sextant.functions import series as S
 from sextant.functions import spread as D
+from sextant.functions.stats import safe_corr
 from sextant.operators.signals import capped, legacy_cap
+from sextant.session import cut_lineage
 
 TARGET_FORECAST = 10.0
 
@@ -73,7 +75,7 @@ def rank_ic(fc: DataFrame, px: DataFrame, horizons: Sequence[int], keys: Sequenc
             F.col("value").isNotNull() & F.col("future").isNotNull())
         by = [*keys, "pos"]
         ranked = D.rank_within(D.rank_within(pairs, by, "value", "_rf"), by, "future", "_rr")
-        part = ranked.groupBy(*by).agg(F.corr("_rf", "_rr").alias("ic")).withColumn("horizon", F.lit(h))
+        part = ranked.groupBy(*by).agg(safe_corr("_rf", "_rr").alias("ic")).withColumn("horizon", F.lit(h))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -97,9 +99,8 @@ def row_corr(a: DataFrame, b: DataFrame, min_n: int = 5, keys: Sequence[str] = (
     ra = D.percentile_rank(a, [*keys, "pos"], "value", "_ra").select(*keys, "symbol", "pos", "_ra")
     rb = D.percentile_rank(b, ["pos"], "future", "_rb").select("symbol", "pos", "_rb")
     pairs = ra.join(rb, ["symbol", "pos"]).filter(F.col("_ra").isNotNull() & F.col("_rb").isNotNull())
-    return pairs.groupBy(*keys, "pos").agg(F.when(
-        (F.count(F.lit(1)) >= min_n) & (F.stddev_pop("_ra") > 0) & (F.stddev_pop("_rb") > 0),
-        F.corr("_ra", "_rb")).alias("ic"))
+    return pairs.groupBy(*keys, "pos").agg(
+        F.when(F.count(F.lit(1)) >= min_n, safe_corr("_ra", "_rb")).alias("ic"))
 
 
 def shrink_cap(weights: DataFrame, shrink: float, cap: float, by: Sequence[str] = (), raw: str = "weight") -> DataFrame:
@@ -122,12 +123,12 @@ def _wide(fc: DataFrame, rules: Sequence[str], keys: Sequence[str] = ("symbol",
 def _corr_table(wide: DataFrame, rules: Sequence[str], by: Sequence[str], column=F.col) -> DataFrame:
     """Pearson correlation per rule pair over complete pairs: (by, a, b, corr), null as 0, diagonal 1."""
     cols = {r: column(r) for r in rules}
-    aggs = [F.corr(F.when(cols[b].isNotNull(), cols[a]), F.when(cols[a].isNotNull(), cols[b])).alias(f"_{i}")
+    aggs = [safe_corr(cols[a], cols[b]).alias(f"_{i}")
             for i, (a, b) in enumerate(combinations(rules, 2))]
     table = wide.groupBy(*by).agg(*aggs, F.count(F.lit(1)).alias("_n"))
     cells = [F.struct(F.lit(r).alias("a"), F.lit(r).alias("b"), F.lit(1.0).alias("corr")) for r in rules]
     for i, (a, b) in enumerate(combinations(rules, 2)):
-        c = F.coalesce(F.nanvl(F.col(f"_{i}"), F.lit(None).cast("double")), F.lit(0.0)).alias("corr")
+        c = F.coalesce(F.col(f"_{i}"), F.lit(0.0)).alias("corr")
         cells += [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), c), F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), c)]
     return table.filter(F.col("_n") > 0).select(*by, F.explode(F.array(*cells)).alias("_c")).select(
         *by, "_c.a", "_c.b", "_c.corr")
@@ -146,8 +147,8 @@ def avg_ticker_corr(fc: DataFrame, rules: Sequence[str], least: int = 20) -> Dat
     complete = _wide(fc, rules).dropna(subset=list(rules))
     pairs = list(combinations(rules, 2))
     each = complete.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"), *[
-        F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)]).filter(F.col("_n") >= least)
-    table = each.agg(*[F.when(F.count_if(F.col(f"_{i}").isNull() | F.isnan(f"_{i}")) == 0, F.avg(f"_{i}")).alias(f"_{i}")
+        safe_corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)]).filter(F.col("_n") >= least)
+    table = each.agg(*[F.when(F.count_if(F.col(f"_{i}").isNull()) == 0, F.avg(f"_{i}")).alias(f"_{i}")
                        for i in range(len(pairs))])
     cells = [F.struct(F.lit(r).alias("a"), F.lit(r).alias("b"), F.lit(1.0).alias("corr")) for r in rules]
     for i, (a, b) in enumerate(pairs):
@@ -214,13 +215,17 @@ def calibration_path(fc: DataFrame, returns: DataFrame, refits: DataFrame, rules
     At each refit, on the rows before it only: scalars from pooled medians,
     scores from the capped scaled forecast times the return ``lag`` bars later,
     weights shrunk and capped, and the multiplier from the pooled correlation.
+    The forecasts, the refit table and the fitted scalars and weights are
+    checkpointed: each feeds several of these steps.
     """
+    fc, refits = cut_lineage(fc), cut_lineage(refits)
     history = in_history(fc, refits)
     if fixed_scalars is None:
         scalars = pooled_scalars(history, ("refit", "rule"))
     else:
         table = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(s)).alias("scalar")) for r, s in fixed_scalars.items()])
         scalars = refits.select("refit", F.inline(table))
+    scalars = cut_lineage(scalars)
     if fit_weights:
         # the paired return has to be known before the refit; the cap needs the refit's own scalar
         later = returns.select("symbol", (F.col("pos") - lag).alias("pos"), F.col("ret").alias("_r"))
@@ -230,7 +235,7 @@ def calibration_path(fc: DataFrame, returns: DataFrame, refits: DataFrame, rules
         scores = _scores(pnl, ["refit", "rule"]).withColumnRenamed("score", "weight")
     else:
         scores = scalars.select("refit", "rule", F.lit(1.0).alias("weight"))
-    weights = shrink_cap(scores, shrink, cap, ["refit"]).select("refit", "rule", "weight")
+    weights = cut_lineage(shrink_cap(scores, shrink, cap, ["refit"]).select("refit", "rule", "weight"))
     corr = history_corr(fc, refits, rules, scalars, cap_forecast)
     multiplier = fdm(weights, corr, cap_fdm, ["refit"])
     return scalars.join(weights, ["refit", "rule"]).join(multiplier, "refit").select("refit", "rule", "scalar", "weight", "fdm")
@@ -276,18 +281,19 @@ def ic_weights(fc: DataFrame, px: DataFrame, refits: DataFrame, calendar: DataFr
     A bar counts only if its outcome of ``h + 1`` bars ended before the refit.  The
     daily correlations are computed once; refits average that small table.
     """
+    fc, refits = cut_lineage(fc), cut_lineage(refits)
     following = px.select("symbol", (F.col("pos") - 1).alias("pos"), F.col(value).alias("_next"))
     scores = None
     for h in horizons:
         ahead = future_returns(following.withColumnRenamed("_next", "close"), h)
-        daily = row_corr(fc, ahead, min_n, ["rule"])
+        daily = cut_lineage(row_corr(fc, ahead, min_n, ["rule"]))
         part = in_history(daily, refits, before=h + 1).groupBy("refit", "rule").agg(F.avg("ic").alias("ic"))
         scores = part if scores is None else scores.unionByName(part)
     table = F.array(*[F.lit(r) for r in rules])
     every = refits.select("refit", F.explode(table).alias("rule"))
     mean = every.join(scores.groupBy("refit", "rule").agg(F.avg("ic").alias("_m")), ["refit", "rule"], "left")
     raw = mean.withColumn("weight", F.greatest(F.coalesce("_m", F.lit(0.0)), F.lit(0.0))).drop("_m")
-    fitted = shrink_cap(raw, shrink, cap, ["refit"])
+    fitted = cut_lineage(shrink_cap(cut_lineage(raw), shrink, cap, ["refit"]))
     return step_path(fitted, calendar, refits, {"weight": 1.0 / len(rules)}, smooth=smooth, normalise="weight")
 
 
@@ -405,7 +411,7 @@ def forecast_blend(a: DataFrame, b: DataFrame, refits: DataFrame, calendar: Data
     x = a.select("ts", "symbol", "pos", F.col("f").alias("_a")).join(
         b.select("symbol", "pos", F.col("f").alias("_b")), ["symbol", "pos"])
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    c = in_history(x.filter(both), refits).groupBy("refit").agg(F.coalesce(F.corr("_a", "_b"), F.lit(0.0)).alias("corr"))
+    c = in_history(x.filter(both), refits).groupBy("refit").agg(safe_corr("_a", "_b").alias("corr"))
     c = refits.select("refit").join(c, "refit", "left").withColumn("corr", F.coalesce("corr", F.lit(0.0)))
     path = step_path(c, calendar, refits, {"corr": 0.0}, keys=())
     var = 0.5 + 0.5 * F.col("corr")

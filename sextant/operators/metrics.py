@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sextant.functions import series as S
 from sextant.functions import spread as D
 from sextant.functions import timeaxis as T
-from sextant.functions.dedupe import keep_first
+from sextant.functions.stats import safe_corr
 from sextant.operators.accounting import BARS_PER_YEAR, equity_and_drawdown
 
 ROOT = math.sqrt(365)
@@ -84,7 +84,7 @@ def rich_metrics(daily: DataFrame, bench: DataFrame, by: Sequence[str] = ()) ->
         (F.stddev_samp(down) * ROOT).alias("_down"), F.avg((F.col("net") > 0).cast("double")).alias("positive_day_rate"),
         F.sum("fee").alias("fees"), F.sum("slippage").alias("slippage"),
         _over(F.covar_samp("net", "_b"), F.var_samp("_b")).alias("bench_beta"),
-        F.corr("net", "_b").alias("bench_correlation"))
+        safe_corr("net", "_b").alias("bench_correlation"))
     weeks = compound(x, "week", by).groupBy(*by).agg(F.min("ret").alias("worst_week"))
     months = compound(x, "month", by).groupBy(*by).agg(F.min("ret").alias("worst_month"))
     tail = D.quantiles(x, by, "net", {"_q": 0.05})
@@ -112,13 +112,12 @@ def rolling_metrics(daily: DataFrame, bench: DataFrame, windows: Sequence[int],
             def enough(c, v):
                 return F.when(F.count(c).over(t) >= need, v)
 
-            paired = F.when(F.col("_both") == 1, F.col("net"))
             return {
                 "annual_return": enough("net", F.avg("net").over(t) * 365),
                 "annual_volatility": enough("net", F.stddev_samp("net").over(t) * ROOT),
                 "bench_beta": _over(enough("_both", F.covar_samp("net", "_b").over(t)),
                                     enough("_b", F.var_samp("_b").over(t))),
-                "bench_correlation": enough("_both", F.corr(paired, F.col("_b")).over(t)),
+                "bench_correlation": enough("_both", safe_corr("net", "_b", t)),
                 "annual_turnover": enough("turnover", F.avg("turnover").over(t) * 365),
                 "funding_return": enough("funding", F.sum("funding").over(t)),
             }
@@ -195,7 +194,7 @@ def compare(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     both = x.groupBy(*by).agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("observations"),
-        F.corr("net", "bench").alias("correlation"), _over(F.covar_samp("net", "bench"), F.var_samp("bench")).alias("beta"))
+        safe_corr("net", "bench").alias("correlation"), _over(F.covar_samp("net", "bench"), F.var_samp("bench")).alias("beta"))
     out = _left(_left(both, side("net", "portfolio"), by), side("bench", "benchmark"), by)
     return out.withColumn("excess", F.col("portfolio_cumulative_return") - F.col("benchmark_cumulative_return"))
 

@@ -49,15 +49,15 @@ def perf_metrics(spark, sf):
 
 @register("h02_drawdown", Q.query(*BASE, """src AS (
   SELECT strategy || ':returns' AS symbol, ts, pos, net AS v FROM perf WHERE net IS NOT NULL
-  UNION ALL SELECT strategy || ':equity', ts, pos, 1 + turnover FROM perf),
+  UNION ALL SELECT strategy || ':equity', ts, pos, 1 + round(turnover, 6) FROM perf),
 k AS (SELECT symbol, arg_min(v, pos) > 0.5 AS eq FROM src GROUP BY symbol),
 e AS (SELECT src.*, CASE WHEN eq THEN v ELSE product(1 + v) OVER (PARTITION BY symbol ORDER BY pos) END AS equity FROM src JOIN k USING (symbol))""",
-    select="SELECT ts, symbol, round(equity, 9) AS equity, round(equity / max(equity) OVER (PARTITION BY symbol ORDER BY pos) - 1, 6) AS drawdown FROM e"))
+    select="SELECT ts, symbol, round(equity, 6) AS equity, round(equity / max(equity) OVER (PARTITION BY symbol ORDER BY pos) - 1, 9) AS drawdown FROM e"))
 def drawdown(spark, sf):
     p = perf(spark, sf)
     src = p.select(F.concat("strategy", F.lit(":returns")).alias("symbol"), "ts", "pos", F.col("net").alias("v")).unionByName(
-        p.select(F.concat("strategy", F.lit(":equity")).alias("symbol"), "ts", "pos", (1 + F.col("turnover")).alias("v")))
-    return M.drawdown(src, "v").select("ts", "symbol", r6("equity", 9).alias("equity"), r6("drawdown").alias("drawdown"))
+        p.select(F.concat("strategy", F.lit(":equity")).alias("symbol"), "ts", "pos", (1 + r6("turnover")).alias("v")))
+    return M.drawdown(src, "v").select("ts", "symbol", r6("equity").alias("equity"), r6("drawdown", 9).alias("drawdown"))
 
 
 SPLITS = """splits AS (SELECT 'early' AS split, min(ts) AS start, TIMESTAMP '1998-01-01' AS stop FROM panel
