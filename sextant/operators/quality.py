@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sextant.functions import series as S
 from sextant.functions import spread as D
 from sextant.functions import timeaxis as T
+from sextant.session import cut_lineage
 from sextant.sources.readers import patch_panel
 
 # Bar length in seconds by frequency label.
@@ -98,37 +99,35 @@ def missing_cells(df: DataFrame, starts: DataFrame, freq: str, required, value:
     return expected.join(df.filter(F.col(value).isNotNull()).select("symbol", "ts"), ["symbol", "ts"], "left_anti")
 
 
-def coverage_report(df: DataFrame, required_symbols: DataFrame, starts: DataFrame, freq: str, required,
-                    allowed: DataFrame | None = None, value: str = "close") -> DataFrame:
-    """One row: required, present and fresh symbols, gaps, what is confirmed, and whether it may be published."""
+def coverage_by_symbol(df: DataFrame, required_symbols: DataFrame, starts: DataFrame, freq: str, required,
+                       allowed: DataFrame | None = None, value: str = "close") -> DataFrame:
+    """Per required symbol: present, fresh, duplicates, missing cells and how many of them are confirmed."""
     due = T.ntz(required)
     want = required_symbols.select("symbol").distinct()
     panel = df.join(want, "symbol", "left_semi")
-    # a symbol without valid rows up to the due date still counts as present if it has rows
     per = panel.groupBy("symbol").agg(
         F.max(F.when(F.col(value).isNotNull() & (F.col("ts") <= due), F.col("ts"))).alias("_last"),
-        (F.count(F.lit(1)) - F.countDistinct("ts")).alias("_dup"), F.lit(True).alias("_present"))
+        (F.count(F.lit(1)) - F.countDistinct("ts")).alias("duplicates"), F.lit(True).alias("present"))
     valid = panel.filter(F.col(value).isNotNull()).select("symbol").distinct()
     gaps = missing_cells(panel, starts.join(valid, "symbol", "left_semi"), freq, required, value)
-    if allowed is None:
-        marked = gaps.withColumn("_ok", F.lit(False))
-    else:
-        marked = gaps.join(allowed.select("symbol", "ts", F.lit(True).alias("_a")), ["symbol", "ts"], "left").withColumn(
-            "_ok", F.coalesce("_a", F.lit(False))).drop("_a")
-    counts = marked.groupBy("symbol").agg(F.count(F.lit(1)).alias("_gaps"), F.count_if("_ok").alias("_confirmed"))
+    known = (allowed if allowed is not None else gaps.limit(0)).select("symbol", "ts", F.lit(True).alias("_a"))
+    counts = gaps.join(known, ["symbol", "ts"], "left").groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("missing_cells"), F.count("_a").alias("confirmed"))
     x = want.join(per, "symbol", "left").join(counts, "symbol", "left")
-    fresh = F.coalesce(F.col("_last") >= due, F.lit(False))
-    out = x.agg(
-        F.count(F.lit(1)).alias("required"), F.count_if(F.coalesce("_present", F.lit(False))).alias("present"),
-        F.count_if(fresh).alias("fresh"),
-        F.array_sort(F.collect_list(F.when(~fresh, F.col("symbol")))).alias("missing_latest"),
-        F.coalesce(F.sum("_gaps"), F.lit(0)).alias("missing_cells"), F.coalesce(F.sum("_confirmed"), F.lit(0)).alias("confirmed"),
-        F.coalesce(F.sum("_dup"), F.lit(0)).alias("duplicates"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(
-            F.col("_gaps") > 0, F.struct("symbol", "_gaps"))))).alias("gaps"))
-    out = out.withColumn("unresolved", F.col("missing_cells") - F.col("confirmed"))
-    return out.withColumn("is_publishable", (F.col("required") > 0) & (F.col("present") == F.col("required")) & (
-        F.size("missing_latest") == 0) & (F.col("unresolved") == 0) & (F.col("duplicates") == 0))
+    zero = F.lit(0).cast("bigint")
+    return x.select("symbol", F.coalesce("present", F.lit(False)).alias("present"),
+                    F.coalesce(F.col("_last") >= due, F.lit(False)).alias("fresh"),
+                    *[F.coalesce(c, zero).alias(c) for c in ("duplicates", "missing_cells", "confirmed")])
+
+
+def coverage_report(by_symbol: DataFrame) -> DataFrame:
+    """One row: counts over the required symbols and whether the panel may be published."""
+    x = by_symbol.agg(
+        F.count(F.lit(1)).alias("required"), F.count_if("present").alias("present"), F.count_if("fresh").alias("fresh"),
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("missing_cells", "confirmed", "duplicates")])
+    x = x.withColumn("unresolved", F.col("missing_cells") - F.col("confirmed"))
+    return x.withColumn("is_publishable", (F.col("required") > 0) & (F.col("present") == F.col("required")) & (
+        F.col("fresh") == F.col("required")) & (F.col("unresolved") == 0) & (F.col("duplicates") == 0))
 
 
 def first_gap(df: DataFrame, starts: DataFrame, freq: str, required=None, value: str = "close") -> DataFrame:
@@ -307,13 +306,13 @@ def splice_history(main: DataFrame, earlier: DataFrame, overlap: int = 7, max_er
     a = main.filter(F.col("close").isNotNull()).select("ts", "symbol", "pos", "close")
     b = earlier.filter(F.col("close").isNotNull()).select("ts", "symbol", "pos", F.col("close").alias("_e"))
     both = a.join(b.select("symbol", "pos", "_e"), ["symbol", "pos"]).withColumn("_r", F.col("close") / F.nullif(F.col("_e"), F.lit(0.0)))
-    both = S.running(both, {"_k": ("count", F.lit(1), True)}).filter(F.col("_k") <= overlap)
+    both = cut_lineage(S.running(both, {"_k": ("count", F.lit(1), True)}).filter(F.col("_k") <= overlap))
     n = both.groupBy("symbol").agg(F.count("_r").alias("_n"))
     ratio = D.quantiles(both, ["symbol"], "_r", {"ratio": 0.5})
     error = D.quantiles(both.join(ratio, "symbol").withColumn("_x", F.abs(F.col("_r") / F.nullif(F.col("ratio"), F.lit(0.0)) - 1)),
                         ["symbol"], "_x", {"_err": 0.5})
-    good = n.join(ratio, "symbol").join(error, "symbol").filter(
-        (F.col("_n") >= overlap) & (F.col("ratio") > 0) & (F.col("_err") <= max_error)).select("symbol", "ratio")
+    good = cut_lineage(n.join(ratio, "symbol").join(error, "symbol").filter(
+        (F.col("_n") >= overlap) & (F.col("ratio") > 0) & (F.col("_err") <= max_error)).select("symbol", "ratio"))
     first = a.groupBy("symbol").agg(F.min("pos").alias("_first"))
     older = b.join(first, "symbol").filter(F.col("pos") < F.col("_first")).join(good, "symbol").select(
         "ts", "symbol", "pos", (F.col("_e") * F.col("ratio")).alias("close"), F.lit(False).alias("tradable"), "ratio")
