@@ -536,3 +536,11 @@ def alignment(spark, sf):
     end = df.agg(F.max("pos").alias("pos"))
     latest = df.join(end, "pos").filter("f IS NOT NULL").select("symbol", F.col("f").alias("signal"))
     return G.alignment(nation_book(spark, sf), latest).select("symbol", r6("notional", 4).alias("notional"), r6("signal").alias("signal"), "aligned")
+
+
+@register("a13_funding_totals", Q.query(*CBASE, held_sql("daily", name="hd"), FDETAIL, select="""
+SELECT model, round(coalesce(sum(funding) FILTER (funding < 0), 0), 8) AS paid, round(coalesce(sum(funding) FILTER (funding > 0), 0), 8) AS received, round(sum(funding), 8) AS net FROM detail GROUP BY model"""))
+def funding_totals(spark, sf):
+    from sextant.sources.ledger import funding_totals as totals
+    detail = G.funding_detail(two_models(spark, sf), calendar(spark, sf), order_funding(spark, sf))
+    return shown(totals(G.funding_summary(detail)), "model", digits=8, paid="paid", received="received", net="net")
