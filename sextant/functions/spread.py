@@ -4,7 +4,7 @@ The groups are cross-sections (all symbols at one ``ts``) or pooled samples (all
 rows of a rule).  Values are cut into order-preserving buckets that depend on
 the value alone, the buckets are counted with map-side aggregation, and only
 one bucket at a time is sorted, so a group that holds a third of the rows is
-still spread over many tasks.
+still spread over many tasks.  Group keys must not be null.
 """
 
 from __future__ import annotations

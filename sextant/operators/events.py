@@ -239,6 +239,6 @@ def extremum_recall(events: DataFrame, bars: DataFrame, sig: DataFrame, tail: in
 
 def event_breakdown(rows: DataFrame, dims: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Event statistics by symbol and each value of several dimensions: (symbol, dim, level, ...)."""
-    levels = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("level")) for d in dims])
+    levels = F.array(*[F.struct(F.lit(d).alias("dim"), F.coalesce(F.col(d).cast("string"), F.lit("missing")).alias("level")) for d in dims])
     x = rows.withColumn("_d", F.explode(levels)).select("*", "_d.dim", "_d.level").drop("_d")
     return event_stats(x, [*keys, "dim", "level"])

@@ -186,7 +186,7 @@ def extremum_recall(spark, sf):
     return shown(df, "symbol", "extrema", recall="recall")
 
 
-@register("j12_event_breakdown", Q.query(*FULL, """lv AS (SELECT s.*, unnest(['volume_group', 'flow_aligned', 'bench_bull', 'vol_high']) AS dim, unnest([volume_group, flow_aligned::VARCHAR, bench_bull::VARCHAR, vol_high::VARCHAR]) AS level FROM study s)""",
+@register("j12_event_breakdown", Q.query(*FULL, """lv AS (SELECT s.*, unnest(['volume_group', 'flow_aligned', 'bench_bull', 'vol_high']) AS dim, unnest([volume_group, flow_aligned::VARCHAR, coalesce(bench_bull::VARCHAR, 'missing'), vol_high::VARCHAR]) AS level FROM study s)""",
     recursive=True, select=stats_sql("symbol, dim, level", "lv")))
 def event_breakdown(spark, sf):
     df = J.event_breakdown(study(spark, sf), ("volume_group", "flow_aligned", "bench_bull", "vol_high"))
