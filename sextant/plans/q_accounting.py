@@ -14,6 +14,7 @@ from sextant.plans import sqltext as Q
 from sextant.plans.q_signals import frame
 from sextant.plans.q_xsection import NEUTRAL, RANKS, SIG
 from sextant.plans.registry import r6, register, shown
+from sextant.session import cut_lineage
 
 DPANEL = (Q.DAILY, "panel AS (SELECT ts, symbol, close, pos FROM bars)", Q.RETURNS, SIG, RANKS, NEUTRAL,
           "nt AS (SELECT ts, symbol, pos, round(w, 12) AS w FROM neutral)")
@@ -63,12 +64,13 @@ CBASE = (*DPANEL, CAL, held_sql("weekly"), Q.FUNDING, DAYCLOSE, COEF, EVFUND, CO
 
 def daily_signals(spark, sf):
     df = X.pct_change(P.daily_panel(spark, sf))
-    return X.pct_change(df, k=4, out="f").withColumn("f", F.col("f") * 10)
+    return cut_lineage(X.pct_change(df, k=4, out="f").withColumn("f", F.col("f") * 10))
 
 
 def neutral(spark, sf):
     """Dollar-neutral weights; the rounding makes a zero weight exactly zero on both engines."""
-    return C.dollar_neutral(C.xs_percentile(daily_signals(spark, sf))).withColumn("w", r6("w", 12))
+    ranked = cut_lineage(C.xs_percentile(daily_signals(spark, sf)))
+    return cut_lineage(C.dollar_neutral(ranked).withColumn("w", r6("w", 12)))
 
 
 def calendar(spark, sf):
@@ -98,7 +100,7 @@ def coefficients(spark, sf):
 def order_funding(spark, sf):
     """Event funding laid over the order symbols and days, so that both panels meet."""
     from sextant.functions.spread import symbol_order
-    coef = coefficients(spark, sf)
+    coef = cut_lineage(coefficients(spark, sf))
     names = symbol_order(coef)
     ours = symbol_order(P.daily_panel(spark, sf)).withColumnRenamed("symbol", "_s")
     start = coef.agg(F.min("pos").alias("_p0"))
@@ -111,7 +113,9 @@ def open_returns(spark, sf):
 
 
 def contribution(spark, sf, freq="weekly"):
-    return G.asset_contribution(held(spark, sf, freq), calendar(spark, sf), open_returns(spark, sf), order_funding(spark, sf))
+    """The contribution table, written once for the state, the checks and the attributions that read it."""
+    return cut_lineage(G.asset_contribution(
+        held(spark, sf, freq), calendar(spark, sf), open_returns(spark, sf), order_funding(spark, sf)))
 
 
 @register("g01_size_positions", Q.query(*DPANEL, f"""d AS (

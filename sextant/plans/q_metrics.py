@@ -9,6 +9,7 @@ from sextant.operators import signals as X
 from sextant.plans import panels as P
 from sextant.plans import sqltext as Q
 from sextant.plans.registry import r6, register, shown
+from sextant.session import cut_lineage
 
 PERF = """perf AS (
   SELECT r.ts, r.symbol AS strategy, r.pos, round(r.ret / 20, 9) AS net, p.volume / 10000 AS turnover,
@@ -22,9 +23,9 @@ dd AS (SELECT *, equity / max(equity) OVER (PARTITION BY strategy ORDER BY pos)
 
 def perf(spark, sf):
     df = X.pct_change(P.weekly_panel(spark, sf))
-    return df.select("ts", F.col("symbol").alias("strategy"), "pos", r6(F.col("ret") / 20, 9).alias("net"),
+    return cut_lineage(df.select("ts", F.col("symbol").alias("strategy"), "pos", r6(F.col("ret") / 20, 9).alias("net"),
                      (F.col("volume") / 10000).alias("turnover"), r6(F.col("ret") / 1000, 9).alias("funding"),
-                     (F.col("volume") / 100000).alias("fee"), (F.col("volume") / 200000).alias("slippage"))
+                     (F.col("volume") / 100000).alias("fee"), (F.col("volume") / 200000).alias("slippage")))
 
 
 def bench(spark, sf):

@@ -18,6 +18,7 @@ from sextant.plans import q_xsection as QX
 from sextant.plans import sqltext as Q
 from sextant.plans.q_signals import HORIZONS, frame, region_pairs
 from sextant.plans.registry import r6, register, shown
+from sextant.session import cut_lineage
 from sextant.streaming import candles as Z
 
 HIST = (*QX.BASE, QX.NEUTRAL, """srs AS (SELECT symbol, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(365) AS standalone_sr FROM rets GROUP BY symbol),
@@ -27,12 +28,12 @@ hist AS (SELECT r.ts, r.symbol, r.pos, r.close AS price, r.f AS absolute_forecas
 
 
 def history(spark, sf):
-    """Ticker history of the weekly panel."""
-    s = C.dollar_neutral(C.xs_percentile(QX.signals(spark, sf))).withColumn("w", r6("w", 12))
+    """Ticker history of the weekly panel, materialised as the snapshot job would."""
+    s = cut_lineage(C.dollar_neutral(cut_lineage(C.xs_percentile(QX.signals(spark, sf)))).withColumn("w", r6("w", 12)))
     sr = s.groupBy("symbol").agg((F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0)) * F.sqrt(F.lit(365.0))).alias("standalone_sr"))
     pick = lambda c: s.select("ts", "symbol", c.alias("value"))
-    return N.ticker_history({"price": pick(F.col("close")), "absolute_forecast": pick(F.col("f")), "rank": pick(F.col("p")), "xsec_signal": pick(F.col("w")),
-                             "target_weight": pick(F.col("w") * 2), "held_weight": pick(F.col("w") * 1.5)}, sr, 100_000.0)
+    return cut_lineage(N.ticker_history({"price": pick(F.col("close")), "absolute_forecast": pick(F.col("f")), "rank": pick(F.col("p")), "xsec_signal": pick(F.col("w")),
+                             "target_weight": pick(F.col("w") * 2), "held_weight": pick(F.col("w") * 1.5)}, sr, 100_000.0))
 
 
 @register("k01_ticker_history", Q.query(*HIST, select="""
@@ -62,7 +63,7 @@ def records(spark, sf):
 
 
 SELECTED = "symbol, side, round(absolute_forecast, 6) AS absolute_forecast, round(rank, 6) AS rank, round(standalone_sr, 6) AS standalone_sr"
-LAST = "cur AS (SELECT * FROM hist WHERE ts = (SELECT max(ts) FROM hist WHERE absolute_forecast IS NOT NULL))"
+LAST = "cur AS (SELECT * FROM hist WHERE ts = (SELECT max(ts) FROM hist WHERE absolute_forecast IS NOT NULL) AND absolute_forecast IS NOT NULL)"
 
 
 def last_history(spark, sf):

@@ -14,6 +14,7 @@ from sextant.plans import panels as P
 from sextant.plans import sqltext as Q
 from sextant.plans.q_signals import BETA, frame
 from sextant.plans.registry import register, shown
+from sextant.session import cut_lineage
 
 N = 8
 
@@ -33,10 +34,10 @@ neutral AS (SELECT ts, symbol, pos, f, coalesce(x / nullif(sum(abs(x)) OVER (PAR
 
 
 def signals(spark, sf):
-    """(ts, symbol, pos, close, ret, f, vol)."""
+    """(ts, symbol, pos, close, ret, f, vol), written once: ranks and totals read it several times."""
     df = X.pct_change(P.weekly_panel(spark, sf))
     df = X.pct_change(df, k=4, out="f").withColumn("f", F.col("f") * 10)
-    return X.causal_vol(df, N)
+    return cut_lineage(X.causal_vol(df, N))
 
 
 def with_beta(df):
