@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,8 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            # adding zero turns the negative zero of a rounded small number into zero, as Spark has it
+            ORACLE[name] = re.sub(r"\bround\(", "0.0 + round(", sql)
         return fn
 
     return add

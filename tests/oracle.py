@@ -26,7 +26,7 @@ def _cell(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return None if math.isnan(v) else v + 0.0
+        return None if math.isnan(v) else v
     if isinstance(v, bool):
         return v
     if hasattr(v, "item"):
@@ -40,7 +40,7 @@ def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     out = [tuple(_cell(r[i]) for i in order) for r in rows]
     def key(row):
-        return tuple((isinstance(x, float), x is None, str(x)) for x in sorted(
+        return tuple((isinstance(x, float), x is None, str(x + 0.0 if isinstance(x, float) else x)) for x in sorted(
             row, key=lambda x: isinstance(x, float)))
 
     return [columns[i] for i in order], sorted(out, key=key)
@@ -58,7 +58,7 @@ def compare(spark_df, con, sql):
         return "oracle yields Decimal", len(mine[1])
     if len(mine[1]) != len(theirs[1]):
         return f"rows {len(mine[1])} != {len(theirs[1])}", len(mine[1])
-    bad = [(a, b) for a, b in zip(mine[1], theirs[1]) if a != b or [type(x) for x in a] != [type(x) for x in b]]
+    bad = [(a, b) for a, b in zip(mine[1], theirs[1]) if repr(a) != repr(b)]
     if bad:
         return f"{len(bad)} of {len(mine[1])} rows differ, {mine[0]} e.g.\n    {bad[0][0]}\n    {bad[0][1]}", len(mine[1])
     return None, len(mine[1])
