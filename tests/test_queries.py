@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_only_hash_based_sampling_has_no_sql():
-    assert set(E.queries()) - set(E.oracle_sql()) == {"f17_random_signs", "j09_cluster_bootstrap"}
+    assert set(E.registry.QUERIES) - set(E.registry.ORACLE) == {"f17_random_signs", "j09_cluster_bootstrap"}
 
 
 def test_hash_based_queries_are_deterministic(spark):
