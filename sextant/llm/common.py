@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,15 @@ def word_count(text: Column) -> Column:
     return (F.size(parts) - blank_ends).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row.
+
+    A value in a column of its own is computed again wherever the optimizer moves its
+    definition, in a lambda even per element; a value bound here is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one the cluster names in
     ``spark.checkpoint.dir``. Only a local session that names none gets a temporary one."""

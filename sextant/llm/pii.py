@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import fresh
+from sextant.llm.common import fresh, let
 
 ROUNDS = 8
 KEY = "change-me"
@@ -37,11 +37,6 @@ FIRST_DAY = "1900-01-01"
 DAYS = (270, 271)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _random(key: str, kind: str, *parts: Column) -> Column:
     """60 keyed pseudo-random bits of ``parts``."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), *[p.cast("string") for p in parts]), 256)
@@ -241,16 +236,19 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text") -> tuple[D
     IPv4 addresses. Null and empty texts stay as they are with count 0. Other columns pass
     through, whatever their names; repeated rows change alike.
     """
-    found, parts, count = fresh(docs, "found", "parts", "count")
-    body = F.col(text)
-    likely = body.rlike(r"\d|@|password=")
-    out = docs.withColumn(found, F.when(likely, F.regexp_extract_all(body, F.lit(ANY), 0)).otherwise(
-        F.array().cast("array<string>")))
-    out = out.withColumn(parts, F.when(F.size(found) > 0, F.split(body, ANY, -1)))
-    changed = F.transform(F.col(found), lambda m, i: F.concat(pseudonym(m, key), F.get(F.col(parts), i + 1)))
-    replaced = F.when(F.size(found) > 0, F.concat(F.get(F.col(parts), F.lit(0)), F.array_join(changed, ""))).otherwise(body)
-    return out.select(*[replaced.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
-                      F.coalesce(F.size(found), F.lit(0)).cast("long").alias(count)), count
+    body, done, count = F.col(text), *fresh(docs, "done", "count")
+    nothing = F.struct(body.alias("text"), F.lit(0).alias("n"))
+
+    def replaced(found: Column) -> Column:
+        return F.when(F.size(found) == 0, nothing).otherwise(let(F.split(body, ANY, -1), lambda parts: F.struct(
+            F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(
+                found, lambda m, i: F.concat(pseudonym(m, key), F.get(parts, i + 1))), "")).alias("text"),
+            F.size(found).alias("n"))))
+
+    out = docs.withColumn(done, F.when(body.rlike(r"\d|@|password="), let(
+        F.regexp_extract_all(body, F.lit(ANY), 0), replaced)).otherwise(nothing))
+    return out.select(*[F.col(f"{done}.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
+                      F.col(f"{done}.n").cast("long").alias(count)), count
 
 
 def report(docs: DataFrame, key: str = KEY) -> DataFrame:

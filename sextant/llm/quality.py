@@ -7,12 +7,13 @@ without a shuffle and without Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import SPACES, fresh, words
+from sextant.llm.common import let, words
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -74,52 +75,51 @@ def _covered(starts: Column) -> Column:
         F.lit(0), lambda acc, x: acc + x)
 
 
-def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` plus the measured counts, all long and never null.
+def measures(text: Column, check: Callable[[Column], Column]) -> Column:
+    """``check`` of the measured counts of a text: a struct of long fields, never null.
 
     n_words, word_chars (code points in words), n_symbols, n_lines (lines with a word),
     n_dup_lines (those equal to an earlier line), n_stop_words, n_repeat_words (words under
     3-word windows that occur twice or more). A null, empty or blank text counts zero
-    everywhere. ``prefix`` goes before the new names; callers with own columns of these
-    names use it.
+    everywhere. Everything is one expression whose intermediate arrays are bound once, so a
+    filter on it may be moved freely.
     """
-    w, lines, h, by_hash, starts, body = fresh(docs, "w", "lines", "h", "by_hash", "starts", "body")
-    one = docs.withColumn(body, F.coalesce(F.col(text), F.lit("")))
-    one = one.withColumns({
-        w: words(F.col(body)),
-        lines: F.filter(F.split(F.col(body), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-    })
-    one = one.withColumn(h, _windows(F.col(w)))
-    # sorting is left out where no window is repeated
-    one = one.withColumn(by_hash, F.when(
-        F.size(F.array_distinct(F.col(h))) < F.size(F.col(h)),
-        F.sort_array(F.transform(F.col(h), lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
-    one = one.withColumn(starts, _twins(F.col(by_hash)))
-    measured = {
-        "n_words": F.size(w),
-        "word_chars": F.aggregate(F.col(w), F.lit(0), lambda acc, x: acc + F.length(x)),
-        "n_symbols": F.size(F.split(F.col(body), SYMBOLS)) - 1,
-        "n_lines": F.size(lines),
-        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(F.col(lines))),
-        "n_stop_words": F.size(F.filter(F.col(w), lambda x: x.isin(*STOP_WORDS))),
-        "n_repeat_words": F.coalesce(_covered(F.col(starts)), F.lit(0)),
-    }
-    return one.select(*docs.columns, *[c.cast("long").alias(prefix + n) for n, c in measured.items()])
-
-
-def base_failed(prefix: str = "") -> Column:
-    n, repeated = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
-    return (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
-
-
-def verdict(rules: tuple[Rule, ...] = RULES, prefix: str = "") -> Column:
-    """One boolean column for a rule table; a ratio without a denominator breaks no rule.
+    body = F.coalesce(text, F.lit(""))
+
+    def repeated(h: Column) -> Column:
+        # sorting is left out where no window is repeated
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(
+            F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))),
+            lambda by_hash: let(_twins(by_hash), _covered)))
+
+    def counted(w: Column, lines: Column) -> Column:
+        fields = {
+            "n_words": F.size(w),
+            "word_chars": F.aggregate(w, F.lit(0), lambda acc, x: acc + F.length(x)),
+            "n_symbols": F.size(F.split(body, SYMBOLS)) - 1,
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_stop_words": F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))),
+            "n_repeat_words": let(_windows(w), repeated),
+        }
+        return F.struct(*[c.cast("long").alias(n) for n, c in fields.items()])
+
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return let(words(body), lambda w: let(lines, lambda x: let(counted(w, x), check)))
+
+
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+
+
+def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """One boolean for a rule table; a ratio without a denominator breaks no rule.
 
     Bounds are compared as ``numerator >= low * denominator``, so nothing is divided.
     """
     ok = F.lit(True)
     for rule in rules:
-        top, bottom = F.col(prefix + rule.numerator), F.col(prefix + rule.denominator)
+        top, bottom = m[rule.numerator], m[rule.denominator]
         if rule.low is not None:
             ok = ok & (top >= F.lit(rule.low) * bottom)
         if rule.high is not None:
@@ -129,13 +129,13 @@ def verdict(rules: tuple[Rule, ...] = RULES, prefix: str = "") -> Column:
 
 def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """(doc_id, counts, base_failed, kept) of every row; repeated rows are assessed one by one."""
-    out = measure(docs.select("doc_id", F.col(text).alias("text")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
-                      "n_stop_words", base_failed().alias("base_failed"),
-                      (~base_failed() & verdict(rules)).alias("kept"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
+    found = measures(F.col(text), lambda m: F.struct(
+        *[m[c].alias(c) for c in counts], base_failed(m).alias("base_failed"),
+        (~base_failed(m) & verdict(m, rules)).alias("kept")))
+    return docs.select("doc_id", found.alias("m")).select("doc_id", "m.*")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass; its columns as they are, whatever their names."""
-    prefix = fresh(docs, "quality")[0] + "_"
-    return measure(docs, text, prefix).filter(~base_failed(prefix) & verdict(rules, prefix)).select(*docs.columns)
+    return docs.filter(measures(F.col(text), lambda m: ~base_failed(m) & verdict(m, rules)))
