@@ -158,7 +158,8 @@ def linear_recurrence(
     ``specs`` maps ``y`` to its columns ``(a, b)``, ``0 < a <= 1``.  Inside a block
     the recurrence is a running sum of ``b`` over the running product of ``a``;
     blocks are joined by the last ``reach`` block summaries, beyond which the
-    remaining factor is under double precision.
+    remaining factor is under double precision.  Blocks without rows have no
+    summary, so every summary stands for at least one step along the series.
     """
     base = df.withColumn("_blk", _block(block))
     w = Window.partitionBy(*keys, "_blk").orderBy("pos")
@@ -212,37 +213,47 @@ def ewma(
     from the first value.  ``min_bars[out]`` values are needed before a mean shows.
     """
     need = dict(min_bars or {})
-    values = sorted({value for value, _ in specs.values()})
-    prior = {}
-    for value in values:
-        seen = F.when(F.col(value).isNotNull(), F.col("pos"))
-        prior[f"_p_{value}"] = ("last", seen, False)
-        prior[f"_n_{value}"] = ("count", F.col(value), True)
-    out = running(df, prior, keys=keys, block=block)
+    out = df
+    for value in sorted({value for value, _ in specs.values()}):
+        mine = {name: span for name, (v, span) in specs.items() if v == value}
+        out = out.join(_means_of(df, value, mine, adjust, keys, block), [*keys, "pos"], "left")
+    # rows without a value repeat the last mean
+    carried = {f"_y_{name}": ("last", f"_y_{name}", True) for name in specs}
+    carried |= {f"_n_{value}": ("last", f"_n_{value}", True) for value, _ in specs.values()}
+    out = running(out, carried, keys=keys, block=block)
+    kept = [c for c in df.columns if c not in specs]
+    return out.select(*kept, *[
+        F.when(F.col(f"_n_{value}") >= max(1, need.get(name, 1)), F.col(f"_y_{name}")).alias(name)
+        for name, (value, _) in specs.items()])
+
+
+def _means_of(df: DataFrame, value: str, spans: Mapping[str, float], adjust: bool, keys: Sequence[str],
+              block: int) -> DataFrame:
+    """(keys, pos, _n_{value}, _y_{name}) of the rows that hold ``value``.
+
+    Only rows with a value take part: however long a run of nulls is, its age is in the
+    factor of the next value and it takes no block of its own.
+    """
+    seen = df.filter(F.col(value).isNotNull()).select(*keys, "pos", F.col(value).alias("_x"))
+    seen = running(seen, {"_p": ("last", F.col("pos"), False), "_n": ("count", F.col("_x"), True)}, keys=keys, block=block)
     recur: dict[str, tuple[str, str]] = {}
     steepest, slowest = 0.0, math.inf
-    for name, (value, span) in specs.items():
+    gap, first = F.col("pos") - F.col("_p"), F.col("_p").isNull()
+    for name, span in spans.items():
         alpha = 2.0 / (span + 1.0)
         decay = -math.log1p(-alpha) if alpha < 1 else 40.0
         steepest, slowest = max(steepest, decay), min(slowest, decay)
-        x, gap = F.col(value), F.col("pos") - F.col(f"_p_{value}")
         aged = F.exp(gap * F.lit(-decay))
-        begins = x.isNull() | F.col(f"_p_{value}").isNull()
         keep = aged if adjust else aged / (aged + F.lit(alpha))
-        out = out.withColumn(f"_a_{name}", F.when(begins, F.lit(1.0)).otherwise(keep))
-        share = F.lit(1.0) if adjust else F.when(
-            F.col(f"_p_{value}").isNull(), F.lit(1.0)).otherwise(1 - F.col(f"_a_{name}"))
-        out = out.withColumn(f"_b_{name}", F.when(x.isNull(), F.lit(0.0)).otherwise(share * x))
+        seen = seen.withColumn(f"_a_{name}", F.when(first, F.lit(1.0)).otherwise(keep))
+        share = F.lit(1.0) if adjust else F.when(first, F.lit(1.0)).otherwise(1 - F.col(f"_a_{name}"))
+        seen = seen.withColumn(f"_b_{name}", share * F.col("_x"))
         recur[f"_y_{name}"] = (f"_a_{name}", f"_b_{name}")
         if adjust:
-            out = out.withColumn(f"_w_{name}", F.when(x.isNull(), F.lit(0.0)).otherwise(F.lit(1.0)))
+            seen = seen.withColumn(f"_w_{name}", F.lit(1.0))
             recur[f"_d_{name}"] = (f"_a_{name}", f"_w_{name}")
     width = max(1, min(block, int(DECAY_RANGE / steepest)))
     reach = 2 * math.ceil(40.0 / (width * slowest)) + 1
-    out = linear_recurrence(out, recur, keys=keys, block=width, reach=reach)
-    kept = [c for c in df.columns if c not in specs]
-    final = []
-    for name, (value, _) in specs.items():
-        mean = F.col(f"_y_{name}") / F.col(f"_d_{name}") if adjust else F.col(f"_y_{name}")
-        final.append(F.when(F.col(f"_n_{value}") >= max(1, need.get(name, 1)), mean).alias(name))
-    return out.select(*kept, *final)
+    out = linear_recurrence(seen, recur, keys=keys, block=width, reach=reach)
+    mean = {n: F.col(f"_y_{n}") / F.nullif(F.col(f"_d_{n}"), F.lit(0.0)) if adjust else F.col(f"_y_{n}") for n in spans}
+    return out.select(*keys, "pos", F.col("_n").alias(f"_n_{value}"), *[c.alias(f"_y_{n}") for n, c in mean.items()])
