@@ -1,15 +1,17 @@
 """Exact n-gram Jaccard join: fixed-size subsets for small sets, inverted lists for large ones.
 
-Equal sets are one class. Every class gives its smallest hashes as a prefix, longer than a
-prefix filter needs; counts over all classes say how many share each of them, and a class
-keeps only its rarest ones: as many as leave, with any class it links to, at least one in
-common (inverted lists) or two (subsets). So a passage that many documents share is dropped
-as long as it makes up less than a third of a document, and hot lists hardly arise.
-
-Small sets enumerate pairs of the kept hashes, large sets read the list of each one; the size
-at which this changes is where the summed costs of all sets are least. Within a list, members
-are compared with one hub after the other, and only with members that are not yet connected
-to it, until a list holds one component; no list is expanded into all its pairs.
+A first filter reads every text once. Each document keeps its smallest hashes, more than a
+prefix filter needs, and counts over all documents say which of them are shared; a document
+that shares too few to reach any link is done. So a passage that many documents share leaves
+no trace as long as it makes up less than a third of a document.
+
+The rest is joined by size. Equal sets are one class. Shingles are counted again over the
+whole sets of these classes, and each class keeps its rarest ones: as many as leave, with any
+class it links to, at least one in common (inverted lists) or two (subsets). Small sets
+enumerate pairs of them, large sets read the list of each one; the size at which this changes
+is where the summed costs of all sets are least. Within a list, members are compared with one
+hub after the other, and only with members that are not yet connected to it, until a list
+holds one component; no list is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ WORDS = 5
 # similarity threshold as a fraction: intersection * 5 >= union * 4
 NUMERATOR, DENOMINATOR = 4, 5
 EXTRA_SHARE = 10  # a prefix is longer than necessary by n / EXTRA_SHARE hashes
-HUB_ROUNDS = 4
+HUB_ROUNDS = 6
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,35 +110,45 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in S.blocks(batch.column("text")):
             texts = len(offsets) - 1
             n, prints, bounds, grams = _set_columns(data, offsets)
-            raw = grams.tobytes()
             same = (prints[0] == batch.column("f1").slice(at, texts).to_numpy()) & (
                 prints[1] == batch.column("f2").slice(at, texts).to_numpy())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node").slice(at, texts), pa.array(
-                    [raw[8 * a:8 * b] if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], same, strict=True)],
-                    pa.binary())], ["node", "hashes"])
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(grams.view(np.int64)))
+            found = pa.RecordBatch.from_arrays([batch.column("node").slice(at, texts), lists], ["node", "hashes"])
+            yield found.filter(pa.array(same))
             at += texts
 
 
-def _probes(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, n, token, df, place, need, purity): the rarest shared prefix hashes of each class.
+def _candidates(signed: DataFrame) -> DataFrame:
+    """(row) of the documents whose shared prefix hashes suffice for a link."""
+    postings = signed.select("row", F.explode("prefix").alias("token"))
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1).select("token")
+    held = postings.join(shared, "token").groupBy("row").agg(F.count(F.lit(1)).alias("held"))
+    sizes = signed.select("row", "n", F.size("prefix").alias("length"))
+    return held.join(sizes, "row").filter(_needed(F.col("length") - F.col("held")) > 0).select("row")
+
+
+def _needed(alone: Column) -> Column:
+    """Shared hashes to look at so that every linked class is met, given those shared with none."""
+    least = F.floor((F.col("n") * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR)
+    return F.col("n") - least + 1 - alone
+
+
+def _probes(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, n, token, df, place, need, purity): the rarest shared hashes of each class.
 
     ``need`` of them reach every linked class by one common hash; one more, by two. A class
-    whose unshared prefix hashes already exceed what a link may miss has no row.
+    whose unshared hashes already exceed what a link may miss has no row.
     """
-    postings = classes.select("node", F.explode("prefix").alias("token"))
+    postings = sets.select("node", F.explode("hashes").alias("token"))
     counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
     held = postings.join(counts, "token")
     by_class = Window.partitionBy("node")
     held = held.select("node", "token", "df", F.count(F.lit(1)).over(by_class).alias("held"),
                        F.row_number().over(by_class.orderBy("df", "token")).alias("place"))
-    sizes = classes.select("node", "n", F.size("prefix").alias("length"))
-    held = held.join(sizes, "node")
-    least = F.floor((F.col("n") * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR)
-    alone = F.col("length") - F.col("held")
-    need = F.col("n") - least + 1 - alone
-    held = held.select("node", "n", "token", "df", "place", need.cast("int").alias("need"),
-                       F.floor(alone * 1000 / F.col("length")).cast("int").alias("purity"))
+    held = held.join(sets.select("node", F.size("hashes").alias("n")), "node")
+    alone = F.col("n") - F.col("held")
+    held = held.select("node", "n", "token", "df", "place", _needed(alone).cast("int").alias("need"),
+                       F.floor(alone * 1000 / F.col("n")).cast("int").alias("purity"))
     return scratch.keep(held.filter((F.col("need") > 0) & (F.col("place") <= F.col("need") + 1)), "probes")
 
 
@@ -176,7 +188,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = []
         for left, right in zip(batch.column("h1"), batch.column("h2"), strict=True):
-            a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (left, right))
+            a, b = (x.values.to_numpy().view(np.uint64) for x in (left, right))
             short, long = (a, b) if len(a) <= len(b) else (b, a)
             at = np.minimum(np.searchsorted(long, short), len(long) - 1)
             both = int(np.count_nonzero(long[at] == short))
@@ -188,17 +200,20 @@ def _sizes_fit(n: Column, m: Column) -> Column:
     return F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR
 
 
+def hash_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, hashes) of the given classes, from the text of one document each."""
+    d = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash")).alias("d")
+    w = classes.select("node", "doc_id", "text_hash", "f1", "f2").alias("w")
+    texts = w.join(d, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash")))
+    found = texts.select("node", "f1", "f2", "d.text").mapInArrow(_sets, "node bigint, hashes array<bigint>")
+    return found.groupBy("node").agg(F.any_value("hashes").alias("hashes"))  # repeated rows
+
+
 class _Linker:
-    """Verified links between classes; hash sets are read once per class that is compared."""
+    """Verified links between classes."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, members: DataFrame, scratch: Scratch):
-        self.scratch, self.round = scratch, 0
-        compared = members.select("node").distinct()
-        wanted = classes.select("node", "doc_id", "text_hash", "f1", "f2").join(compared, "node")
-        d, w = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash")).alias("d"), wanted.alias("w")
-        texts = w.join(d, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash")))
-        sets = texts.select("node", "f1", "f2", "d.text").mapInArrow(_sets, "node bigint, hashes binary")
-        self.sets = scratch.keep(sets.filter(F.col("hashes").isNotNull()).dropDuplicates(["node"]), "sets")
+    def __init__(self, sets: DataFrame, scratch: Scratch):
+        self.sets, self.scratch, self.round = sets, scratch, 0
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """(u, v) of the given pairs whose sets link."""
@@ -223,17 +238,17 @@ def _split_lists(members: DataFrame) -> DataFrame:
     return members.join(mixed, "key")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+def link_classes(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) of every class that links to another one.
 
     Lists are worked off hub by hub: the hub, the member with the fewest hashes of its own,
     is compared with all members of other components and leaves the list. After a few rounds
     the lists that still hold several components are compared across components.
     """
-    probes = _probes(classes, scratch)
+    probes = _probes(sets, scratch)
     members = scratch.keep(_members(probes, _boundary(probes)), "members0")
     members = scratch.keep(_split_lists(members.withColumn("label", F.col("node"))).drop("label"), "members1")
-    linker = _Linker(docs, classes, members, scratch)
+    linker = _Linker(sets, scratch)
     labels, edges = None, None
     for turn in range(HUB_ROUNDS + 1):
         rows = scratch.keep(_split_lists(_with_labels(members, labels)), f"lists{turn}")
@@ -255,7 +270,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataF
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges, scratch, f"labels{turn}_")
     if labels is None:
-        return classes.select("node", F.col("node").alias("label")).limit(0)
+        return sets.select("node", F.col("node").alias("label")).limit(0)
     return labels
 
 
@@ -270,22 +285,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "ngram")
     docs = docs.select("doc_id", "text")
-    signed = scratch.keep(signatures(docs), "signed")
-    narrow = scratch.keep(signed.drop("prefix"), "narrow")
-    classes = signed.filter(F.col("n") > 0).groupBy("f1", "f2", "n").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("m"),
-        F.any_value("prefix").alias("prefix"))
-    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "n",
-                                          F.col("m.doc_id").alias("doc_id"), F.col("m.text_hash").alias("text_hash"), "prefix"),
-                           "classes")
+    signed = scratch.keep(signatures(docs).withColumn("row", F.monotonically_increasing_id()), "signed")
+    narrow = signed.drop("prefix")
+    candidates = scratch.keep(_candidates(signed.filter(F.col("n") > 1)), "candidates")
+    narrow = scratch.keep(narrow, "narrow")
     scratch.drop("signed")
-    labels = link_classes(docs, classes, scratch)
+    classes = narrow.filter(F.col("n") > 0).groupBy("f1", "f2").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("m"))
+    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2",
+                                          F.col("m.doc_id").alias("doc_id"), F.col("m.text_hash").alias("text_hash")), "classes")
+    compared = narrow.join(candidates, "row").select("f1", "f2").distinct()
+    sets = scratch.keep(hash_sets(docs, classes.join(compared, ["f1", "f2"])), "sets")
+    labels = link_classes(sets, scratch)
     named = classes.select("node", "f1", "f2", "doc_id").join(labels, "node")
     lowest = named.groupBy("label").agg(F.min("doc_id").alias("lowest"))
     linked = named.join(lowest, "label").select("f1", "f2", "lowest")
     own = classes.select("f1", "f2", F.col("doc_id").alias("own"))
     final = own.join(linked, ["f1", "f2"], "left").select("f1", "f2", F.coalesce("lowest", "own").alias("lowest"), F.lit(1).alias("known"))
-    return narrow.join(final, ["f1", "f2"], "left").select(
+    return narrow.drop("row").join(final, ["f1", "f2"], "left").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"))
 
