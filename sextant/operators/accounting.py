@@ -25,9 +25,12 @@ ASOF_BLOCK = 2 * 90 * T.DAY
 
 def size_positions(df: DataFrame, *, value: float, target: float, freq: str, lookback: int,
                    max_leverage: float | None = None, f: str = "f") -> DataFrame:
-    """Forecast to units and notional: (f / 10) x per-bar risk / deviation of price differences."""
+    """Forecast to units and notional: (f / 10) x per-bar risk / deviation of price differences.
+
+    A series with fewer prices than ``lookback`` uses as many as it has.
+    """
     risk = value * target / math.sqrt(BARS_PER_YEAR.get(freq, 365))
-    vol = diff_vol(df, lookback, out="_vol", backfill=True)
+    vol = diff_vol(df, lookback, out="_vol", backfill=True, shorten=True)
     units = vol.withColumn("_u", F.coalesce(F.col(f), F.lit(0.0)) / 10.0 * (risk / F.col("_vol")))
     units = ffill(units, "_u", "units").withColumn("units", F.coalesce("units", F.lit(0.0)))
     out = units.withColumn("notional", F.col("units") * F.col("close"))

@@ -146,14 +146,21 @@ def with_context(outcomes: DataFrame, bars: DataFrame, baseline: DataFrame, free
 
 
 def nearest_pivot(events: DataFrame, bars: DataFrame, reach: int = 3) -> DataFrame:
-    """Nearest ex-post extremum of the event's kind within ``reach`` bars: pivot_match, pivot_lag."""
+    """Nearest ex-post extremum of the event's kind within ``reach`` bars: pivot_match, pivot_lag.
+
+    The last ``reach`` bars of a series cannot be judged; their pivot_match is null.
+    """
     flags = bars.select("symbol", F.col("pos").alias("_at"), "trough", "peak")
     x = events.select("symbol", "pos", "direction").withColumn(
         "_off", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("_at", F.col("pos") + F.col("_off"))
     near = x.join(flags, ["symbol", "_at"]).filter(F.when(F.col("direction") > 0, F.col("trough")).otherwise(F.col("peak")))
     best = near.groupBy("symbol", "pos").agg(F.min_by("_off", F.struct(F.abs("_off"), F.col("_off"))).alias("_off"))
-    return events.join(best, ["symbol", "pos"], "left").withColumn("pivot_match", F.col("_off").isNotNull()).withColumn(
-        "pivot_lag", -F.col("_off")).drop("_off")
+    late = Window.partitionBy("symbol").orderBy(F.desc("pos"))
+    judged = bars.select("symbol", F.col("pos").alias("_last"), F.row_number().over(late).alias("_back")).filter(
+        F.col("_back") <= reach + 1).filter(F.col("_back") == reach + 1).drop("_back")
+    return events.join(best, ["symbol", "pos"], "left").join(judged, "symbol", "left").withColumn(
+        "pivot_match", F.when(F.col("pos") <= F.col("_last"), F.col("_off").isNotNull())).withColumn(
+        "pivot_lag", -F.col("_off")).drop("_off", "_last")
 
 
 def event_stats(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -172,8 +179,10 @@ def event_stats(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     mid = (p + z * z / (2 * n)) / (1 + z * z / n)
     rad = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     x = x.withColumn("wilson_low", mid - rad).withColumn("wilson_high", mid + rad).withColumn("uplift", p - F.col("base_hit"))
-    medians = D.quantiles(rows, keys, "net", {"median_net": 0.5})
-    return x.join(medians, list(keys), "left") if keys else x.crossJoin(medians)
+    for value, name in (("net", "median_net"), ("pivot_lag", "median_pivot_lag")):
+        medians = D.quantiles(rows, keys, value, {name: 0.5})
+        x = x.join(medians, list(keys), "left") if keys else x.crossJoin(medians)
+    return x
 
 
 def cluster_bootstrap(rows: DataFrame, keys: Sequence[str], draws: int = 1000, least: int = 6, seed: int = 1729) -> DataFrame:
@@ -190,7 +199,8 @@ def cluster_bootstrap(rows: DataFrame, keys: Sequence[str], draws: int = 1000, l
     blocks = D.with_totals(blocks, list(keys), months=F.count(F.lit(1))).filter(F.col("months") >= least)
     spots = blocks.select(*keys, "months", F.col("_i").alias("_spot")).withColumn(
         "_draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    spots = spots.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "_draw", "_spot", *keys), F.col("months")).cast("int"))
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(seed), "_draw", "_spot", *keys)), 1, 8)
+    spots = spots.withColumn("_i", (F.conv(digits, 16, 10).cast("bigint") % F.col("months")).cast("int"))
     sums = spots.join(blocks.drop("months"), [*keys, "_i"]).groupBy(*keys, "months", "_draw").agg(
         (F.sum("_w") / F.sum("_n")).alias("_hit"), (F.sum("_u") / F.sum("_n")).alias("_up"))
     a = D.quantiles(sums, [*keys, "months"], "_hit", {"cluster_low": 0.025, "cluster_high": 0.975})

@@ -278,16 +278,26 @@ def reconcile_accounting(state: DataFrame, positions: DataFrame, keys: Sequence[
 
 def table_digest(df: DataFrame) -> DataFrame:
     """Digest of the content of a table, whatever the order of its rows."""
-    row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    names = sorted(df.columns)
+    # the hash passes over nulls, so their places are hashed too
+    row = F.xxhash64(F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in names]), *[F.col(c) for c in names])
     x = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("_x"), F.sum(row.cast("decimal(38,0)")).alias("_s"))
     return x.select("n", F.sha2(F.concat_ws("|", "n", F.coalesce("_x", F.lit(0)).cast("string"),
                                             F.coalesce("_s", F.lit(0)).cast("string")), 256).alias("digest"))
 
 
 def config_id(fields: Sequence[str] | Mapping[str, Column]) -> Column:
-    """First 20 hex digits of the SHA-256 of canonical JSON; keys sorted, NaN and infinity as null."""
+    """First 20 hex digits of the SHA-256 of canonical JSON; keys sorted, NaN and infinity as null, null keys kept."""
     cols = {f: F.col(f) for f in fields} if not isinstance(fields, Mapping) else dict(fields)
-    return F.substring(F.sha2(F.to_json(F.struct(*[cols[n].alias(n) for n in sorted(cols)])), 256), 1, 20)
+    record = F.struct(*[_json_safe(cols[n]).alias(n) for n in sorted(cols)])
+    return F.substring(F.sha2(F.to_json(record, {"ignoreNullFields": "false"}), 256), 1, 20)
+
+
+def _json_safe(x: Column) -> Column:
+    """Null for a floating point value that JSON cannot hold; other types as they are."""
+    value = x.try_cast("double")
+    odd = F.typeof(x).isin("double", "float") & (F.isnan(value) | (F.abs(value) == float("inf")))
+    return F.when(~F.coalesce(odd, F.lit(False)), x)
 
 
 def finite(x: Column) -> Column:

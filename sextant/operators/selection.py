@@ -340,3 +340,47 @@ def best_run(runs: DataFrame, metric_schema: str = "net_sharpe double, max_drawd
     """Runs with their metrics JSON expanded, the best net Sharpe first; the first row is the best run."""
     x = runs.select("*", F.from_json("metrics_json", metric_schema).alias("_m")).select(*runs.columns, "_m.*")
     return x.orderBy(F.desc_nulls_last("net_sharpe"), "run_id").limit(1)
+
+
+# fixed values: the volatility windows, refit schedules, weightings and name forms in use
+VOL_WINDOWS = (60, 90, 180, 360)
+SCHEDULE = "(quarterly|semiannual|annual|frozen)"
+WEIGHTING = "(shrink_75|shrink_80_primary|shrink_90)"
+# pattern of a name up to its volatility suffix, and what its fields are: a text, or the number of a group
+NAME_FORMS = (
+    ("ts_equal", {"rule_weights": "equal", "refit": "quarterly_scalars"}),
+    (f"ts_{WEIGHTING}_{SCHEDULE}", {"rule_weights": 1, "refit": 2}),
+    ("breakout_carver5_equal_causal_fdm", {
+        "method": "carver_fixed_scalars_equal", "fdm_mode": "causal_expanding", "refit": "quarterly"}),
+    ("breakout_carver5_equal_fixed_fdm", {"method": "carver_fixed_scalars_equal", "fdm_mode": "fixed_1.20", "refit": "quarterly"}),
+    (f"breakout_crypto_equal_{SCHEDULE}", {
+        "method": "crypto_expanding_scalars_equal", "fdm_mode": "causal_expanding", "refit": 1}),
+    (f"breakout_crypto_{WEIGHTING}_{SCHEDULE}", {
+        "method": "crypto_expanding_scalars_shrunk_weights", "weight_spec": 1, "fdm_mode": "causal_expanding", "refit": 2}),
+)
+CONFIG_FIELDS = ("rule_weights", "method", "weight_spec", "fdm_mode", "refit")
+
+
+def model_config(df: DataFrame, name: str = "model", strict: bool = True) -> DataFrame:
+    """The typed configuration that a model name stands for: text fields and volatility_window.
+
+    A name of no known form, or with a window that is not in use, raises an error; with
+    ``strict`` off its fields are null and ``supported`` is false.
+    """
+    text = F.coalesce(F.col(name), F.lit(""))
+    window = F.nullif(F.regexp_extract(text, r"_vol(\d{1,9})$", 1), F.lit("")).cast("int")
+    used = F.coalesce(window.isin(*VOL_WINDOWS), F.lit(False))
+    fields = {f: F.lit(None).cast("string") for f in CONFIG_FIELDS}
+    supported = F.lit(False)
+    for form, values in NAME_FORMS:
+        pattern = f"^{form}_vol\\d+$"
+        fits = used & text.rlike(pattern)
+        supported = supported | fits
+        for field, value in values.items():
+            shown = F.regexp_extract(text, pattern, value) if isinstance(value, int) else F.lit(value)
+            fields[field] = F.coalesce(fields[field], F.when(fits, shown))
+    out = df.withColumn("supported", supported)
+    if strict:
+        refused = F.raise_error(F.concat(F.lit("unsupported model name: "), text)).cast("boolean")
+        out = out.withColumn("supported", F.when(F.col("supported"), F.lit(True)).otherwise(refused))
+    return out.withColumns(fields).withColumn("volatility_window", F.when(F.col("supported"), window))

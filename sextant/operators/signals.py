@@ -61,16 +61,34 @@ def causal_vol(df: DataFrame, lookback: int, out: str = "vol", periods: int = DA
         out: S.rolling_std("_ret", lookback, w) * math.sqrt(periods)}, before=lookback - 1).drop("_ret")
 
 
-def diff_vol(df: DataFrame, lookback: int, out: str = "vol", backfill: bool = False) -> DataFrame:
+def diff_vol(df: DataFrame, lookback: int, out: str = "vol", backfill: bool = False, shorten: bool = False) -> DataFrame:
     """Trailing deviation of price differences from half a window on, zero as null.
 
     ``backfill`` fills the warm-up from later bars, which looks ahead, then fills
-    forward and with 1e-8; only the bot path sizes positions that way.
+    forward and with 1e-8; only the bot path sizes positions that way. ``shorten``
+    cuts the window of a series with fewer prices to their number.
     """
     diffs = S.over_bars(df, lambda w: {"_d": F.col("close") - S.at("close", -1, w)}, before=1)
+    if shorten:
+        counts = df.filter(F.col("close").isNotNull()).groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
+        diffs = diffs.join(counts.filter(F.col("_n") < lookback), "symbol", "left")
+    else:
+        diffs = diffs.withColumn("_n", F.lit(None).cast("bigint"))
+    # the few bars of a short series are gathered per bar; other series gather nothing
+    few = F.when(F.col("_n").isNotNull() & F.col("_d").isNotNull(), F.struct("pos", "_d"))
     vol = S.over_bars(diffs, lambda w: {
-        out: F.nullif(S.rolling_std("_d", lookback, w, max(2, lookback // 2)), F.lit(0.0))
-    }, before=lookback - 1).drop("_d")
+        out: S.rolling_std("_d", lookback, w, max(2, lookback // 2)),
+        "_few": F.collect_list(few).over(S.trailing(w, lookback))}, before=lookback - 1)
+    length = F.greatest(F.lit(2), F.col("_n"))
+    near = F.transform(F.filter("_few", lambda x: x["pos"] > F.col("pos") - length), lambda x: x["_d"])
+    vol = vol.withColumn("_few", near)
+    n = F.size("_few")
+    mean = F.aggregate("_few", F.lit(0.0), lambda acc, x: acc + x) / F.nullif(n, F.lit(0))
+    vol = vol.withColumn("_mean", mean)
+    spread = F.sqrt(F.aggregate("_few", F.lit(0.0), lambda acc, x: acc + F.pow(x - F.col("_mean"), F.lit(2.0))) / F.nullif(n - 1, F.lit(0)))
+    short = F.when(n >= F.greatest(F.lit(2), F.floor(length / 2)), spread)
+    vol = vol.withColumn(out, F.nullif(F.when(F.col("_n").isNotNull(), short).otherwise(F.col(out)), F.lit(0.0))).drop(
+        "_d", "_n", "_few", "_mean")
     if not backfill:
         return vol
     turned = vol.withColumn("pos", -F.col("pos"))

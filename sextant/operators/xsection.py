@@ -275,7 +275,8 @@ def benchmark_weights(df: DataFrame, kind: str, *, benchmark: str = "", fdv: Dat
         order = D.symbol_order(df)
         return normalised(df.join(order, "symbol"), live * F.when(F.col("_i") % 2 == 0, 1.0).otherwise(-1.0)).drop("_i")
     if kind == "random_sign":
-        coin = F.pmod(F.xxhash64("ts", "symbol", F.lit(seed)), F.lit(2))
+        digits = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "symbol")), 1, 8)
+        coin = F.conv(digits, 16, 10).cast("bigint") % 2
         return normalised(df, live * F.when(coin == 0, 1.0).otherwise(-1.0))
     raise ValueError(f"unknown benchmark {kind!r}")
 

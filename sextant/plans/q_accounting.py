@@ -131,6 +131,25 @@ def size_positions(spark, sf):
     return shown(df, "ts", "symbol", notional="notional", units="units")
 
 
+SHORT = 700  # bars; most suppliers have fewer
+
+
+@register("g01_size_positions_short", Q.query(Q.POSITIONS, f"""pz AS (SELECT ts, symbol, pos, value AS close, greatest(least(quantity, 20), -20)::DOUBLE AS f FROM positions),
+cn AS (SELECT symbol, count(close) AS n FROM pz GROUP BY symbol),
+d AS (SELECT s.*, s.close - q.close AS d, least({SHORT}, greatest(2, n)) AS look FROM pz s JOIN cn USING (symbol)
+  LEFT JOIN pz q ON q.symbol = s.symbol AND q.pos = s.pos - 1),
+v0 AS (SELECT a.ts, a.symbol, a.pos, a.close, a.f, nullif(CASE WHEN count(b.d) >= greatest(2, a.look // 2) THEN stddev_samp(b.d) END, 0) AS raw
+  FROM d a JOIN d b ON b.symbol = a.symbol AND b.pos > a.pos - a.look AND b.pos <= a.pos GROUP BY a.ts, a.symbol, a.pos, a.close, a.f, a.look),
+v AS (SELECT *, coalesce(
+  first_value(raw IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+  last_value(raw IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1e-8) AS dv FROM v0)""", select="""
+SELECT ts, symbol, round(f / 10 * (1000 * 0.2::DOUBLE / sqrt(365) / dv), 6) AS units FROM v"""))
+def size_positions_short(spark, sf):
+    x = P.positions(spark, sf).select("ts", "symbol", "pos", F.col("value").alias("close"),
+                                      F.greatest(F.least("quantity", F.lit(20.0)), F.lit(-20.0)).alias("f"))
+    return shown(G.size_positions(x, value=1000.0, target=0.2, freq="1d", lookback=SHORT), "ts", "symbol", units="units")
+
+
 @register("g02_rebalance_calendar", Q.query(*DPANEL[:2], CAL, mask_sql("daily"), mask_sql("weekly"), mask_sql("monthly"), select="\nUNION ALL ".join(
     f"SELECT ts, '{f}' AS freq, rebalance FROM mask_{f}" for f in ("daily", "weekly", "monthly"))))
 def rebalance_calendar(spark, sf):
@@ -153,8 +172,7 @@ def held_positions(spark, sf):
     return out
 
 
-FX = """fxr AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS ts, count(*) / 10::DOUBLE AS rate FROM orders
-  WHERE o_orderstatus = 'F' AND day(o_orderdate) % 3 = 0 GROUP BY 1)"""
+FX = """fxr AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS ts, count(*) / 10::DOUBLE AS rate FROM orders GROUP BY 1)"""
 
 
 @register("g04_position_pnl", Q.query(*DPANEL, FX, """p0 AS (
@@ -166,7 +184,7 @@ SELECT p2.ts, p2.symbol, round(position, 6) AS position, round(trade, 6) AS trad
 FROM p2 ASOF LEFT JOIN fxr ON fxr.ts <= p2.ts"""))
 def position_pnl(spark, sf):
     df = daily_signals(spark, sf)
-    orders = P.table(spark, sf, "orders").filter((F.col("o_orderstatus") == "F") & (F.dayofmonth("o_orderdate") % 3 == 0))
+    orders = P.table(spark, sf, "orders")
     fx = orders.groupBy(T.day(F.col("o_orderdate")).alias("ts")).agg((F.count(F.lit(1)) / 10.0).alias("rate"))
     pnl = G.position_pnl(df, df.select("symbol", "pos", F.col("f").alias("position")), fx=fx)
     return shown(pnl, "ts", "symbol", position="position", trade="trade", pnl="pnl", pnl_base="pnl_base")
@@ -226,14 +244,14 @@ def funding_coefficients(spark, sf):
 
 
 QUANT = """quant AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, event_type AS symbol, arg_max(user_id, (ts, event_id))::DOUBLE - 75 AS quantity
-  FROM events WHERE event_id % 3 = 0 GROUP BY ALL)"""
+  FROM events GROUP BY ALL)"""
 SETTLED = """settled AS (SELECT f.symbol, f.funding_time, f.funding_rate, f.mark_price, coalesce(q.quantity, 0) AS quantity,
     coalesce(q.quantity, 0) * mark_price * funding_rate AS cost
   FROM (SELECT * FROM funding WHERE mark_price IS NOT NULL) f ASOF LEFT JOIN quant q ON q.symbol = f.symbol AND q.ts < f.funding_time)"""
 
 
 def quantities(spark, sf):
-    ev = P.table(spark, sf, "events").filter(F.col("event_id") % 3 == 0)
+    ev = P.table(spark, sf, "events")
     return ev.groupBy(T.floor_to(F.col("ts"), T.HOUR).alias("hour"), F.col("event_type").alias("symbol")).agg(
         F.max_by("user_id", F.struct("ts", "event_id")).alias("u")).select(
         F.col("hour").alias("ts"), "symbol", (F.col("u").cast("double") - 75).alias("quantity"))
@@ -286,11 +304,11 @@ def backfill_summary(spark, sf):
 
 ACTUAL = """actual AS (SELECT event_id::VARCHAR AS transaction_id, event_type AS symbol,
     date_trunc('day', ts)::TIMESTAMP + to_hours((hour(ts) // 8 * 8)::INTEGER) AS ts,
-    (value - 50) * (CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END) AS income FROM events WHERE event_id % 5 = 0)"""
+    (value - 50) * (CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END) AS income FROM events)"""
 
 
-def actual(spark, sf, rest=0, div=5):
-    ev = P.table(spark, sf, "events").filter(F.col("event_id") % div == rest)
+def actual(spark, sf):
+    ev = P.table(spark, sf, "events")
     return ev.select(F.col("event_id").cast("string").alias("transaction_id"), F.col("event_type").alias("symbol"),
                      T.floor_to(F.col("ts"), 8 * T.HOUR).alias("ts"),
                      ((F.col("value") - 50) * F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1)).alias("income"))
@@ -314,7 +332,7 @@ def reconcile_funding(spark, sf):
 ARCHIVE = """both_sources AS (
   SELECT event_id::VARCHAR AS transaction_id, event_type AS symbol, date_trunc('day', ts)::TIMESTAMP + to_hours((hour(ts) // 8 * 8)::INTEGER) AS ts,
     (value - 50) * (CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END) AS income,
-    CASE WHEN event_id % 4 = 0 THEN 'recent' ELSE 'archive' END AS source FROM events WHERE event_id % 4 = 0 OR event_id % 6 = 0),
+    CASE WHEN ts >= TIMESTAMP '2024-01-16' THEN 'recent' ELSE 'archive' END AS source FROM events),
 wts AS (SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS ts, sum(quantity) / 100 AS weight FROM quant GROUP BY ALL),
 arch AS (SELECT a.*, f.funding_rate, w.weight, -w.weight * f.funding_rate AS modelled, abs(income) / nullif(abs(f.funding_rate), 0) AS implied_notional
   FROM both_sources a LEFT JOIN (SELECT * FROM funding WHERE symbol <> 'error' OR hour(funding_time) <> 8) f ON f.symbol = a.symbol AND f.funding_time = a.ts
@@ -328,7 +346,9 @@ def archive(spark, sf):
         "symbol", F.col("funding_time").alias("ts"), "funding_rate")
     weights = quantities(spark, sf).groupBy("symbol", T.day(F.col("ts")).alias("day")).agg(
         (F.sum("quantity") / 100).alias("weight")).withColumnRenamed("day", "ts")
-    return G.reconcile_archive([("archive", actual(spark, sf, div=6)), ("recent", actual(spark, sf, div=4))], public, weights)
+    rows = actual(spark, sf)  # the recent source reports the last weeks again
+    recent = rows.filter(F.col("ts") >= T.ntz("2024-01-16"))
+    return G.reconcile_archive([("archive", rows), ("recent", recent)], public, weights)
 
 
 @register("g13_reconcile_archive", Q.query(Q.FUNDING, QUANT, ARCHIVE, select="""
@@ -387,8 +407,7 @@ def round_quantity(spark, sf):
 
 PORT = """rules AS (SELECT 'S' || lpad(s_suppkey::VARCHAR, 4, '0') AS symbol, CASE s_nationkey % 3 WHEN 0 THEN 1::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 0.01::DOUBLE END AS step_size,
     (s_nationkey % 2)::DOUBLE AS min_qty, CASE WHEN s_nationkey % 5 > 0 THEN (s_nationkey % 5 * 40)::DOUBLE END AS min_notional FROM supplier),
-latest AS (SELECT symbol, sum(value) / 40 AS target_notional, sum(quantity) / 2 AS held_notional, 7.5::DOUBLE + length(symbol) AS price FROM positions
-  WHERE ts >= TIMESTAMP '2001-01-01' GROUP BY symbol),
+latest AS (SELECT symbol, sum(value) / 40 AS target_notional, sum(quantity) / 2 AS held_notional, 7.5::DOUBLE + length(symbol) AS price FROM positions GROUP BY symbol),
 r0 AS (SELECT l.*, step_size, min_qty, min_notional,
     CASE WHEN abs(target_notional) >= 1e-8 THEN target_notional / price ELSE 0 END AS tq, held_notional / price AS hq FROM latest l LEFT JOIN rules USING (symbol)),
 r1 AS (SELECT *, CASE WHEN step_size > 0 THEN round(sign(tq) * floor(abs(tq) / step_size + 1e-12) * step_size, 12) ELSE tq END AS t1,
@@ -406,7 +425,7 @@ def rounded(spark, sf):
     least = F.create_map(F.lit("filterType"), F.lit("MIN_NOTIONAL"), F.lit("notional"), (nk % 5 * 40).cast("string"))
     info = sup.select(F.format_string("S%04d", "s_suppkey").alias("symbol"), F.array_compact(F.array(
         lot, tick, F.when(nk % 5 > 0, least))).alias("filters"))
-    latest = P.positions(spark, sf).filter(F.col("ts") >= T.ntz("2001-01-01")).groupBy("symbol").agg(
+    latest = P.positions(spark, sf).groupBy("symbol").agg(
         (F.sum("value") / 40).alias("target_notional"), (F.sum("quantity") / 2).alias("held_notional")).withColumn(
         "price", F.lit(7.5) + F.length("symbol"))
     return G.rounded_portfolio(latest, G.exchange_rules(info))
@@ -484,11 +503,11 @@ def capacity(spark, sf):
 
 
 BOOK = """book AS (SELECT symbol, CASE WHEN sum(quantity) >= 0 THEN 'LONG' ELSE 'SHORT' END AS side, sum(quantity) AS notional, sum(value) / 1000 AS upnl
-  FROM positions WHERE ts >= TIMESTAMP '2001-06-01' GROUP BY symbol)"""
+  FROM positions GROUP BY symbol)"""
 
 
 def book(spark, sf):
-    return P.positions(spark, sf).filter(F.col("ts") >= T.ntz("2001-06-01")).groupBy("symbol").agg(
+    return P.positions(spark, sf).groupBy("symbol").agg(
         F.sum("quantity").alias("notional"), (F.sum("value") / 1000).alias("upnl")).withColumn(
         "side", F.when(F.col("notional") >= 0, "LONG").otherwise("SHORT"))
 

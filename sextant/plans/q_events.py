@@ -120,7 +120,7 @@ PIVOT = """pv AS (SELECT e.symbol, e.pos, arg_min(p.pos - e.pos, (abs(p.pos - e.
 
 
 @register("j07_nearest_pivot", Q.query(*BASE, FEATURES, ZERO, PIVOT, recursive=True, select="""
-SELECT e.ts, e.symbol, off IS NOT NULL AS pivot_match, (-off)::BIGINT AS pivot_lag FROM ev e LEFT JOIN pv USING (symbol, pos)"""))
+SELECT e.ts, e.symbol, CASE WHEN (SELECT count(*) FROM bars l WHERE l.symbol = e.symbol AND l.pos > e.pos) >= 3 THEN off IS NOT NULL END AS pivot_match, (-off)::BIGINT AS pivot_lag FROM ev e LEFT JOIN pv USING (symbol, pos)"""))
 def nearest_pivot(spark, sf):
     df = J.nearest_pivot(events(spark, sf), features(spark, sf))
     return df.select("ts", "symbol", "pivot_match", F.col("pivot_lag").cast("bigint").alias("pivot_lag"))
@@ -136,7 +136,7 @@ def study(spark, sf):
     return cut_lineage(J.with_context(out.join(pivots, ["symbol", "pos"]), bars, base, T.ntz(FREEZE)))
 
 
-STUDY = f"""study AS (SELECT b.*, f.rvol, f.bench_bull, f.vol_high, off IS NOT NULL AS pivot_match, base_hit, CASE WHEN f.rvol >= 1.5 THEN 'High volume' ELSE 'Normal/low volume' END AS volume_group,
+STUDY = f"""study AS (SELECT b.*, f.rvol, f.bench_bull, f.vol_high, CASE WHEN (SELECT count(*) FROM bars l WHERE l.symbol = b.symbol AND l.pos > b.pos) >= 3 THEN off IS NOT NULL END AS pivot_match, -off AS pivot_lag, base_hit, CASE WHEN f.rvol >= 1.5 THEN 'High volume' ELSE 'Normal/low volume' END AS volume_group,
     coalesce(b.direction * f.imbalance > 0, false) AS flow_aligned
   FROM barred b JOIN features f ON f.symbol = b.symbol AND f.pos = b.pos LEFT JOIN pv ON pv.symbol = b.symbol AND pv.pos = b.pos
   LEFT JOIN basel ON basel.symbol = b.symbol AND basel.bench_bull = f.bench_bull AND basel.after = (b.ts >= TIMESTAMP '{FREEZE}') AND basel.direction = b.direction AND basel.horizon = b.horizon)"""
@@ -145,13 +145,13 @@ STUDY = f"""study AS (SELECT b.*, f.rvol, f.bench_bull, f.vol_high, off IS NOT N
 def stats_sql(keys: str, src: str = "study") -> str:
     p, n = "avg(hit::INT::DOUBLE)", "count(*)"
     return f"""SELECT {keys}, count(*) AS n, round({p}, 6) AS hit_rate, round(avg(base_hit), 6) AS base_hit, round({p} - avg(base_hit), 6) AS uplift, round(avg(net), 6) AS mean_net, round(quantile_cont(net, 0.5), 6) AS median_net,
-  round(sum(net) FILTER (net > 0) / nullif(abs(sum(net) FILTER (net < 0)), 0), 6) AS profit_factor, round(avg(mfe), 6) AS mean_mfe, round(avg(pivot_match::INT::DOUBLE), 6) AS pivot_precision,
+  round(sum(net) FILTER (net > 0) / nullif(abs(sum(net) FILTER (net < 0)), 0), 6) AS profit_factor, round(avg(mfe), 6) AS mean_mfe, round(avg(pivot_match::INT::DOUBLE), 6) AS pivot_precision, round(quantile_cont(pivot_lag, 0.5)::DOUBLE, 6) AS median_pivot_lag,
   round(avg((barrier = 'target')::INT::DOUBLE), 6) AS target_first, round(avg((gross > 0.003::DOUBLE)::INT::DOUBLE), 6) AS hit_30bps,
   round(({p} + 3.8416::DOUBLE / (2 * {n})) / (1 + 3.8416::DOUBLE / {n}) - 1.96::DOUBLE * sqrt({p} * (1 - {p}) / {n} + 3.8416::DOUBLE / (4 * {n} * {n})) / (1 + 3.8416::DOUBLE / {n}), 6) AS wilson_low
 FROM {src} GROUP BY ALL"""
 
 
-STAT = ("hit_rate", "base_hit", "uplift", "mean_net", "median_net", "profit_factor", "mean_mfe", "pivot_precision", "target_first", "hit_30bps", "wilson_low")
+STAT = ("hit_rate", "base_hit", "uplift", "mean_net", "median_net", "profit_factor", "mean_mfe", "pivot_precision", "median_pivot_lag", "target_first", "hit_30bps", "wilson_low")
 FULL = (*BASE, FEATURES, ZERO, OUT, TOUCH, BASELINE, PIVOT, STUDY)
 
 
@@ -160,7 +160,18 @@ def event_stats(spark, sf):
     return shown(J.event_stats(study(spark, sf), ["symbol", "horizon"]), "symbol", "horizon", "n", **{c: c for c in STAT})
 
 
-@register("j09_cluster_bootstrap")
+# months of a clock stretched thirtyfold, since the event table spans one month
+BOOT = """mo AS (SELECT symbol, horizon, date_trunc('month', TIMESTAMP '1970-01-01' + to_seconds(epoch(ts)::BIGINT * 30)) AS m, count(*) AS n,
+  sum(hit::INT::DOUBLE) AS w, sum(hit::INT::DOUBLE - base_hit) AS u FROM study GROUP BY ALL),
+bl AS (SELECT *, row_number() OVER (PARTITION BY symbol, horizon ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY symbol, horizon) AS months FROM mo),
+sp AS (SELECT symbol, horizon, months, draw, ('0x' || substr(md5('1729|' || draw || '|' || i || '|' || symbol || '|' || horizon), 1, 8))::BIGINT % months AS i
+  FROM bl, (SELECT unnest(range(1, 1001)) AS draw) WHERE months >= 6),
+su AS (SELECT s.symbol, s.horizon, s.months, draw, sum(w) / sum(n) AS hit, sum(u) / sum(n) AS up FROM sp s JOIN bl b ON b.symbol = s.symbol AND b.horizon = s.horizon AND b.i = s.i GROUP BY ALL)"""
+
+
+@register("j09_cluster_bootstrap", Q.query(*FULL, BOOT, recursive=True, select="""
+SELECT symbol, horizon, months, round(quantile_cont(hit, 0.025), 6) AS cluster_low, round(quantile_cont(hit, 0.975), 6) AS cluster_high,
+  round(quantile_cont(up, 0.025), 6) AS uplift_low, round(quantile_cont(up, 0.975), 6) AS uplift_high FROM su GROUP BY ALL"""))
 def cluster_bootstrap(spark, sf):
     """Resampled by day-like blocks: the event tables span one month, so the month is taken of a stretched clock."""
     rows = study(spark, sf).withColumn("ts", T.from_epoch(T.epoch_second(F.col("ts")) * 30))

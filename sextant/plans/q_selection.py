@@ -180,7 +180,7 @@ def fold_table(spark, sf):
 
 WF = """x AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY pos) - 1 AS rn, count(*) OVER (PARTITION BY strategy) AS n FROM perf),
 wf AS (SELECT x.ts, x.strategy, k AS "window", greatest(0, 60 + k * 12 - 60) AS train_from, 60 + k * 12 - 1 AS train_to, round(net, 6) AS net
-  FROM x JOIN (SELECT unnest(range(0, 60)) AS k) w ON rn >= 60 + k * 12 AND rn < 60 + k * 12 + 20 AND 60 + k * 12 + 20 <= n)"""
+  FROM x JOIN (SELECT unnest(range(0, (SELECT max(n) // 12 + 1 FROM x))) AS k) w ON rn >= 60 + k * 12 AND rn < 60 + k * 12 + 20 AND 60 + k * 12 + 20 <= n)"""
 
 
 @register("i03_wf_windows", Q.query(*QM.BASE, WF, select="SELECT * FROM wf"))
@@ -338,7 +338,7 @@ def stitch_oos(spark, sf):
 
 
 REPORT = """wts AS (SELECT 'N' || lpad(c_nationkey::VARCHAR, 2, '0') AS symbol, o_orderpriority AS rule, date_trunc('year', o_orderdate)::TIMESTAMP AS refit_ts, count(*)::DOUBLE AS weight
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) > 1995 GROUP BY ALL),
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 refs AS (SELECT symbol, refit_ts, arg_max(rule, (weight, rule)) AS dominant, lead(refit_ts) OVER (PARTITION BY symbol ORDER BY refit_ts) AS nxt FROM wts GROUP BY symbol, refit_ts),
 wr AS (SELECT p.*, refit_ts, dominant FROM perf p JOIN refs r ON r.symbol = p.strategy AND p.ts >= refit_ts AND (nxt IS NULL OR p.ts < nxt)),
 we AS (SELECT *, product(1 + net) OVER (PARTITION BY strategy, refit_ts ORDER BY pos) AS equity FROM wr WHERE net IS NOT NULL),
@@ -350,7 +350,7 @@ ws AS (SELECT strategy, refit_ts, arg_max(equity, pos) - 1 AS total_return, min(
 SELECT wr.strategy AS symbol, wr.refit_ts, dominant, min(ts) AS test_start, max(ts) AS test_end, round(sum(turnover), 6) AS turnover, round(any_value(total_return), 6) AS total_return,
   round(any_value(sharpe), 6) AS sharpe, round(any_value(max_drawdown), 6) AS max_drawdown FROM wr LEFT JOIN ws USING (strategy, refit_ts) GROUP BY ALL"""))
 def window_report(spark, sf):
-    o = P.table(spark, sf, "orders").join(P.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).filter(F.year("o_orderdate") > 1995)
+    o = P.table(spark, sf, "orders").join(P.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     w = o.groupBy(F.format_string("N%02d", "c_nationkey").alias("symbol"), F.col("o_orderpriority").alias("rule"),
                   F.trunc(F.to_date("o_orderdate"), "year").cast("timestamp_ntz").alias("refit_ts")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     series = QM.perf(spark, sf).withColumnRenamed("strategy", "symbol")
@@ -398,14 +398,14 @@ def filter_summary(spark, sf):
     return summary_out(I.filter_summary(summary(spark, sf), "success", 4, "n1", "robust_score"))
 
 
-CHURN = """chosen AS (SELECT DISTINCT family, fold, model FROM rosters WHERE rank <= 3 AND variant = 'a')"""
+CHURN = """chosen AS (SELECT DISTINCT family || variant AS family, fold, model FROM rosters WHERE rank <= 3)"""
 
 
 @register("i12_roster_churn", Q.query(QS.CONFIGS, ROWS, CHURN, """pf AS (SELECT family, fold, lag(fold) OVER (PARTITION BY family ORDER BY fold) AS prior FROM (SELECT DISTINCT family, fold FROM chosen))""", select="""
 SELECT c.family, c.fold, CASE WHEN max(prior) IS NOT NULL THEN count(p.model) END AS retained, count(*) - count(p.model) AS new, count(*) AS roster_size
 FROM chosen c JOIN pf ON pf.family = c.family AND pf.fold = c.fold LEFT JOIN chosen p ON p.family = c.family AND p.fold = pf.prior AND p.model = c.model GROUP BY c.family, c.fold"""))
 def roster_churn(spark, sf):
-    return I.roster_churn(rosters(spark, sf).filter("variant = 'a'").withColumn("cutoff", F.col("fold")))
+    return I.roster_churn(rosters(spark, sf).withColumns({"cutoff": F.col("fold"), "family": F.concat("family", "variant")}))
 
 
 @register("i13_family_robustness", Q.query(QS.CONFIGS, ROWS, """rk AS (SELECT family, rank() OVER (PARTITION BY family ORDER BY validation_net_sharpe) + (count(*) OVER (PARTITION BY family, validation_net_sharpe) - 1) / 2::DOUBLE AS rv,
@@ -452,3 +452,33 @@ def best_run(spark, sf):
     m = M.perf_metrics(QM.perf(spark, sf), ["strategy"])
     runs = m.select(F.col("strategy").alias("run_id"), F.to_json(F.struct(r6("net_sharpe").alias("net_sharpe"), "max_drawdown")).alias("metrics_json"))
     return I.best_run(runs).select("run_id", "net_sharpe")
+
+
+NAMES = """nm AS (SELECT c_custkey AS k, ['60', '90', '180', '360', '45'][c_custkey % 5 + 1] AS vol, ['quarterly', 'semiannual', 'annual', 'frozen'][c_custkey % 4 + 1] AS refit,
+  ['shrink_75', 'shrink_80_primary', 'shrink_90'][c_custkey % 3 + 1] AS shrink, ['causal', 'fixed'][c_custkey % 2 + 1] AS mode, c_custkey % 7 AS form FROM customer),
+ok AS (SELECT *, form < 5 AND vol <> '45' AS good FROM nm)"""
+
+
+@register("i18_model_config", Q.query(NAMES, select="""
+SELECT k, good AS supported, CASE WHEN good THEN CASE form WHEN 0 THEN 'equal' WHEN 1 THEN shrink END END AS rule_weights,
+  CASE WHEN good THEN CASE form WHEN 2 THEN 'carver_fixed_scalars_equal' WHEN 3 THEN 'crypto_expanding_scalars_equal' WHEN 4 THEN 'crypto_expanding_scalars_shrunk_weights' END END AS method,
+  CASE WHEN good AND form = 4 THEN shrink END AS weight_spec,
+  CASE WHEN good AND form >= 2 THEN CASE WHEN form = 2 AND mode = 'fixed' THEN 'fixed_1.20' ELSE 'causal_expanding' END END AS fdm_mode,
+  CASE WHEN good THEN CASE form WHEN 0 THEN 'quarterly_scalars' WHEN 2 THEN 'quarterly' ELSE refit END END AS refit,
+  CASE WHEN good THEN vol::BIGINT END AS volatility_window FROM ok"""))
+def model_config(spark, sf):
+    k = F.col("c_custkey")
+
+    def pick(*names):
+        return F.element_at(F.array(*[F.lit(n) for n in names]), (k % len(names) + 1).cast("int"))
+
+    vol = F.concat(F.lit("_vol"), pick("60", "90", "180", "360", "45"))
+    refit, shrink = pick("quarterly", "semiannual", "annual", "frozen"), pick("shrink_75", "shrink_80_primary", "shrink_90")
+    forms = (F.concat(F.lit("ts_equal"), vol), F.concat(F.lit("ts_"), shrink, F.lit("_"), refit, vol),
+             F.concat(F.lit("breakout_carver5_equal_"), pick("causal", "fixed"), F.lit("_fdm"), vol),
+             F.concat(F.lit("breakout_crypto_equal_"), refit, vol),
+             F.concat(F.lit("breakout_crypto_"), shrink, F.lit("_"), refit, vol),
+             F.concat(F.lit("momentum"), vol), F.concat(F.lit("ts_equal"), vol, F.lit("x")))
+    names = P.table(spark, sf, "customer").select(k.alias("k"), F.element_at(F.array(*forms), (k % 7 + 1).cast("int")).alias("model"))
+    df = I.model_config(names, strict=False)
+    return df.select("k", "supported", *I.CONFIG_FIELDS, F.col("volatility_window").cast("bigint").alias("volatility_window"))

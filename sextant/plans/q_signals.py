@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sextant.functions import series as S
+from sextant.functions import timeaxis as T
 from sextant.operators import signals as X
 from sextant.plans import panels as P
 from sextant.plans import sqltext as Q
@@ -101,6 +102,20 @@ def ewma(spark, sf):
     return shown(df, "ts", "symbol", fast="fast", slow="slow")
 
 
+# supplier x day on a dense calendar: most cells are null, in runs of any length
+DENSE = """cells AS (SELECT c.pos, s.symbol, p.value AS close FROM (SELECT unnest(range((SELECT min(pos) FROM positions), (SELECT max(pos) FROM positions) + 1)) AS pos) c
+  CROSS JOIN (SELECT DISTINCT symbol FROM positions) s LEFT JOIN positions p ON p.pos = c.pos AND p.symbol = s.symbol)"""
+
+
+@register("d05_ewma_null_runs", Q.query(Q.POSITIONS, DENSE, Q.ewma_cte("a", "cells", "close", 2, 2, keep="pos"),
+    Q.ewma_cte("b", "cells", "close", 32, 32, keep="pos"), recursive=True, select="""
+SELECT a.pos, a.symbol, round(a.y, 6) AS fast, round(b.y, 6) AS slow FROM a JOIN b USING (symbol, pos)"""))
+def ewma_null_runs(spark, sf):
+    cells = P.grid(P.positions(spark, sf), "value", step=T.DAY).select("pos", "symbol", F.col("value").alias("close"))
+    df = S.ewma(cells, {"fast": ("close", 2), "slow": ("close", 32)}, min_bars={"fast": 2, "slow": 32})
+    return shown(df, "pos", "symbol", fast="fast", slow="slow")
+
+
 @register("d06_ewma_adjusted", Q.query(Q.HOURLY, Q.ewma_cte("a", "bars", "close", 2, adjust=True),
     Q.ewma_cte("b", "bars", "close", 32, adjust=True), recursive=True, select="""
 SELECT a.ts, a.symbol, round(a.y, 8) AS fast, round(b.y, 8) AS slow FROM a JOIN b USING (symbol, pos)"""))

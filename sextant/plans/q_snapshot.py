@@ -157,7 +157,7 @@ rec AS (SELECT r.*, b.ret AS b FROM rets r LEFT JOIN rets b ON b.symbol = 'N00'
 rsk AS (SELECT symbol, CASE WHEN count(ret) >= 6 THEN stddev_samp(ret) * sqrt(365) END AS volatility, CASE WHEN count(*) FILTER (ret IS NOT NULL AND b IS NOT NULL) >= 6 THEN covar_samp(ret, b) END
   / (SELECT CASE WHEN count(ret) >= 6 THEN nullif(var_samp(ret), 0) END FROM rec WHERE symbol = 'N00') AS beta FROM rec GROUP BY symbol),
 fnow AS (SELECT symbol, max(value) FILTER (rule = 'breakout_8') AS f8, max(value) FILTER (rule = 'breakout_16') AS f16 FROM fc WHERE ts = (SELECT max(ts) FROM fc) GROUP BY symbol),
-inc AS (SELECT 'N' || lpad(c_nationkey::VARCHAR, 2, '0') AS symbol, sum(c_acctbal) AS net, count(*) AS n, sum(c_acctbal) FILTER (c_acctbal < 0) AS paid FROM customer WHERE c_nationkey < 20 GROUP BY c_nationkey)"""
+inc AS (SELECT 'N' || lpad(c_nationkey::VARCHAR, 2, '0') AS symbol, sum(c_acctbal) AS net, count(*) AS n, sum(c_acctbal) FILTER (c_acctbal < 0) AS paid FROM customer GROUP BY c_nationkey)"""
 
 
 @register("k10_ticker_snapshot", Q.query(*QK.BASE, TSNAP, select="""
@@ -167,7 +167,7 @@ def ticker_snapshot(spark, sf):
     px = P.weekly_panel(spark, sf).withColumn("open", F.col("close"))
     rec = QK.forecasts(spark, sf).select("ts", "symbol", F.col("rule").alias("model"), F.col("value").alias("forecast"), F.lit(None).cast("double").alias("percentile"), F.lit(0.0).alias("position"))
     attr = rec.groupBy("symbol", "model").agg(F.avg("forecast").alias("contribution"))
-    income = P.table(spark, sf, "customer").filter("c_nationkey < 20").select(F.format_string("N%02d", "c_nationkey").alias("symbol"), F.col("c_acctbal").alias("income"))
+    income = P.table(spark, sf, "customer").select(F.format_string("N%02d", "c_nationkey").alias("symbol"), F.col("c_acctbal").alias("income"))
     df = N.ticker_snapshot(px, rec, attr, income, "N00", ["breakout_8", "breakout_16"], short=8, long=20, least=6)
     return df.select("symbol", "last_open", r6("return_short").alias("return_short"), r6("return_long").alias("return_long"), r6("volatility").alias("volatility"), r6("beta").alias("beta"),
                      r6("breakout_8_forecast").alias("f8"), r6("breakout_16_forecast").alias("f16"), r6("funding_net", 4).alias("funding_net"), r6("funding_paid", 4).alias("funding_paid"), "funding_events")

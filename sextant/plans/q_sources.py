@@ -98,6 +98,8 @@ def shared_folder(spark) -> str:
     """A new folder below the one the cluster shares, or a local one where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return scratch()
     import uuid
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -227,9 +229,9 @@ def utc_normalisation(spark, sf):
 
 
 @register("b02_freshness", Q.query(Q.HOURLY, select="""
-SELECT symbol, max(ts) AS latest, TIMESTAMP '2024-01-30 16:00:00' AS required, max(ts) >= TIMESTAMP '2024-01-30 16:00:00' AS is_fresh FROM bars WHERE volume > 2 GROUP BY symbol"""))
+SELECT symbol, max(ts) AS latest, TIMESTAMP '2024-01-30 16:00:00' AS required, max(ts) >= TIMESTAMP '2024-01-30 16:00:00' AS is_fresh FROM bars GROUP BY symbol"""))
 def freshness(spark, sf):
-    return B.freshness(P.hourly_bars(spark, sf).filter("volume > 2"), "4h", "2024-01-30 23:30:00")
+    return B.freshness(P.hourly_bars(spark, sf), "4h", "2024-01-30 23:30:00")
 
 
 @register("b03_infer_frequency", Q.query(Q.HOURLY, Q.DAILY.replace("bars AS", "dbars AS"), select="\nUNION ALL ".join(f"""
@@ -347,14 +349,16 @@ def filled_cells(spark, sf):
     return B.filled_cells(a, R.patch_panel(a, b))
 
 
-@register("b12_event_coverage", Q.query(Q.FUNDING_RAW, """d AS (SELECT DISTINCT symbol, funding_time FROM raw_funding WHERE seq % 11 = 0)""", select="""
-SELECT DISTINCT symbol, 'duplicate' AS problem FROM (SELECT symbol, funding_time FROM raw_funding WHERE seq % 11 = 0 GROUP BY ALL HAVING count(*) > 1)
+@register("b12_event_coverage", Q.query(Q.FUNDING_RAW, """moved AS (SELECT symbol, CASE WHEN day(funding_time) BETWEEN 10 AND 12 THEN funding_time - INTERVAL 3 DAY ELSE funding_time END AS funding_time FROM raw_funding),
+d AS (SELECT DISTINCT symbol, funding_time FROM moved)""", select="""
+SELECT DISTINCT symbol, 'duplicate' AS problem FROM (SELECT symbol, funding_time FROM moved GROUP BY ALL HAVING count(*) > 1)
 UNION ALL SELECT DISTINCT symbol, 'gap' FROM (SELECT symbol, funding_time - lag(funding_time) OVER (PARTITION BY symbol ORDER BY funding_time) AS gap FROM d) WHERE gap > INTERVAL 24 HOUR
 UNION ALL SELECT DISTINCT o_orderpriority, 'missing' FROM orders"""))
 def event_coverage(spark, sf):
     ev = P.funding_events(spark, sf)
     symbols = ev.select("symbol").unionByName(bars(spark, sf).select("symbol"))
-    return B.event_coverage(ev.filter("seq % 11 = 0"), symbols, 24)
+    moved = F.when(F.dayofmonth("funding_time").between(10, 12), F.col("funding_time") - F.expr("INTERVAL 3 DAYS"))
+    return B.event_coverage(ev.withColumn("funding_time", F.coalesce(moved, "funding_time")), symbols, 24)
 
 
 @register("b13_ohlc_violations", Q.query(Q.HOURLY, """x AS (SELECT *, ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS gap, CASE WHEN pos % 50 = 0 THEN low - 1 ELSE high END AS h2, quote * CASE WHEN pos % 40 = 0 THEN -1 ELSE 1 END AS q2 FROM bars),
@@ -415,17 +419,24 @@ def reconcile_accounting(spark, sf):
     return checks.select("check", "ok").crossJoin(state.agg(F.count(F.lit(1)).alias("bars")))
 
 
-@register("b19_table_digest", Q.query(select="SELECT count(*) AS n, true AS same, true AS differs FROM orders"))
+@register("b19_table_digest", Q.query(select="""
+SELECT (SELECT count(*) FROM orders) AS n, count(*) FILTER (a IS DISTINCT FROM b) = 0 AS same, count(*) FILTER (a IS DISTINCT FROM c) > 0 AS differs,
+  count(*) FILTER (d1 IS DISTINCT FROM d2) > 0 AS nulls_differ
+FROM (SELECT o_totalprice AS a, o_totalprice AS b, o_totalprice + 1 AS c, o_totalprice AS d1, NULL::DOUBLE AS d2 FROM orders)"""))
 def table_digest(spark, sf):
     o = P.table(spark, sf, "orders")
     one = B.table_digest(o).select("n", F.col("digest").alias("a"))
     two = B.table_digest(o.repartition(7, "o_custkey")).select(F.col("digest").alias("b"))
     three = B.table_digest(o.withColumn("o_totalprice", F.col("o_totalprice") + 1)).select(F.col("digest").alias("c"))
-    return one.crossJoin(two).crossJoin(three).select("n", (F.col("a") == F.col("b")).alias("same"), (F.col("a") != F.col("c")).alias("differs"))
+    none = F.lit(None).cast("double")
+    left = B.table_digest(o.select(F.col("o_totalprice").alias("x"), none.alias("y"))).select(F.col("digest").alias("d"))
+    right = B.table_digest(o.select(none.alias("x"), F.col("o_totalprice").alias("y"))).select(F.col("digest").alias("e"))
+    return one.crossJoin(two).crossJoin(three).crossJoin(left).crossJoin(right).select(
+        "n", (F.col("a") == F.col("b")).alias("same"), (F.col("a") != F.col("c")).alias("differs"), (F.col("d") != F.col("e")).alias("nulls_differ"))
 
 
 @register("b20_config_id", Q.query(select="""
-SELECT c_custkey, substr(sha256('{"family":"' || c_mktsegment || '","nation":' || c_nationkey || '}'), 1, 20) AS config_id FROM customer"""))
+SELECT c_custkey, substr(sha256('{"family":"' || c_mktsegment || '","nation":' || c_nationkey || ',"none":null}'), 1, 20) AS config_id FROM customer"""))
 def config_id(spark, sf):
     return P.table(spark, sf, "customer").select("c_custkey", B.config_id({"nation": F.col("c_nationkey"), "family": F.col("c_mktsegment"),
                                                                          "none": B.finite(F.lit(float("nan")))}).alias("config_id"))

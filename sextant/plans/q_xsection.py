@@ -262,7 +262,9 @@ def benchmark_weights(spark, sf):
     return out
 
 
-@register("f17_random_signs")
+@register("f17_random_signs", Q.query(Q.WEEKLY, select="""
+SELECT ts, symbol, round((CASE WHEN ('0x' || substr(md5('20260921|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || symbol), 1, 8))::BIGINT % 2 = 0
+  THEN 1::DOUBLE ELSE -1 END) / count(*) OVER (PARTITION BY pos), 6) AS w FROM panel"""))
 def random_signs(spark, sf):
     return weights(C.benchmark_weights(P.weekly_panel(spark, sf), "random_sign", seed=20260921))
 
