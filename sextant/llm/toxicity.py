@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, trigrams: bytes, fit_rows: int = FIT
     """Feature weights: the share of toxic documents among those that have it.
 
     Copies would make every word of a toxic text look telling, so documents with the same
-    smallest word hash count once. At most ``MAX_FEATURES`` are kept.
+    smallest hash of two neighbouring words count once. At most ``MAX_FEATURES`` are kept.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -226,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, trigrams: bytes, fit_rows: int = FIT
             names, toxic, kin = [], [], []
             for y, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = reader.words(text or "")
-                least = min(map(_stable_hash, words), default=0)
+                row = (text or "").lower().split()
+                least = min((_stable_hash(f"{a} {b}") for a, b in zip(row, row[1:], strict=False)), default=0)
                 for f in features(words):
                     names.append(f)
                     toxic.append(y)
@@ -246,10 +247,10 @@ def fit(docs: DataFrame, labels: DataFrame, trigrams: bytes, fit_rows: int = FIT
     return {f: w for f, w in weights.items() if w >= MIN_PRECISION}
 
 
-def _stable_hash(word: str) -> int:
+def _stable_hash(words: str) -> int:
     import zlib
 
-    raw = word.encode("utf-8", "replace")
+    raw = words.encode("utf-8", "replace")
     return zlib.crc32(raw) << 31 | zlib.adler32(raw) & 0x7FFFFFFF
 
 
