@@ -147,54 +147,61 @@ def running(
 
 def linear_recurrence(
     df: DataFrame,
-    specs: Mapping[str, tuple[str, str]],
+    specs: Mapping[str, tuple[str, str, str]],
     *,
     keys: Sequence[str] = ("symbol",),
     block: int,
     reach: int,
 ) -> DataFrame:
-    """Add ``y[t] = a[t] * y[t-1] + b[t]`` per series (``y`` starts at 0).
+    """Add ``y = a * y + b`` per series, taken at the rows where ``x`` is present (``y`` starts at 0).
 
-    ``specs`` maps ``y`` to its columns ``(a, b)``, ``0 < a <= 1``.  Inside a block
-    the recurrence is a running sum of ``b`` over the running product of ``a``;
-    blocks are joined by the last ``reach`` block summaries, beyond which the
-    remaining factor is under double precision.  Blocks without rows have no
-    summary, so every summary stands for at least one step along the series.
+    ``specs`` maps ``y`` to its columns ``(a, b, x)``, ``0 < a <= 1``; a row without ``x``
+    repeats ``y``.  Inside a block the recurrence is a running sum of ``b`` over the running
+    product of ``a``, the factor of the first row present in the block left aside; blocks are
+    joined by the last ``reach`` summaries, beyond which the remaining factor is under double
+    precision.  Blocks without a row present have no summary, so they use up no reach.
     """
     base = df.withColumn("_blk", _block(block))
     w = Window.partitionBy(*keys, "_blk").orderBy("pos")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    opening = F.row_number().over(w) == 1
     pairs = list(enumerate(specs.values()))
-    # log decay since the first row of the block; that row's own factor stays aside
+    sources = sorted({x for _, _, x in specs.values()})
+    at = {x: f"_k{j}" for j, x in enumerate(sources)}
+    base = base.select("*", *[F.count(x).over(run).alias(k) for x, k in at.items()])
+    # log decay since the first row present in the block
     base = base.select("*", *[
-        F.when(opening, F.lit(0.0)).otherwise(F.log(F.col(a))).alias(f"_g{i}") for i, (a, _) in pairs
-    ])
+        F.when(F.col(x).isNull() | (F.col(at[x]) <= 1), F.lit(0.0)).otherwise(F.log(F.col(a))).alias(f"_g{i}")
+        for i, (a, _, x) in pairs])
     base = base.select("*", *[F.sum(f"_g{i}").over(run).alias(f"_s{i}") for i, _ in pairs])
     base = base.select("*", *[
-        (F.exp(f"_s{i}") * F.sum(F.col(b) * F.exp(-F.col(f"_s{i}"))).over(run)).alias(f"_v{i}")
-        for i, (_, b) in pairs
-    ])
+        (F.exp(f"_s{i}") * F.coalesce(F.sum(F.when(F.col(x).isNotNull(), F.col(b) * F.exp(-F.col(f"_s{i}")))).over(run),
+                                      F.lit(0.0))).alias(f"_v{i}")
+        for i, (_, b, x) in pairs])
     ends = base.groupBy(*keys, "_blk").agg(*[
-        F.struct(
+        F.when(F.count(x) > 0, F.struct(
             F.max_by(f"_v{i}", "pos").alias("v"),
-            F.min_by(F.col(a), F.col("pos")).alias("a"),
+            F.min_by(F.col(a), F.when(F.col(x).isNotNull(), F.col("pos"))).alias("a"),
             F.exp(F.max_by(f"_s{i}", "pos")).alias("q"),
-        ).alias(f"_e{i}")
-        for i, (a, _) in pairs
-    ])
-    near = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(-reach, -1)
-    carried = ends.select(*keys, "_blk", *[
-        (F.col(f"_e{i}.a") * F.aggregate(
-            F.collect_list(f"_e{i}").over(near), F.lit(0.0),
-            lambda acc, e: e["v"] + e["a"] * e["q"] * acc,
-        )).alias(f"_c{i}")
-        for i, _ in pairs
-    ])
+        )).alias(f"_e{i}")
+        for i, (a, _, x) in pairs])
+    so_far = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
+    number = {x: f"_m{j}" for j, x in enumerate(sources)}
+    one = {x: i for i, (_, _, x) in pairs}
+    ends = ends.select("*", *[F.count(f"_e{one[x]}").over(so_far).alias(m) for x, m in number.items()])
+
+    def carried(i: int, x: str) -> Column:
+        near = Window.partitionBy(*keys).orderBy(number[x])
+        own = F.col(f"_e{i}").isNotNull()
+        earlier = F.when(own, F.collect_list(f"_e{i}").over(near.rangeBetween(-reach, -1))).otherwise(
+            F.collect_list(f"_e{i}").over(near.rangeBetween(1 - reach, 0)))
+        return F.aggregate(earlier, F.lit(0.0), lambda acc, e: e["v"] + e["a"] * e["q"] * acc)
+
+    carry = ends.select(*keys, "_blk", *[carried(i, x).alias(f"_c{i}") for i, (_, _, x) in pairs],
+                        *[F.col(f"_e{i}.a").alias(f"_f{i}") for i, _ in pairs])
     kept = [c for c in df.columns if c not in specs]
-    return base.join(carried, [*keys, "_blk"]).select(*kept, *[
-        (F.col(f"_v{i}") + F.exp(f"_s{i}") * F.col(f"_c{i}")).alias(n) for i, n in enumerate(specs)
-    ])
+    return base.join(carry, [*keys, "_blk"]).select(*kept, *[
+        (F.col(f"_v{i}") + F.exp(f"_s{i}") * F.col(f"_c{i}") * F.when(F.col(at[x]) > 0, F.col(f"_f{i}")).otherwise(1.0)).alias(n)
+        for n, (i, (_, _, x)) in zip(specs, pairs, strict=True)])
 
 
 def ewma(
@@ -209,51 +216,39 @@ def ewma(
     """Exponentially weighted means ``{out: (value, span)}`` along each series.
 
     An absent or null bar ages the earlier mean by one step and repeats it where
-    the row exists.  ``adjust`` divides by the summed weights instead of starting
-    from the first value.  ``min_bars[out]`` values are needed before a mean shows.
+    the row exists; a run of nulls may be as long as the series.  ``adjust`` divides
+    by the summed weights instead of starting from the first value.  ``min_bars[out]``
+    values are needed before a mean shows.
     """
     need = dict(min_bars or {})
-    out = df
+    prior = {}
     for value in sorted({value for value, _ in specs.values()}):
-        mine = {name: span for name, (v, span) in specs.items() if v == value}
-        out = out.join(_means_of(df, value, mine, adjust, keys, block), [*keys, "pos"], "left")
-    # rows without a value repeat the last mean
-    carried = {f"_y_{name}": ("last", f"_y_{name}", True) for name in specs}
-    carried |= {f"_n_{value}": ("last", f"_n_{value}", True) for value, _ in specs.values()}
-    out = running(out, carried, keys=keys, block=block)
-    kept = [c for c in df.columns if c not in specs]
-    return out.select(*kept, *[
-        F.when(F.col(f"_n_{value}") >= max(1, need.get(name, 1)), F.col(f"_y_{name}")).alias(name)
-        for name, (value, _) in specs.items()])
-
-
-def _means_of(df: DataFrame, value: str, spans: Mapping[str, float], adjust: bool, keys: Sequence[str],
-              block: int) -> DataFrame:
-    """(keys, pos, _n_{value}, _y_{name}) of the rows that hold ``value``.
-
-    Only rows with a value take part: however long a run of nulls is, its age is in the
-    factor of the next value and it takes no block of its own.
-    """
-    seen = df.filter(F.col(value).isNotNull()).select(*keys, "pos", F.col(value).alias("_x"))
-    seen = running(seen, {"_p": ("last", F.col("pos"), False), "_n": ("count", F.col("_x"), True)}, keys=keys, block=block)
-    recur: dict[str, tuple[str, str]] = {}
+        seen = F.when(F.col(value).isNotNull(), F.col("pos"))
+        prior[f"_p_{value}"] = ("last", seen, False)
+        prior[f"_n_{value}"] = ("count", F.col(value), True)
+    out = running(df, prior, keys=keys, block=block)
+    recur: dict[str, tuple[str, str, str]] = {}
     steepest, slowest = 0.0, math.inf
-    gap, first = F.col("pos") - F.col("_p"), F.col("_p").isNull()
-    for name, span in spans.items():
+    for name, (value, span) in specs.items():
         alpha = 2.0 / (span + 1.0)
         decay = -math.log1p(-alpha) if alpha < 1 else 40.0
         steepest, slowest = max(steepest, decay), min(slowest, decay)
-        aged = F.exp(gap * F.lit(-decay))
+        first = F.col(f"_p_{value}").isNull()
+        aged = F.exp((F.col("pos") - F.col(f"_p_{value}")) * F.lit(-decay))
         keep = aged if adjust else aged / (aged + F.lit(alpha))
-        seen = seen.withColumn(f"_a_{name}", F.when(first, F.lit(1.0)).otherwise(keep))
+        out = out.withColumn(f"_a_{name}", F.when(first, F.lit(1.0)).otherwise(keep))
         share = F.lit(1.0) if adjust else F.when(first, F.lit(1.0)).otherwise(1 - F.col(f"_a_{name}"))
-        seen = seen.withColumn(f"_b_{name}", share * F.col("_x"))
-        recur[f"_y_{name}"] = (f"_a_{name}", f"_b_{name}")
+        out = out.withColumn(f"_b_{name}", share * F.col(value))
+        recur[f"_y_{name}"] = (f"_a_{name}", f"_b_{name}", value)
         if adjust:
-            seen = seen.withColumn(f"_w_{name}", F.lit(1.0))
-            recur[f"_d_{name}"] = (f"_a_{name}", f"_w_{name}")
+            out = out.withColumn(f"_w_{name}", F.lit(1.0))
+            recur[f"_d_{name}"] = (f"_a_{name}", f"_w_{name}", value)
     width = max(1, min(block, int(DECAY_RANGE / steepest)))
     reach = 2 * math.ceil(40.0 / (width * slowest)) + 1
-    out = linear_recurrence(seen, recur, keys=keys, block=width, reach=reach)
-    mean = {n: F.col(f"_y_{n}") / F.nullif(F.col(f"_d_{n}"), F.lit(0.0)) if adjust else F.col(f"_y_{n}") for n in spans}
-    return out.select(*keys, "pos", F.col("_n").alias(f"_n_{value}"), *[c.alias(f"_y_{n}") for n, c in mean.items()])
+    out = linear_recurrence(out, recur, keys=keys, block=width, reach=reach)
+    kept = [c for c in df.columns if c not in specs]
+    final = []
+    for name, (value, _) in specs.items():
+        mean = F.col(f"_y_{name}") / F.nullif(F.col(f"_d_{name}"), F.lit(0.0)) if adjust else F.col(f"_y_{name}")
+        final.append(F.when(F.col(f"_n_{value}") >= max(1, need.get(name, 1)), mean).alias(name))
+    return out.select(*kept, *final)
