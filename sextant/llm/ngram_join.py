@@ -10,8 +10,10 @@ whole sets of these classes, and each class keeps its rarest ones: as many as le
 class it links to, at least one in common (inverted lists) or two (subsets). Small sets
 enumerate pairs of them, large sets read the list of each one; the size at which this changes
 is where the summed costs of all sets are least. Within a list, members are compared with one
-hub after the other, and only with members that are not yet connected to it, until a list
-holds one component; no list is expanded into all its pairs.
+hub after the other, and only with members that are not yet connected to it. What still falls
+apart after a few hubs is compared block by block inside tasks, which yield only pairs that may
+connect components. Parity sketches, whose distance never exceeds that of the sets, tell most
+pairs apart before whole sets are moved.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ WORDS = 5
 # similarity threshold as a fraction: intersection * 5 >= union * 4
 NUMERATOR, DENOMINATOR = 4, 5
 EXTRA_SHARE = 10  # a prefix is longer than necessary by n / EXTRA_SHARE hashes
-HUB_ROUNDS = 6
+HUB_ROUNDS = 3
+SKETCH_BITS = 512
+LIST_BLOCK = 512  # members of a list that are compared in one group with another block
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +108,14 @@ def signatures(docs: DataFrame) -> DataFrame:
         _signatures, f"doc_id {kind}, text_hash bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>")
 
 
+def _sketches(n: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Parity of the hashes in each of ``SKETCH_BITS`` places, as signed words per text."""
+    owner = np.repeat(np.arange(len(n)), n)
+    place = (grams >> np.uint64(20)).astype(np.int64) % SKETCH_BITS
+    odd = np.bincount(owner * SKETCH_BITS + place, minlength=len(n) * SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(n), SKETCH_BITS), axis=1).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
@@ -113,7 +125,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = (prints[0] == batch.column("f1").slice(at, texts).to_numpy()) & (
                 prints[1] == batch.column("f2").slice(at, texts).to_numpy())
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(grams.view(np.int64)))
-            found = pa.RecordBatch.from_arrays([batch.column("node").slice(at, texts), lists], ["node", "hashes"])
+            sketches = pa.FixedSizeListArray.from_arrays(pa.array(_sketches(n, grams).reshape(-1)), SKETCH_BITS // 64)
+            found = pa.RecordBatch.from_arrays([batch.column("node").slice(at, texts), lists,
+                                                sketches.cast(pa.list_(pa.int64()))], ["node", "hashes", "sketch"])
             yield found.filter(pa.array(same))
             at += texts
 
@@ -196,6 +210,11 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_())], ["u", "v", "linked"])
 
 
+def _farthest(sizes):
+    """Most elements in which two linked sets can differ, given the sum of their sizes."""
+    return sizes * (DENOMINATOR - NUMERATOR) / (DENOMINATOR + NUMERATOR)
+
+
 def _sizes_fit(n: Column, m: Column) -> Column:
     return F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR
 
@@ -205,8 +224,9 @@ def hash_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash")).alias("d")
     w = classes.select("node", "doc_id", "text_hash", "f1", "f2").alias("w")
     texts = w.join(d, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash")))
-    found = texts.select("node", "f1", "f2", "d.text").mapInArrow(_sets, "node bigint, hashes array<bigint>")
-    return found.groupBy("node").agg(F.any_value("hashes").alias("hashes"))  # repeated rows
+    found = texts.select("node", "f1", "f2", "d.text").mapInArrow(
+        _sets, "node bigint, hashes array<bigint>, sketch array<bigint>")
+    return found.groupBy("node").agg(F.any_value("hashes").alias("hashes"), F.any_value("sketch").alias("sketch"))  # repeated rows
 
 
 class _Linker:
@@ -218,6 +238,11 @@ class _Linker:
     def links(self, pairs: DataFrame) -> DataFrame:
         """(u, v) of the given pairs whose sets link."""
         self.round += 1
+        one = self.sets.select(F.col("node").alias("u"), F.col("sketch").alias("s1"), F.size("hashes").alias("n1"))
+        two = self.sets.select(F.col("node").alias("v"), F.col("sketch").alias("s2"), F.size("hashes").alias("n2"))
+        apart = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+        pairs = pairs.join(one, "u").join(two, "v").filter(apart <= _farthest(F.col("n1") + F.col("n2"))).select("u", "v")
+        pairs = self.scratch.keep(pairs, f"pairs{self.round}")
         one = self.sets.select(F.col("node").alias("u"), F.col("hashes").alias("h1"))
         two = self.sets.select(F.col("node").alias("v"), F.col("hashes").alias("h2"))
         found = pairs.join(one, "u").join(two, "v").select("u", "v", "h1", "h2").mapInArrow(
@@ -238,12 +263,79 @@ def _split_lists(members: DataFrame) -> DataFrame:
     return members.join(mixed, "key")
 
 
+def _bridges(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs inside a list that may link two components, found block by block.
+
+    A list is cut into blocks by hash; a member goes to one group per block of its list, and
+    a group compares two blocks by their sketches. Groups are bounded, pairs of one component
+    and pairs too far apart never leave them.
+    """
+    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"))
+    placed = rows.join(blocks, "key").join(sets.select("node", "sketch"), "node").withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block",
+                           "node", "n", "label", "sketch")
+    group = ("key", "b1", "b2")
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread.repartition(width, *group).sortWithinPartitions(*group).mapInArrow(
+        _compare_blocks, "u bigint, v bigint").distinct()
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group; the last group of a batch may go on in the next one."""
+    kept: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if kept is None else pa.concat_tables([kept, rows])
+        ends = _group_starts(rows)
+        if len(ends) == 1:
+            kept = rows
+            continue
+        cut = int(ends[-1])
+        yield _close_pairs(rows.slice(0, cut), ends[:-1])
+        kept = rows.slice(cut)
+    if kept is not None and kept.num_rows:
+        yield _close_pairs(kept, np.array([0]))
+
+
+def _group_starts(rows: pa.Table) -> np.ndarray:
+    changed = np.ones(rows.num_rows, dtype=bool)
+    if rows.num_rows > 1:
+        changed[1:] = False
+        for name in ("key", "b1", "b2"):
+            x = rows.column(name).to_numpy()
+            changed[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(changed)
+
+
+def _close_pairs(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    b1, b2, block, node, n, label = (rows.column(c).to_numpy() for c in ("b1", "b2", "block", "node", "n", "label"))
+    sketch = rows.column("sketch").combine_chunks()
+    sketch = sketch.flatten().to_numpy().reshape(rows.num_rows, -1).view(np.uint64) if rows.num_rows else None
+    us, vs = [], []
+    for a, b in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+        left = np.flatnonzero(block[a:b] == b1[a]) + a
+        right = np.flatnonzero(block[a:b] == b2[a]) + a
+        for i in left.tolist():
+            far = np.bitwise_count(sketch[right] ^ sketch[i]).sum(axis=1)
+            low, high = np.minimum(n[right], n[i]), np.maximum(n[right], n[i])
+            near = (label[right] != label[i]) & (low * DENOMINATOR >= high * NUMERATOR) & (far <= _farthest(n[right] + n[i]))
+            near &= node[right] != node[i] if b1[a] != b2[a] else right > i
+            hits = node[right[near]]
+            us.append(np.minimum(hits, node[i]))
+            vs.append(np.maximum(hits, node[i]))
+    empty = [np.zeros(0, dtype=np.int64)]
+    pairs = np.unique(np.stack([np.concatenate(us or empty), np.concatenate(vs or empty)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+
 def link_classes(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) of every class that links to another one.
 
     Lists are worked off hub by hub: the hub, the member with the fewest hashes of its own,
     is compared with all members of other components and leaves the list. After a few rounds
-    the lists that still hold several components are compared across components.
+    the lists that still hold several components are compared block by block.
     """
     probes = _probes(sets, scratch)
     members = scratch.keep(_members(probes, _boundary(probes)), "members0")
@@ -262,10 +354,7 @@ def link_classes(sets: DataFrame, scratch: Scratch) -> DataFrame:
                 F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct()
             members = met.filter(F.col("node") != F.col("hub.node")).select("key", "node", "n", "purity")
         else:
-            other = rows.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-            pairs = rows.join(other, "key").filter(
-                (F.col("label") < F.col("label2")) & _sizes_fit(F.col("n"), F.col("n2"))).select(
-                F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
+            pairs = _bridges(rows, sets)
         found = linker.links(pairs)
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges, scratch, f"labels{turn}_")

@@ -319,3 +319,19 @@ def test_token_counts_of_odd_texts_and_chunks():
         assert counter.count_block(data, offsets).sum() == sum(counter.count_bytes(t.encode()) for t in odd)
     long = (prose(1, 4000) + "  \n " + "unbroken" * 400 + " ").encode()
     assert counter.count_long(np.frombuffer(long, dtype=np.uint8), 700) == counter.count_bytes(long)
+
+
+def test_ngram_join_by_blocks_only(spark, monkeypatch):
+    """Without hubs and with tiny blocks, every pair is found by the block comparison."""
+    monkeypatch.setattr(ngram_join, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 7)
+    rng = random.Random(6)
+    original = prose(1, 100, 5000).split()
+    rows = []
+    for i in range(50):
+        w = list(original)
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(100)] = f"edit{rng.randrange(10_000)}"
+        rows.append((i, " ".join(w)))
+    assert by_id(ngram_join.report(spark.createDataFrame(rows, "doc_id long, text string")),
+                 "n_shingles", "component_id") == brute.components(rows)
