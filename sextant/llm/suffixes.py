@@ -83,7 +83,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (gram, around, key, pos): repeats of a surrounding (open is false), and the
     first of each where a gram has several (open is true). One row is carried over."""
-    held = None  # the only surrounding of the last gram so far
+    held = None  # (key, pos) of the only surrounding of the last gram so far
     last = None  # (gram, around) of the last row
 
     for batch in batches:
@@ -98,7 +98,7 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if goes_on:
             new_gram[0] = False
             new_around[0] = last[1] != around[0]
-        out = [(key[~new_around], pos[~new_around], gram[~new_around], np.zeros(int((~new_around).sum()), dtype=bool))]
+        out = [(key[~new_around], pos[~new_around], np.zeros(int((~new_around).sum()), dtype=bool))]
         # a first surrounding counts when its gram has another one
         group = np.cumsum(new_gram)
         several = np.bincount(group, weights=new_around & ~new_gram, minlength=int(group[-1]) + 1) > 0
@@ -107,16 +107,16 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
         known_several = goes_on and held is None
         is_open = new_around & (several[group] | ((group == 0) & known_several))
-        out.append((key[is_open], pos[is_open], gram[is_open], np.ones(int(is_open.sum()), dtype=bool)))
+        out.append((key[is_open], pos[is_open], np.ones(int(is_open.sum()), dtype=bool)))
         end = int(group[-1])
         if not (end == 0 and goes_on):
             first = np.flatnonzero(group == end)[0]
-            held = None if several[end] else (key[first], pos[first], gram[first])
+            held = None if several[end] else (key[first], pos[first])
         last = (gram[-1], around[-1])
-        cols = [np.concatenate([o[i] for o in out]) for i in range(4)]
+        cols = [np.concatenate([o[i] for o in out]) for i in range(3)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int64)),
-             pa.array(cols[3].astype(bool))], ["key", "pos", "gram", "open"])
+            [pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(bool))],
+            ["key", "pos", "open"])
 
 
 def _parts() -> list[tuple[int, int]]:
@@ -129,15 +129,15 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffix tuples of the open anchors of a text: shard, part, what follows, what precedes."""
     for batch in batches:
         rows: list[tuple] = []
-        for key, text, places, grams in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "places", "grams")), strict=True):
+        for key, text, places in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "places")), strict=True):
             raw = (text or "").encode()
-            for q, gram in zip(places, grams, strict=True):
+            for q in places:
                 for part, (low, high) in enumerate(_parts()):
-                    # the bytes every string of this part holds: `low` before the anchor, LENGTH - high after
+                    # the bytes every string of this part holds, the gram among them: they make the shard
                     if q < low or q + LENGTH - high > len(raw):
                         continue
                     core = raw[q - low:q + LENGTH - high]
-                    rows.append((gram, hash_bytes(core), part, raw[q:q + LENGTH - low], raw[max(0, q - high):q][::-1], key, q))
+                    rows.append((hash_bytes(core), part, raw[q:q + LENGTH - low], raw[max(0, q - high):q][::-1], key, q))
             if len(rows) >= 20_000:
                 yield _tuple_batch(rows)
                 rows = []
@@ -151,8 +151,8 @@ def hash_bytes(raw: bytes) -> int:
 
 
 def _tuple_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32())
-    names = ("gram", "shard", "part", "follows", "precedes", "key", "pos")
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32())
+    names = ("shard", "part", "follows", "precedes", "key", "pos")
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], list(names))
 
 
@@ -227,7 +227,7 @@ def repeated_offsets(group: np.ndarray, follows: np.ndarray, follow_length: np.n
 
 
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of repeated bytes from suffix tuples sorted by (part, gram, shard, follows)."""
+    """Spans of repeated bytes from suffix tuples sorted by (part, shard, follows)."""
     kept: list[pa.RecordBatch] = []
 
     def finish(rows: pa.Table) -> pa.RecordBatch:
@@ -237,12 +237,12 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, high = _parts()[part]
             mine = rows.filter(pa.array(parts == part)).combine_chunks()
             column = {c: mine.column(c).combine_chunks() if mine.num_rows else mine.column(c) for c in mine.column_names}
-            gram, shard, key = (column[c].to_numpy() for c in ("gram", "shard", "key"))
+            shard, key = (column[c].to_numpy() for c in ("shard", "key"))
             pos = column["pos"].to_numpy().astype(np.int64)
-            new = np.ones(len(gram), dtype=bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (shard[1:] != shard[:-1])
-            age = np.empty(len(gram), dtype=np.int64)
-            age[np.lexsort((pos, key))] = np.arange(len(gram))
+            new = np.ones(len(shard), dtype=bool)
+            new[1:] = shard[1:] != shard[:-1]
+            age = np.empty(len(shard), dtype=np.int64)
+            age[np.lexsort((pos, key))] = np.arange(len(shard))
             follows, follow_length = _matrix(column["follows"], LENGTH - low)
             precedes, precede_length = _matrix(column["precedes"], max(high, 1))
             found = repeated_offsets(np.cumsum(new), follows, follow_length, precedes, precede_length, age, low, high)
@@ -263,10 +263,10 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        gram, shard = batch.column("gram").to_numpy(), batch.column("shard").to_numpy()
+        shard = batch.column("shard").to_numpy()
         # the last group may go on in the next batch
-        changes = np.flatnonzero((gram[1:] != gram[:-1]) | (shard[1:] != shard[:-1])) + 1
-        if kept and (kept[-1].column("gram")[-1].as_py() != gram[0] or kept[-1].column("shard")[-1].as_py() != shard[0]):
+        changes = np.flatnonzero(shard[1:] != shard[:-1]) + 1
+        if kept and kept[-1].column("shard")[-1].as_py() != shard[0]:
             yield finish(pa.Table.from_batches(kept))
             kept = []
         if len(changes):
@@ -308,16 +308,17 @@ def repeated_spans(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     rows = keyed.select("key", "text").mapInArrow(_scan, "gram bigint, around bigint, key bigint, pos int")
     parts = keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")
     rows = rows.repartition(int(parts), "gram").sortWithinPartitions("gram", "around", "key", "pos")
-    classed = scratch.keep(rows.mapInArrow(_classify, "key bigint, pos int, gram bigint, open boolean"), "classed")
+    classed = scratch.keep(rows.mapInArrow(_classify, "key bigint, pos int, open boolean"), "classed")
     whole = classed.filter(~F.col("open")).select(
         "key", F.greatest(F.lit(0), F.col("pos") - REACH).alias("start"), (F.col("pos") + LENGTH).alias("end"))
-    places = classed.filter("open").groupBy("key").agg(F.collect_list(F.struct("pos", "gram")).alias("p")).select(
-        "key", F.col("p.pos").alias("places"), F.col("p.gram").alias("grams"))
+    places = classed.filter("open").groupBy("key").agg(F.collect_list("pos").alias("places"))
     tuples = keyed.select("key", "text").join(places, "key").mapInArrow(
-        _contexts, "gram bigint, shard bigint, part int, follows binary, precedes binary, key bigint, pos int")
-    tuples = tuples.repartition(int(parts), "gram", "shard").sortWithinPartitions("part", "gram", "shard", "follows")
+        _contexts, "shard bigint, part int, follows binary, precedes binary, key bigint, pos int")
+    tuples = tuples.repartition(int(parts), "shard").sortWithinPartitions("part", "shard", "follows")
     partial = tuples.mapInArrow(_induce, "key bigint, start int, end int")
-    return scratch.keep(whole.unionByName(partial), "spans")
+    spans = scratch.keep(whole.unionByName(partial), "spans")
+    scratch.drop("classed")
+    return spans
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
