@@ -225,6 +225,27 @@ def stitch_oos(held: DataFrame, rosters: DataFrame, folds: DataFrame) -> DataFra
     return held.join(chosen, inside).select("fold", "family", "rank", chosen["config_id"], "target_vol", "ts", "symbol", "pos", "held")
 
 
+def stitch_ensembles(stitched: DataFrame, rosters: DataFrame, target: float = 0.20, gross_cap: float = 3.0,
+                     ticker_cap: float = 0.40) -> DataFrame:
+    """Stitched strategies (fold, strategy, ts, symbol, pos, held): roster slots, an ensemble per family, their even mix.
+
+    An ensemble is the mean of held / selected target over the family's selected models, at the
+    common target, with gross and ticker caps; a model without a row for a cell counts as zero.
+    """
+    models = rosters.filter("selected").groupBy("fold", "family").agg(F.count(F.lit(1)).alias("_n"))
+    cells = stitched.groupBy("fold", "family", "ts", "symbol", "pos").agg(F.sum(F.col("held") / F.col("target_vol")).alias("_s"))
+    mean = cells.join(models, ["fold", "family"]).withColumn("_u", F.col("_s") / F.col("_n") * target)
+    x = D.with_totals(mean, ["fold", "family", "pos"], _g=F.sum(F.abs("_u")))
+    scale = F.least(F.lit(1.0), F.coalesce(gross_cap / F.nullif(F.col("_g"), F.lit(0.0)), F.lit(0.0)))
+    x = x.withColumn("held", F.greatest(F.least(F.col("_u") * scale, F.lit(ticker_cap)), F.lit(-ticker_cap)))
+    cell = ("ts", "symbol", "pos", "held")
+    families = models.groupBy("fold").agg(F.count(F.lit(1)).alias("_f"))
+    even = x.join(families, "fold").groupBy("fold", "ts", "symbol", "pos").agg((F.sum("held") / F.max("_f")).alias("held"))
+    slots = stitched.select("fold", F.concat_ws("_", "family", F.lit("slot"), F.col("rank").cast("string")).alias("strategy"), *cell)
+    return slots.unionByName(x.select("fold", F.concat_ws("_", "family", F.lit("ensemble")).alias("strategy"), *cell)).unionByName(
+        even.select("fold", F.lit("combined").alias("strategy"), *cell))
+
+
 def window_report(series: DataFrame, weights: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Return, Sharpe, drawdown, turnover and dominant rule of each refit window.
 

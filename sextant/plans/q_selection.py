@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sextant.functions import timeaxis as T
+from sextant.operators import accounting as G
 from sextant.operators import metrics as M
 from sextant.operators import selection as I
 from sextant.operators import universe as U
@@ -15,7 +16,7 @@ from sextant.plans import q_metrics as QM
 from sextant.plans import q_sources as QS
 from sextant.plans import sqltext as Q
 from sextant.plans.registry import r6, register, shown
-from sextant.operators import accounting as G
+from sextant.session import cut_lineage
 
 
 # --- universe -------------------------------------------------------------------------------
@@ -313,9 +314,9 @@ STITCH = """pick AS (SELECT model || rebalance || target_vol AS config_id, model
 stitched AS (SELECT p.fold, p.family, p.rank, p.target_vol, g.ts, g.symbol, g.held FROM gh g JOIN pick p ON p.config_id = g.model || g.rebalance || g.target_vol JOIN folds f ON f.fold = p.fold AND g.ts BETWEEN test_start AND test_end WHERE rank <= 2 AND abs(held) > 1e-13)"""
 
 
-def stitched(spark, sf):
+def stitch_parts(spark, sf):
+    """Held positions of every configuration, the rosters and the folds."""
     from pyspark.sql import Window
-    from sextant.session import cut_lineage
     scores = cut_lineage(scored(spark, sf)).filter("target_vol < 0.3")
     cid = F.concat("model", "rebalance", F.col("target_vol").cast("string"))
     order = Window.partitionBy("fold", "model").orderBy(r6("sharpe", 7).desc_nulls_last(), "target_vol", "rebalance")
@@ -328,15 +329,30 @@ def stitched(spark, sf):
             w = C.scale_to_target(u, target, cap, by=("model", "pos"))
             part = G.held_positions(w, cal, freq, keys=("model",)).withColumn("config_id", F.concat("model", F.lit(f"{freq}{target}")))
             held = part if held is None else held.unionByName(part)
-    return I.stitch_oos(held, pick, folds(spark, sf))
+    return held, pick, folds(spark, sf)
 
 
 @register("i08_stitch_oos", Q.query(*GBASE, folds_sql(), SCORES, STITCH, select="SELECT fold, family, rank, ts, symbol, round(held, 6) AS held FROM stitched"))
 def stitch_oos(spark, sf):
-    df = stitched(spark, sf).withColumn("rank", F.col("rank").cast("bigint"))
+    df = I.stitch_oos(*stitch_parts(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
     return shown(df, "fold", "family", "rank", "ts", "symbol", held="held")
 
 
+ENSEMBLES = """cnt AS (SELECT fold, family, count(*) AS n FROM pick WHERE rank <= 2 GROUP BY ALL),
+en0 AS (SELECT s.fold, s.family, s.ts, s.symbol, sum(held / target_vol) / any_value(n) * 0.2::DOUBLE AS u FROM stitched s JOIN cnt c ON c.fold = s.fold AND c.family = s.family GROUP BY s.fold, s.family, s.ts, s.symbol),
+en AS (SELECT fold, family, ts, symbol, greatest(least(u * least(1, coalesce(3::DOUBLE / nullif(sum(abs(u)) OVER (PARTITION BY fold, family, ts), 0), 0)), 0.4::DOUBLE), -0.4::DOUBLE) AS w FROM en0)"""
+
+
+@register("i08_stitch_ensembles", Q.query(*GBASE, folds_sql(), SCORES, STITCH, ENSEMBLES, select="""
+SELECT fold, family || '_slot_' || rank AS strategy, ts, symbol, round(held, 6) AS held FROM stitched
+UNION ALL SELECT fold, family || '_ensemble', ts, symbol, round(w, 6) FROM en
+UNION ALL SELECT fold, 'combined', ts, symbol, round(sum(w) / (SELECT count(*) FROM cnt c WHERE c.fold = en.fold), 6) FROM en GROUP BY fold, ts, symbol"""))
+def stitch_ensembles(spark, sf):
+    held, pick, spans = stitch_parts(spark, sf)
+    df = I.stitch_ensembles(cut_lineage(I.stitch_oos(held, pick, spans)), pick)
+    return shown(df, "fold", "strategy", "ts", "symbol", held="held")
+
+
 REPORT = """wts AS (SELECT 'N' || lpad(c_nationkey::VARCHAR, 2, '0') AS symbol, o_orderpriority AS rule, date_trunc('year', o_orderdate)::TIMESTAMP AS refit_ts, count(*)::DOUBLE AS weight
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 refs AS (SELECT symbol, refit_ts, arg_max(rule, (weight, rule)) AS dominant, lead(refit_ts) OVER (PARTITION BY symbol ORDER BY refit_ts) AS nxt FROM wts GROUP BY symbol, refit_ts),
