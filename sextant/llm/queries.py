@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import chat, decontaminate, mixing, ngram_join, pii, quality, suffixes, tokens, toxicity, warc
+from sextant.llm import chat, decontaminate, mixing, ngram_join, oracle_text, pii, quality, suffixes, tokens, toxicity, warc
 from sextant.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-@register("op1_warc_archives")
+@register("op1_warc_archives", oracle_text.ARCHIVES)
 def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -33,7 +33,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.report(table(spark, sf_dir, "documents"))
 
 
-@register("op3_quality_rules")
+@register("op3_quality_rules", oracle_text.QUALITY)
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
@@ -43,7 +43,7 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-@register("op5_chat_formatting")
+@register("op5_chat_formatting", oracle_text.CHAT)
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
@@ -63,7 +63,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(table(spark, sf_dir, "documents"))
 
 
-@register("op9_decontamination")
+@register("op9_decontamination", oracle_text.CONTAMINATION)
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
