@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,14 +71,23 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of every text. Of equal surroundings inside one block all but the earliest are
+    settled: they are repeats, and a scattered gram keeps them away from the group they leave."""
     for batch in batches:
         keys = batch.column("key").to_numpy(zero_copy_only=False)
         for row, data, offsets in S.blocks(batch.column("text")):
             at, gram, around = anchors(data, offsets)
             owner = np.searchsorted(offsets, at, side="right") - 1
+            key, pos = keys[row + owner], at - offsets[owner]
+            order = np.lexsort((pos, key, around, gram))
+            later = np.zeros(len(at), dtype=bool)
+            a, b = order[:-1], order[1:]
+            later[b] = (gram[a] == gram[b]) & (around[a] == around[b])
+            spread = S.mix(key.astype(np.int64).view(np.uint64) + pos.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            gram, around = np.where(later, spread, gram), np.where(later, np.uint64(0), around)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), pa.array(around.view(np.int64)), pa.array(keys[row + owner]),
-                 pa.array((at - offsets[owner]).astype(np.int32))], ["gram", "around", "key", "pos"])
+                [pa.array(gram.view(np.int64)), pa.array(around.view(np.int64)), pa.array(key), pa.array(pos.astype(np.int32)),
+                 pa.array(later)], ["gram", "around", "key", "pos", "settled"])
 
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +97,12 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = None  # (gram, around) of the last row
 
     for batch in batches:
+        settled = batch.column("settled")
+        done = batch.filter(settled)
+        if done.num_rows:
+            yield pa.RecordBatch.from_arrays([done.column("key"), done.column("pos"), pa.array(np.zeros(done.num_rows, dtype=bool))],
+                                             ["key", "pos", "open"])
+        batch = batch.filter(pc.invert(settled))
         gram, around, key, pos = (batch.column(c).to_numpy() for c in ("gram", "around", "key", "pos"))
         n = len(gram)
         if not n:
@@ -305,7 +321,7 @@ def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def repeated_spans(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, start, end) of bytes under strings that also start earlier; spans may overlap."""
-    rows = keyed.select("key", "text").mapInArrow(_scan, "gram bigint, around bigint, key bigint, pos int")
+    rows = keyed.select("key", "text").mapInArrow(_scan, "gram bigint, around bigint, key bigint, pos int, settled boolean")
     parts = keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")
     rows = rows.repartition(int(parts), "gram").sortWithinPartitions("gram", "around", "key", "pos")
     classed = scratch.keep(rows.mapInArrow(_classify, "key bigint, pos int, open boolean"), "classed")
