@@ -295,28 +295,29 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield finish(pa.Table.from_batches(kept))
 
 
-def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, doc_id, text) with a key that orders documents and tells them apart.
+def _keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """(key, doc_id, text) with a key that orders documents and tells them apart, and whether
+    any key stands on several rows.
 
     The key is the doc_id, unless ids are null or stand for several texts; then documents
     are numbered by (doc_id, text hash), nulls first.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     hashed = docs.select("doc_id", F.xxhash64("text").alias("h"))
-    odd = hashed.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter(
-        F.col("doc_id").isNull() | (F.col("a") != F.col("b")))
-    if odd.isEmpty():
-        return docs.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text")
+    ids = hashed.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count(F.lit(1)).alias("n"))
+    seen = ids.agg(F.max(F.col("doc_id").isNull() | (F.col("a") != F.col("b"))).alias("odd"), F.max("n").alias("n")).first()
+    if not seen["odd"]:
+        return docs.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text"), (seen["n"] or 0) > 1
     block = Window.partitionBy("block").orderBy("doc_id", "h")
-    rows = hashed.distinct().repartitionByRange("doc_id", "h").withColumn("block", F.spark_partition_id())
-    rows = scratch.keep(rows, "ids")
+    rows = hashed.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("rows")).repartitionByRange("doc_id", "h")
+    rows = scratch.keep(rows.withColumn("block", F.spark_partition_id()), "ids")
     sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("block", F.coalesce(F.sum("n").over(  # one row per partition
         Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     numbered = rows.withColumn("i", F.row_number().over(block)).join(before, "block").select(
         F.col("doc_id").alias("id"), "h", (F.col("i") + F.col("before")).cast("long").alias("key"))
     return docs.join(numbered, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("h"))).select(
-        "key", "doc_id", "text")
+        "key", "doc_id", "text"), not rows.filter("rows > 1").isEmpty()
 
 
 def repeated_spans(keyed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -377,8 +378,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     and text are one document and get the same result.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
-    keyed = _keyed(docs, scratch)
-    spans = repeated_spans(keyed, scratch).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("s")).select(
+    keyed, repeated = _keyed(docs, scratch)
+    # a row that repeats id and text is not an earlier document
+    once = keyed.select("key", "text").dropDuplicates(["key"]) if repeated else keyed
+    spans = repeated_spans(once, scratch).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("s")).select(
         "key", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
     kind = dict(docs.dtypes)["doc_id"]
     return keyed.join(spans, "key", "left").select("doc_id", "text", "starts", "ends").mapInArrow(

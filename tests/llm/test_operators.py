@@ -271,6 +271,15 @@ def test_repeats_with_repeated_and_missing_ids(spark):
     assert len(kept) == 5
 
 
+@pytest.mark.parametrize("extra", [[], [(None, "short")]])
+def test_a_repeated_row_is_no_earlier_document(spark, extra):
+    alone, common = prose(3, 40, 900), prose(4, 40, 900)
+    rows = [(1, alone), (1, alone), (2, common), (3, common), (3, common), *extra]
+    out = suffixes.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    kept = sorted((r.doc_id or 0, r.n_removed) for r in out)
+    assert kept == [*[(0, 0)] * len(extra), (1, 0), (1, 0), (2, 0), (3, len(common)), (3, len(common))]
+
+
 def test_contamination_equals_plain_scan(docs, nothing, spark):
     items = [(1, corpus()[0][1][40:260]), (2, "w1 w2"), (3, None), (4, "!!"), (5, corpus()[19][1]), (5, "ONE Two"), (10, "one two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
