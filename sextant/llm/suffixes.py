@@ -10,7 +10,9 @@ the preceding byte gives the next order, one plus a range minimum the next prefi
 Runs of suffixes that share ``LENGTH`` bytes are equal strings; all but the earliest go.
 
 Spark's external sort is the disk-backed queue: it holds the suffix tuples of shards that
-are far larger than memory and hands them to a task in order, group by group.
+are far larger than memory and hands them to a task in order, group by group. A task holds
+a group of at most ``GROUP_ROWS`` tuples for the induction. Of a larger one it holds nothing:
+its strings leave as hashes, one per offset, and are compared by an aggregation and a join.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ GRAM = 24
 REACH = LENGTH - GRAM  # bytes a string may reach to the left of its anchor
 # a group is cut into parts by longer strings around the anchor, each for its own offsets
 PARTS = 3
+# tuples of one group that a task may hold, at about a kilobyte each
+GROUP_ROWS = 1 << 16
 _NONE = np.uint64(2 ** 64 - 1)
 
 
@@ -177,7 +181,7 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset:column.offset + len(column) + 1]
-    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(1, dtype=np.uint8)
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(1, dtype=np.uint8)
     length = np.diff(offsets)
     at = np.minimum(offsets[:-1, None] + np.arange(width), max(len(data) - 1, 0))
     return np.where(np.arange(width) < length[:, None], data[at], 0), length
@@ -242,57 +246,120 @@ def repeated_offsets(group: np.ndarray, follows: np.ndarray, follow_length: np.n
     return found
 
 
-def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of repeated bytes from suffix tuples sorted by (part, shard, follows)."""
-    kept: list[pa.RecordBatch] = []
-
-    def finish(rows: pa.Table) -> pa.RecordBatch:
-        out = []
-        parts = rows.column("part").to_numpy()
-        for part in np.unique(parts).tolist():
-            low, high = _parts()[part]
-            mine = rows.filter(pa.array(parts == part)).combine_chunks()
-            column = {c: mine.column(c).combine_chunks() if mine.num_rows else mine.column(c) for c in mine.column_names}
-            shard, key = (column[c].to_numpy() for c in ("shard", "key"))
-            pos = column["pos"].to_numpy().astype(np.int64)
-            new = np.ones(len(shard), dtype=bool)
-            new[1:] = shard[1:] != shard[:-1]
-            age = np.empty(len(shard), dtype=np.int64)
-            age[np.lexsort((pos, key))] = np.arange(len(shard))
-            follows, follow_length = _matrix(column["follows"], LENGTH - low)
-            precedes, precede_length = _matrix(column["precedes"], max(high, 1))
-            found = repeated_offsets(np.cumsum(new), follows, follow_length, precedes, precede_length, age, low, high)
-            row, offset = np.nonzero(found)
-            start = pos[row] - low - offset
-            out.append((key[row], start))
-        keys, starts = (np.concatenate([o[i] for o in out]) for i in (0, 1))
-        order = np.lexsort((starts, keys))
-        keys, starts = keys[order], starts[order]
-        # strings that overlap become one span
-        opens = np.ones(len(keys), dtype=bool)
-        opens[1:] = (keys[1:] != keys[:-1]) | (starts[1:] > starts[:-1] + LENGTH)
-        first = np.flatnonzero(opens)
-        last = np.append(first[1:], len(keys))[:len(first)] - 1
-        return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(starts[first].astype(np.int32)),
-                                           pa.array((starts[last] + LENGTH).astype(np.int32))], ["key", "start", "end"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        shard = batch.column("shard").to_numpy()
-        # the last group may go on in the next batch
-        changes = np.flatnonzero(shard[1:] != shard[:-1]) + 1
-        if kept and kept[-1].column("shard")[-1].as_py() != shard[0]:
-            yield finish(pa.Table.from_batches(kept))
-            kept = []
-        if len(changes):
-            cut = int(changes[-1])
-            yield finish(pa.Table.from_batches([*kept, batch.slice(0, cut)]))
-            kept = [batch.slice(cut)]
-        else:
-            kept.append(batch)
-    if kept:
-        yield finish(pa.Table.from_batches(kept))
+_SPANS = pa.schema([("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("shard", pa.int64()),
+                    ("strings", pa.list_(pa.int64()))])
+
+
+def _strings(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Per tuple the hashes of its strings: the i-th begins i bytes before ``start``; null if the
+    text does not hold it."""
+    parts = rows.column("part").to_numpy()
+    for part in np.unique(parts).tolist():
+        low, high = _parts()[part]
+        mine = rows.filter(pa.array(parts == part))
+        follows, follow_length = _matrix(mine.column("follows"), LENGTH - low)
+        precedes, precede_length = _matrix(mine.column("precedes"), max(high, 1))
+        data = np.hstack([precedes[:, :high][:, ::-1], follows]).astype(np.uint8)
+        x = np.arange(low, high + 1)
+        start = np.arange(mine.num_rows)[:, None] * data.shape[1] + high - x
+        hashes = S.range_hashes(S.prefix_hashes(data.ravel()), start.ravel(), start.ravel() + LENGTH).view(np.int64)
+        absent = (x > precede_length[:, None]) | (LENGTH - x > follow_length[:, None])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(mine.num_rows + 1, dtype=np.int32) * len(x)),
+                                         pa.array(hashes, mask=absent.ravel()))
+        first = (mine.column("pos").to_numpy() - low).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [mine.column("key"), pa.array(first), pa.nulls(mine.num_rows, pa.int32()), mine.column("shard"), lists], schema=_SPANS)
+
+
+def _repeats(rows: pa.Table) -> pa.RecordBatch:
+    """Spans of repeated bytes of whole groups."""
+    out = []
+    parts = rows.column("part").to_numpy()
+    for part in np.unique(parts).tolist():
+        low, high = _parts()[part]
+        mine = rows.filter(pa.array(parts == part)).combine_chunks()
+        column = {c: mine.column(c).combine_chunks() if mine.num_rows else mine.column(c) for c in mine.column_names}
+        shard, key = (column[c].to_numpy() for c in ("shard", "key"))
+        pos = column["pos"].to_numpy().astype(np.int64)
+        new = np.ones(len(shard), dtype=bool)
+        new[1:] = shard[1:] != shard[:-1]
+        age = np.empty(len(shard), dtype=np.int64)
+        age[np.lexsort((pos, key))] = np.arange(len(shard))
+        follows, follow_length = _matrix(column["follows"], LENGTH - low)
+        precedes, precede_length = _matrix(column["precedes"], max(high, 1))
+        found = repeated_offsets(np.cumsum(new), follows, follow_length, precedes, precede_length, age, low, high)
+        row, offset = np.nonzero(found)
+        start = pos[row] - low - offset
+        out.append((key[row], start))
+    keys, starts = (np.concatenate([o[i] for o in out]) for i in (0, 1))
+    order = np.lexsort((starts, keys))
+    keys, starts = keys[order], starts[order]
+    # strings that overlap become one span
+    opens = np.ones(len(keys), dtype=bool)
+    opens[1:] = (keys[1:] != keys[:-1]) | (starts[1:] > starts[:-1] + LENGTH)
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], len(keys))[:len(first)] - 1
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys[first]), pa.array(starts[first].astype(np.int32)), pa.array((starts[last] + LENGTH).astype(np.int32)),
+         pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.list_(pa.int64()))], schema=_SPANS)
+
+
+def _inducer(limit: int):
+    """Batch function on suffix tuples sorted by (part, shard, follows): spans of repeated bytes,
+    and for tuples of groups over ``limit`` the hashes of their strings."""
+
+    def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []  # the last group so far, while it is within the limit
+        held, current = 0, None
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            shard = batch.column("shard").to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [n]))
+            low = 0
+            if current == shard[0]:  # the last group goes on
+                low = int(cuts[1])
+                kept.append(batch.slice(0, low))
+                held += low
+                if held > limit:
+                    for piece in kept:
+                        yield from _strings(piece)
+                    kept = []
+                if low == n:
+                    continue
+            last = int(cuts[-2])
+            whole = kept
+            if last > low:
+                middle, sizes = batch.slice(low, last - low), np.diff(cuts[(cuts >= low) & (cuts <= last)])
+                large = np.repeat(sizes > limit, sizes)
+                if large.any():
+                    yield from _strings(middle.filter(pa.array(large)))
+                    middle = middle.filter(pa.array(~large))
+                whole = [*kept, middle]
+            if sum(b.num_rows for b in whole):
+                yield _repeats(pa.Table.from_batches(whole))
+            kept, held, current = [batch.slice(last)], n - last, shard[last]
+            if held > limit:
+                yield from _strings(kept[0])
+                kept = []
+        if kept:
+            yield _repeats(pa.Table.from_batches(kept))
+
+    return induce
+
+
+def _later_strings(large: DataFrame) -> DataFrame:
+    """(key, start, end) of bytes under strings of large groups that also start earlier."""
+    strings = large.select("key", "shard", F.col("start").alias("at"), F.posexplode("strings").alias("i", "string")).filter(
+        F.col("string").isNotNull()).select("key", "shard", "string", "at", (F.col("at") - F.col("i")).alias("start"))
+    place = F.struct("key", "start")
+    earliest = strings.groupBy("shard", "string").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(
+        F.col("first") < F.col("last")).drop("last")
+    # the strings of one tuple overlap in the bytes that make its shard
+    return strings.join(earliest, ["shard", "string"]).filter(place > F.col("first")).groupBy("key", "shard", "at").agg(
+        F.min("start").alias("start"), (F.max("start") + LENGTH).alias("end")).select("key", "start", "end")
 
 
 def _keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
@@ -332,10 +399,12 @@ def repeated_spans(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     tuples = keyed.select("key", "text").join(places, "key").mapInArrow(
         _contexts, "shard bigint, part int, follows binary, precedes binary, key bigint, pos int")
     tuples = tuples.repartition(int(parts), "shard").sortWithinPartitions("part", "shard", "follows")
-    partial = tuples.mapInArrow(_induce, "key bigint, start int, end int")
-    spans = scratch.keep(whole.unionByName(partial), "spans")
+    partial = tuples.mapInArrow(_inducer(GROUP_ROWS), "key bigint, start int, end int, shard bigint, strings array<bigint>")
+    found = scratch.keep(whole.unionByName(partial, allowMissingColumns=True), "spans")
     scratch.drop("classed")
-    return spans
+    spans = found.filter(F.col("end").isNotNull()).select("key", "start", "end")
+    large = found.filter(F.col("end").isNull())
+    return spans if large.isEmpty() else spans.unionByName(_later_strings(large))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -280,6 +280,31 @@ def test_a_repeated_row_is_no_earlier_document(spark, extra):
     assert kept == [*[(0, 0)] * len(extra), (1, 0), (1, 0), (2, 0), (3, len(common)), (3, len(common))]
 
 
+@pytest.mark.parametrize("limit", [1, 6])
+def test_repeats_in_groups_over_the_bound(docs, spark, monkeypatch, limit):
+    monkeypatch.setattr(suffixes, "GROUP_ROWS", limit)
+    names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert by_id(suffixes.report(docs), *names) == brute.repeats([(r[0], r[1]) for r in corpus()])
+    rng = random.Random(9)
+    line = prose(6, 40, 5000)
+    rows = []
+    for i in range(60):
+        a, b = sorted((rng.randrange(len(line)), rng.randrange(len(line))))
+        rows.append((i, f"{prose(1000 + i, 12, 9000)} {line[a:b]} {prose(2000 + i, 12, 9000)} {line[:rng.randrange(len(line))]}"))
+    assert by_id(suffixes.report(spark.createDataFrame(rows, "doc_id long, text string")), *names) == brute.repeats(rows)
+
+
+def test_a_task_holds_no_group_over_the_bound(monkeypatch):
+    held = []
+    whole = suffixes._repeats
+    monkeypatch.setattr(suffixes, "_repeats", lambda rows: held.append(rows.num_rows) or whole(rows))
+    rows = [(7, 0, b"f" * 100, b"p" * 25, k, 50) for k in range(5_000)] + [(8, 0, b"g" * 100, b"", k, 50) for k in range(3)]
+    batches = [suffixes._tuple_batch(rows[k:k + 1000]) for k in range(0, len(rows), 1000)]
+    out = [r for batch in suffixes._inducer(1200)(iter(batches)) for r in batch.to_pylist()]
+    assert max(held) == 3
+    assert sum(r["end"] is None for r in out) == 5_000 and sum(r["end"] == 150 for r in out) == 2
+
+
 def test_contamination_equals_plain_scan(docs, nothing, spark):
     items = [(1, corpus()[0][1][40:260]), (2, "w1 w2"), (3, None), (4, "!!"), (5, corpus()[19][1]), (5, "ONE Two"), (10, "one two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
