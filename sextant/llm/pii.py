@@ -28,9 +28,18 @@ DATE = (r"(?<![\d./-])(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])
 SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"
 PHONE = (r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)"
          r"|(?<![\w+])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)")
-CARD = r"(?<![\w+.-])\d(?:[ -]?\d){12,18}(?![\d])"
+CARD = r"(?<![\w+.-])(?:\d{13,19}|\d(?:[ -]?\d){12,18})(?!\d)"
+LONG_CARD = r"(?<![\w+.-])\d(?:[ -]?\d){12,18}(?!\d)"
 SECRET = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)\w{6,64}|(?<![A-Za-z0-9])[0-9a-f]{40}(?![A-Za-z0-9])"
-ANY = "|".join((EMAIL, DATE, SSN, IPV4, PHONE, IBAN, CARD, SECRET))
+FIRST = "|".join((EMAIL, DATE, SSN, IPV4, PHONE))
+ANY = "|".join((FIRST, IBAN, CARD, SECRET))
+
+# characters of an account number by country
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
 
 FIRST_DAY = "1900-01-01"
 # the days from FIRST_DAY on that are permuted: a product, so it splits into two halves
@@ -129,6 +138,64 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), add)
 
 
+def _account_check(plain: Column) -> Column:
+    """1 for a valid account number without spaces."""
+    return mod97(F.concat(F.substr(plain, F.lit(5), F.length(plain)), F.substr(plain, F.lit(1), F.lit(4))))
+
+
+def _prefixes(m: Column) -> Column:
+    """The beginnings of ``m`` that end before a separator, and ``m``, by length."""
+    ends = F.filter(F.sequence(F.lit(1), F.length(m)), lambda i: (i == F.length(m)) | F.substr(m, i + 1, F.lit(1)).isin(" ", "-"))
+    return F.transform(ends, lambda i: F.substr(m, F.lit(1), i))
+
+
+def _account_in(m: Column) -> Column:
+    """The account number that ``m`` begins with: the valid beginning of the length of its
+    country, else the longest valid one; null if none is."""
+    country = F.substr(m, F.lit(1), F.lit(2))
+    length = F.lit(0)
+    for n, codes in IBAN_LENGTHS.items():
+        length = F.when(country.isin(*codes.split()), n).otherwise(length)
+    valid = F.filter(_prefixes(m), lambda p: let(_plain(p), lambda q: (F.length(q) >= 12) & (_account_check(q) == 1)))
+    return let(valid, lambda v: F.coalesce(
+        F.get(F.filter(v, lambda p: F.length(_plain(p)) == length), F.lit(0)), F.get(v, F.size(v) - 1)))
+
+
+def _card_in(m: Column) -> Column:
+    """The card number that ``m`` begins with: a valid one without separators, else the longest
+    valid beginning; null if none is."""
+
+    def right(p: Column) -> Column:
+        return let(_plain(p), lambda q: (F.length(q) >= 13) & (
+            luhn_digit(F.substr(q, F.lit(1), F.length(q) - 1)) == F.substr(q, F.length(q), F.lit(1)).cast("int")))
+
+    return let(F.filter(_prefixes(m), right), lambda v: F.when(
+        F.get(v, F.lit(0)).rlike(r"^\d+$"), F.get(v, F.lit(0))).otherwise(F.get(v, F.size(v) - 1)))
+
+
+def _valid_values(body: Column) -> Column:
+    """Patterns of the valid account and card numbers of a text, wherever one may begin."""
+
+    def pattern(found: str, value: Callable[[Column], Column], before: str, after: str) -> Column:
+        values = F.array_distinct(F.filter(F.transform(
+            F.regexp_extract_all(body, F.lit(f"(?=({found}))"), 1), value), lambda v: v.isNotNull()))
+        # a longer value first, in case another one begins it
+        ordered = F.transform(F.reverse(F.array_sort(F.transform(values, lambda v: F.struct(F.length(v), v.alias("v"))))), lambda s: s["v"])
+        return let(ordered, lambda vs: F.when(F.size(vs) > 0, F.concat(F.lit(before + "(?:"), F.array_join(vs, "|"), F.lit(")" + after))))
+
+    return F.filter(F.array(pattern(IBAN, _account_in, "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"),
+                            pattern(LONG_CARD, _card_in, r"(?<![\w+.-])", r"(?!\d)")), lambda p: p.isNotNull())
+
+
+def _pattern(values: Column) -> Column:
+    """``ANY`` for a text with valid numbers: they come before longer matches that are none, and
+    no failing account number takes one of them along."""
+    guard = F.concat(F.lit("(?! ?(?:"), F.array_join(values, "|"), F.lit("))"))
+    iban = F.concat(F.lit(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:"), guard, F.lit(" ?[A-Z0-9]{4}){2,7}(?:"), guard,
+                    F.lit(" ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"))
+    return F.concat(F.lit(FIRST + "|"), F.array_join(values, "|"), F.lit("|"), iban, F.lit("|" + CARD + "|" + SECRET))
+
+
 def _card(m: Column, key: str) -> Column:
     """All digits but the last are permuted; the last keeps its distance from the right check
     digit, so valid numbers stay valid and others do not become so."""
@@ -151,7 +218,7 @@ def _iban(m: Column, key: str) -> Column:
 
     def of(p: Column) -> Column:
         country, rest = F.substr(p, F.lit(1), F.lit(2)), F.substr(p, F.lit(5), F.length(p))
-        check = mod97(F.concat(rest, F.substr(p, F.lit(1), F.lit(4))))
+        check = _account_check(p)
         new = let(permute_text(rest, key, "iban"), lambda b: F.concat(
             country, F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
         return F.when(check == 1, _refill(m, new)).otherwise(m)
@@ -233,20 +300,24 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text") -> tuple[D
 
     E-mail addresses, telephone, card, account and social security numbers, IPv4 addresses,
     dates, access keys, passwords and digests are replaced. Texts keep their length, but for
-    IPv4 addresses. Null and empty texts stay as they are with count 0. Other columns pass
+    IPv4 addresses. A valid account or card number ends where its check digits and length say,
+    whatever word follows. Null and empty texts stay as they are with count 0. Other columns pass
     through, whatever their names; repeated rows change alike.
     """
     body, done, count = F.col(text), *fresh(docs, "done", "count")
     nothing = F.struct(body.alias("text"), F.lit(0).alias("n"))
 
-    def replaced(found: Column) -> Column:
-        return F.when(F.size(found) == 0, nothing).otherwise(let(F.split(body, ANY, -1), lambda parts: F.struct(
+    def replaced(found: Column, regex: Column) -> Column:
+        return F.when(F.size(found) == 0, nothing).otherwise(let(F.split(body, regex, -1), lambda parts: F.struct(
             F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(
                 found, lambda m, i: F.concat(pseudonym(m, key), F.get(parts, i + 1))), "")).alias("text"),
             F.size(found).alias("n"))))
 
-    out = docs.withColumn(done, F.when(body.rlike(r"\d|@|password="), let(
-        F.regexp_extract_all(body, F.lit(ANY), 0), replaced)).otherwise(nothing))
+    def search(values: Column) -> Column:
+        regex = F.when(F.size(values) == 0, F.lit(ANY)).otherwise(_pattern(values))
+        return let(regex, lambda r: let(F.regexp_extract_all(body, r, F.lit(0)), lambda found: replaced(found, r)))
+
+    out = docs.withColumn(done, F.when(body.rlike(r"\d|@|password="), let(_valid_values(body), search)).otherwise(nothing))
     return out.select(*[F.col(f"{done}.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
                       F.col(f"{done}.n").cast("long").alias(count)), count
 

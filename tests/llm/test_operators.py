@@ -153,6 +153,22 @@ def test_pseudonyms_keep_format_and_links(spark, nothing):
     assert pii.pseudonymize(nothing)[0].count() == 0
 
 
+def test_values_end_before_following_words(spark):
+    account, grouped, card, spaced = "ES9121000418450200051332", "DE89 3704 0044 0532 0130 00", "4111111111111111", "4111 1111 1111 1111"
+    texts = [account, f"{account} A pagar", f"{account} EUR", f"{account} HOLA x", f"{account} 2024", f"{account} {spaced}",
+             grouped, f"{grouped} A", f"{grouped} CASH 12", f"AB12 CDEF GHIJ {account}", f"XX12 ABCD {grouped}",
+             card, f"{card} 123", f"{card} 12/26", f"{spaced} 123", f"{spaced} 12/26", f"{spaced} 9", f"{spaced}-77", f"AB12 {spaced}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out, _ = pii.pseudonymize(df, "key")
+    got = [r.text for r in out.orderBy("doc_id").collect()]
+    new = {account: got[0], grouped: got[6], card: got[11], spaced: "".join(c + " " * (i in (3, 7, 11)) for i, c in enumerate(got[11]))}
+    assert all(k != v for k, v in new.items())
+    for before, after in zip(texts, got, strict=True):
+        for old, value in new.items():
+            before = before.replace(old, value)
+        assert after == before
+
+
 def test_permutations_are_one_to_one(spark):
     for a, b in ((7, 5), (270, 3), (1, 9)):
         pairs = spark.range(a * b).select(pii.permute_pair(
