@@ -3,8 +3,8 @@
 The normalised n-grams of a bounded block of items are broadcast as a sorted array of
 hashes; every text is scanned once per block, hits are verified on the words themselves,
 and the hit words, or the documents, are removed. Item tables beyond the bound are scanned
-block after block in one narrow stage, so no size of the item table forces a shuffle of the
-corpus or a larger broadcast.
+for block after block: one block at a time is in the driver and the workers, its hits are
+written as narrow rows, and the hits of all blocks are joined back by a digest of the text.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sextant.llm import textscan as S
-from sextant.llm.common import fresh
+from sextant.llm.common import Scratch, fresh
 
 WINDOW = 10
 # item text per broadcast; the hash set takes some twenty times as much in a worker
@@ -73,8 +73,8 @@ class GramSet:
                         yield f, length, ids
 
 
-def _scanner(shared, text: str, names: list[str], first_block: bool):
-    """Batch function: adds, or extends, the hit runs and the items of every row."""
+def _scanner(shared, text: str, names: list[str]):
+    """Batch function: adds the number of words, the hit runs and the items of every row."""
     n_name, run_name, item_name = names
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,13 +96,6 @@ def _scanner(shared, text: str, names: list[str], first_block: bool):
                     items[row + k] |= ids
             run_lists = [[x for pair in sorted(runs[i]) for x in pair] if i in runs else [] for i in range(rows)]
             item_lists = [sorted(items[i]) if i in items else [] for i in range(rows)]
-            if not first_block:
-                for i, (old, ids) in enumerate(zip(batch.column(run_name).to_pylist(),
-                                                   batch.column(item_name).to_pylist(), strict=True)):
-                    if old:
-                        pairs = sorted([*zip(old[::2], old[1::2]), *zip(run_lists[i][::2], run_lists[i][1::2])])
-                        run_lists[i] = [x for pair in pairs for x in pair]
-                        item_lists[i] = sorted({*item_lists[i], *ids})
             kept = {c: batch.column(c) for c in batch.schema.names if c not in names}
             yield pa.RecordBatch.from_pydict(kept | {
                 n_name: pa.array(n_words), run_name: pa.array(run_lists, pa.list_(pa.int32())),
@@ -111,14 +104,14 @@ def _scanner(shared, text: str, names: list[str], first_block: bool):
     return scan
 
 
-def _item_blocks(items: DataFrame) -> list[list[tuple[object, str | None]]]:
-    """Items in blocks of a bounded number of bytes; each block is collected by itself."""
+def _item_blocks(items: DataFrame) -> list[DataFrame]:
+    """Items in blocks of a bounded number of bytes; nothing is collected yet."""
     narrow = items.select(F.col("item_id").alias("id"), F.col("text").alias("text")).filter(F.col("text").isNotNull())
     size = narrow.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     # hashed blocks are near their mean; half the bound leaves room
     count = max(1, -(-2 * size // BROADCAST_BYTES)) if size > BROADCAST_BYTES else 1
     place = F.pmod(F.xxhash64("id", "text"), F.lit(count))
-    return [[(r["id"], r["text"]) for r in narrow.filter(place == k).collect()] for k in range(count)]
+    return [narrow.filter(place == k) for k in range(count)]
 
 
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW) -> tuple[DataFrame, list[str]]:
@@ -130,13 +123,38 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WI
     """
     names = fresh(docs, "n_words", "runs", "items")
     context = docs.sparkSession.sparkContext
-    out = docs
     kinds = (T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType()))
     added = [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]
-    for k, block in enumerate(_item_blocks(items)):
-        shared = context.broadcast(GramSet(block, window))
-        out = out.mapInArrow(_scanner(shared, text, names, k == 0), T.StructType([*docs.schema.fields, *added]))
-    return out, names
+
+    def scanned(df: DataFrame, shared) -> DataFrame:
+        return df.mapInArrow(_scanner(shared, text, names), T.StructType([*df.schema.fields, *added]))
+
+    def gram_set(block: DataFrame) -> GramSet:
+        return GramSet([(r["id"], r["text"]) for r in block.collect()], window)
+
+    blocks = _item_blocks(items)
+    if len(blocks) == 1:
+        return scanned(docs, context.broadcast(gram_set(blocks[0]))), names
+    digest, pairs, ids = fresh(docs, "digest", "pairs", "ids")
+    n_name, run_name, item_name = names
+    scratch = Scratch(docs.sparkSession, "hits")
+    narrow = docs.select(F.md5(text).alias(digest), text)
+    found = None
+    for k, block in enumerate(blocks):
+        shared = context.broadcast(gram_set(block))
+        hits = scratch.keep(scanned(narrow, shared).filter(F.size(run_name) > 0).select(digest, run_name, item_name), f"block{k}")
+        shared.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    run = F.transform(F.sequence(F.lit(0), F.size(run_name) - 2, F.lit(2)), lambda i: F.struct(
+        F.get(run_name, i).alias("f"), F.get(run_name, i + 1).alias("n")))
+    # rows equal in text have equal hits, which count once
+    found = found.groupBy(digest).agg(F.collect_set(run).alias(pairs), F.collect_set(item_name).alias(ids)).select(
+        digest, F.array_sort(F.array_distinct(F.flatten(pairs))).alias(pairs), F.array_sort(F.array_distinct(F.flatten(ids))).alias(ids))
+    counted = scanned(docs, context.broadcast(GramSet([], window))).withColumn(digest, F.md5(text))
+    runs = F.flatten(F.transform(pairs, lambda p: F.array(p["f"], p["n"])))
+    return counted.join(found, digest, "left").select(
+        *[F.col(f"`{c}`") for c in docs.columns], n_name, F.coalesce(runs, run_name).alias(run_name),
+        F.coalesce(ids, item_name).alias(item_name)), names
 
 
 def _union_length():

@@ -346,6 +346,29 @@ def test_contamination_in_blocks_is_the_same(docs, spark, monkeypatch):
     assert by_id(decontaminate.report(docs, bench), *names) == whole
 
 
+def test_one_block_of_items_at_a_time(docs, spark, monkeypatch):
+    bench = spark.createDataFrame([(i, prose(i, 30, 4000)) for i in range(8)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 400)
+    alive, most = set(), []
+    context = type(spark.sparkContext)
+    real = context.broadcast
+
+    def broadcast(self, value):
+        shared = real(self, value)
+        if isinstance(value, decontaminate.GramSet) and value.grams:
+            alive.add(id(shared))
+            most.append(len(alive))
+            destroy = shared.destroy
+            shared.destroy = lambda *a: (alive.discard(id(shared)), destroy(*a))
+        return shared
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    out, _ = decontaminate.scan(docs, bench)
+    assert len(most) > 2 and max(most) == 1 and not alive
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert out.count() == len(corpus())
+
+
 def test_token_counts_equal_the_library(docs, nothing):
     library = Tokenizer.from_file(VOCABULARY)
     out = by_id(tokens.count_tokens(docs, VOCABULARY), "n_bytes", "n_tokens", "over_limit")
