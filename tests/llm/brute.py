@@ -115,3 +115,25 @@ def contamination(text, items, size=10):
                     hit |= set(range(i, i + n))
                     found.add(str(item_id))
     return len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)
+
+
+def line_dedup(rows, min_chars=10):
+    """{(doc, text): (lines, dropped, kept text)}; ids compare as numbers, null last."""
+    import string
+
+    lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    rank = lambda doc: (doc is None, doc or 0)
+    holders = {}
+    for doc, text in rows:
+        for line in (text or "").split("\n"):
+            holders.setdefault(line.strip(" \t\n\x0b\f\r").translate(lower), set()).add(doc)
+    out = {}
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        kept = []
+        for line in lines:
+            key = line.strip(" \t\n\x0b\f\r").translate(lower)
+            if len(key) < min_chars or rank(min(holders[key], key=rank)) == rank(doc):
+                kept.append(line)
+        out[doc, text] = (len(lines), len(lines) - len(kept), "\n".join(kept))
+    return out
