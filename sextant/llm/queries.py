@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import chat, decontaminate, lines, mixing, ngram_join, oracle_text, pii, quality, suffixes, tokens, toxicity, warc
+from sextant.llm import (
+    chat, decontaminate, lines, mixing, negatives, ngram_join, oracle_text, pii, quality, suffixes, tokens, toxicity, warc,
+    whitening,
+)
 from sextant.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +78,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@register("op11_hard_negatives", oracle_text.NEGATIVES)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(table(spark, sf_dir, "embeddings"))
+
+
 @register("op12_line_dedup", oracle_text.LINES)
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
+
+
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))

@@ -137,3 +137,18 @@ def line_dedup(rows, min_chars=10):
                 kept.append(line)
         out[doc, text] = (len(lines), len(lines) - len(kept), "\n".join(kept))
     return out
+
+
+def hard_negatives(rows, anchors, n_positives=5, n_negatives=3):
+    """rows: (id, label, integer vector), one per id."""
+    dim = max((len(v) for _, _, v in rows), default=0)
+    full = [(i, label, [*v, *[0] * (dim - len(v))]) for i, label, v in rows]
+    out = []
+    for i, label, v in full:
+        if not anchors(i):
+            continue
+        scored = sorted(((-sum(x * y for x, y in zip(v, w)), j, other) for j, other, w in full if j != i))
+        for s, j, other in [x for x in scored if x[2] == label][:n_positives]:
+            fits = [x for x in scored if x[2] != label and 50 * -s <= 100 * -x[0] <= 95 * -s]
+            out += [(i, j, k + 1, n, -s, -t) for k, (t, n, _) in enumerate(fits[:n_negatives])]
+    return sorted(out)
