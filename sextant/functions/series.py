@@ -7,7 +7,8 @@ bars and
 * frames of bounded reach copy the few bars around a block border into the
   neighbouring block (:func:`over_bars`);
 * unbounded running values are taken inside the block, and one summary row per
-  block carries them on (:func:`running`, :func:`linear_recurrence`).
+  block carries them on (:func:`running`, :func:`linear_recurrence`), in the
+  second case as affine maps that are composed.
 
 Frames are RANGE frames over the bar number ``pos``: an absent bar takes its
 place in the frame, as a missing cell does in a wide panel, without a dense
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 BLOCK = 4_096
 # exp() of the summed log decay of one block stays far inside double range
 DECAY_RANGE = 500.0
+# block summaries that are composed in one row
+GROUP = 1_024
 
 
 def _block(block: int) -> Column:
@@ -145,21 +148,64 @@ def running(
     )
 
 
+def _compose(first: Column, then: Column) -> Column:
+    """The affine map ``y -> a * y + b`` that applies ``first`` and ``then``."""
+    return F.struct((then["a"] * first["a"]).alias("a"), (then["a"] * first["b"] + then["b"]).alias("b"))
+
+
+def _before_each(maps: Column, name: str) -> Column:
+    """(maps before each element, the map of all) of an array of structs with a map ``name``."""
+    same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    start = F.struct(F.expr("cast(array() as array<struct<a: double, b: double>>)").alias("each"), same.alias("all"))
+    return F.aggregate(maps, start, lambda acc, e: F.struct(
+        F.concat(acc["each"], F.array(acc["all"])).alias("each"), _compose(acc["all"], e[name]).alias("all")))
+
+
+def affine_carry(ends: DataFrame, maps: Sequence[str], keys: Sequence[str] = ("symbol",), group: int = GROUP) -> DataFrame:
+    """(keys, _blk) plus, per map, the value with which each block begins; the first begins at 0.
+
+    ``ends`` has one row per key and block and struct columns ``maps`` with fields (a, b): the block
+    turns ``y`` into ``a * y + b``, a null map leaves it.  Composition is associative, so ``group``
+    neighbouring blocks become one map each, those are scanned in order, and every block adds what
+    stands before it in its group.  Nothing is cut off: a block sees all blocks before it.
+    """
+    neutral = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    filled = ends.select(*keys, "_blk", *[F.coalesce(F.col(m), neutral).alias(m) for m in maps])
+    grouped = filled.groupBy(*keys, F.floor(F.col("_blk") / F.lit(group)).alias("_grp")).agg(
+        F.sort_array(F.collect_list(F.struct("_blk", *maps))).alias("_maps"))
+    scanned = grouped.select(*keys, "_grp", F.col("_maps._blk").alias("_blks"),
+                             *[_before_each(F.col("_maps"), m).alias(m) for m in maps])
+    start = F.struct(F.expr("cast(array() as array<double>)").alias("each"), F.lit(0.0).alias("y"))
+
+    def begins_of(m: str) -> Column:
+        return F.aggregate("_all", start, lambda acc, e: F.struct(
+            F.concat(acc["each"], F.array(acc["y"])).alias("each"), (e[m]["a"] * acc["y"] + e[m]["b"]).alias("y")))["each"]
+
+    whole = scanned.groupBy(*keys).agg(F.sort_array(F.collect_list(
+        F.struct("_grp", *[F.col(f"{m}.all").alias(m) for m in maps]))).alias("_all"))
+    begins = whole.select(*keys, F.col("_all._grp").alias("_grps"), *[begins_of(m).alias(m) for m in maps])
+    begins = begins.select(*keys, F.explode(F.arrays_zip("_grps", *maps)).alias("_g")).select(
+        *keys, F.col("_g._grps").alias("_grp"), *[F.col(f"_g.{m}").alias(f"_y_{m}") for m in maps])
+    each = scanned.select(*keys, "_grp", F.explode(F.arrays_zip("_blks", *[F.col(f"{m}.each").alias(m) for m in maps])).alias("_e"))
+    return each.join(begins, [*keys, "_grp"]).select(
+        *keys, F.col("_e._blks").alias("_blk"),
+        *[(F.col(f"_e.{m}.a") * F.col(f"_y_{m}") + F.col(f"_e.{m}.b")).alias(m) for m in maps])
+
+
 def linear_recurrence(
     df: DataFrame,
     specs: Mapping[str, tuple[str, str, str]],
     *,
     keys: Sequence[str] = ("symbol",),
     block: int,
-    reach: int,
+    group: int = GROUP,
 ) -> DataFrame:
     """Add ``y = a * y + b`` per series, taken at the rows where ``x`` is present (``y`` starts at 0).
 
     ``specs`` maps ``y`` to its columns ``(a, b, x)``, ``0 < a <= 1``; a row without ``x``
     repeats ``y``.  Inside a block the recurrence is a running sum of ``b`` over the running
-    product of ``a``, the factor of the first row present in the block left aside; blocks are
-    joined by the last ``reach`` summaries, beyond which the remaining factor is under double
-    precision.  Blocks without a row present have no summary, so they use up no reach.
+    product of ``a``, the factor of the first row present in the block left aside; a whole
+    block is one affine map, and :func:`affine_carry` composes those exactly.
     """
     base = df.withColumn("_blk", _block(block))
     w = Window.partitionBy(*keys, "_blk").orderBy("pos")
@@ -177,31 +223,22 @@ def linear_recurrence(
         (F.exp(f"_s{i}") * F.coalesce(F.sum(F.when(F.col(x).isNotNull(), F.col(b) * F.exp(-F.col(f"_s{i}")))).over(run),
                                       F.lit(0.0))).alias(f"_v{i}")
         for i, (_, b, x) in pairs])
+
+    def first_factor(a: str, x: str) -> Column:
+        return F.min_by(F.col(a), F.when(F.col(x).isNotNull(), F.col("pos")))
+
     ends = base.groupBy(*keys, "_blk").agg(*[
-        F.when(F.count(x) > 0, F.struct(
-            F.max_by(f"_v{i}", "pos").alias("v"),
-            F.min_by(F.col(a), F.when(F.col(x).isNotNull(), F.col("pos"))).alias("a"),
-            F.exp(F.max_by(f"_s{i}", "pos")).alias("q"),
-        )).alias(f"_e{i}")
+        F.when(F.count(x) > 0, F.struct((first_factor(a, x) * F.exp(F.max_by(f"_s{i}", "pos"))).alias("a"),
+                                        F.max_by(f"_v{i}", "pos").alias("b"))).alias(f"_c{i}")
         for i, (a, _, x) in pairs])
-    so_far = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
-    number = {x: f"_m{j}" for j, x in enumerate(sources)}
-    one = {x: i for i, (_, _, x) in pairs}
-    ends = ends.select("*", *[F.count(f"_e{one[x]}").over(so_far).alias(m) for x, m in number.items()])
-
-    def carried(i: int, x: str) -> Column:
-        near = Window.partitionBy(*keys).orderBy(number[x])
-        own = F.col(f"_e{i}").isNotNull()
-        earlier = F.when(own, F.collect_list(f"_e{i}").over(near.rangeBetween(-reach, -1))).otherwise(
-            F.collect_list(f"_e{i}").over(near.rangeBetween(1 - reach, 0)))
-        return F.aggregate(earlier, F.lit(0.0), lambda acc, e: e["v"] + e["a"] * e["q"] * acc)
-
-    carry = ends.select(*keys, "_blk", *[carried(i, x).alias(f"_c{i}") for i, (_, _, x) in pairs],
-                        *[F.col(f"_e{i}.a").alias(f"_f{i}") for i, _ in pairs])
+    carry = affine_carry(ends, [f"_c{i}" for i, _ in pairs], keys, group)
     kept = [c for c in df.columns if c not in specs]
+    # the factor left aside stands at the first row present, so every row from there on carries it
+    base = base.select("*", *[F.first(F.when(F.col(x).isNotNull(), F.col(a)), ignorenulls=True).over(run).alias(f"_f{i}")
+                              for i, (a, _, x) in pairs])
     return base.join(carry, [*keys, "_blk"]).select(*kept, *[
-        (F.col(f"_v{i}") + F.exp(f"_s{i}") * F.col(f"_c{i}") * F.when(F.col(at[x]) > 0, F.col(f"_f{i}")).otherwise(1.0)).alias(n)
-        for n, (i, (_, _, x)) in zip(specs, pairs, strict=True)])
+        (F.col(f"_v{i}") + F.exp(f"_s{i}") * F.col(f"_c{i}") * F.coalesce(f"_f{i}", F.lit(1.0))).alias(n)
+        for n, (i, _) in zip(specs, pairs, strict=True)])
 
 
 def ewma(
@@ -212,11 +249,12 @@ def ewma(
     min_bars: Mapping[str, int] | None = None,
     keys: Sequence[str] = ("symbol",),
     block: int = BLOCK,
+    group: int = GROUP,
 ) -> DataFrame:
     """Exponentially weighted means ``{out: (value, span)}`` along each series.
 
     An absent or null bar ages the earlier mean by one step and repeats it where
-    the row exists; a run of nulls may be as long as the series.  ``adjust`` divides
+    the row exists; values may be as far apart as the series is long.  ``adjust`` divides
     by the summed weights instead of starting from the first value.  ``min_bars[out]``
     values are needed before a mean shows.
     """
@@ -228,11 +266,11 @@ def ewma(
         prior[f"_n_{value}"] = ("count", F.col(value), True)
     out = running(df, prior, keys=keys, block=block)
     recur: dict[str, tuple[str, str, str]] = {}
-    steepest, slowest = 0.0, math.inf
+    steepest = 0.0
     for name, (value, span) in specs.items():
         alpha = 2.0 / (span + 1.0)
         decay = -math.log1p(-alpha) if alpha < 1 else 40.0
-        steepest, slowest = max(steepest, decay), min(slowest, decay)
+        steepest = max(steepest, decay)
         first = F.col(f"_p_{value}").isNull()
         aged = F.exp((F.col("pos") - F.col(f"_p_{value}")) * F.lit(-decay))
         keep = aged if adjust else aged / (aged + F.lit(alpha))
@@ -243,9 +281,9 @@ def ewma(
         if adjust:
             out = out.withColumn(f"_w_{name}", F.lit(1.0))
             recur[f"_d_{name}"] = (f"_a_{name}", f"_w_{name}", value)
+    # a factor is at least the decay to the power of its gap, so a block's product stays in range
     width = max(1, min(block, int(DECAY_RANGE / steepest)))
-    reach = 2 * math.ceil(40.0 / (width * slowest)) + 1
-    out = linear_recurrence(out, recur, keys=keys, block=width, reach=reach)
+    out = linear_recurrence(out, recur, keys=keys, block=width, group=group)
     kept = [c for c in df.columns if c not in specs]
     final = []
     for name, (value, _) in specs.items():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MINUTE = 60
 HOUR = 3_600
 DAY = 86_400
 WEEK = 7 * DAY

@@ -65,6 +65,14 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.with_pos(bars, T.HOUR)
 
 
+def user_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last event value per user and minute, hours or days apart: ts, symbol, close, pos."""
+    bars = table(spark, sf_dir, "events").groupBy(
+        T.floor_to(F.col("ts"), T.MINUTE).alias("ts"), F.col("user_id").cast("string").alias("symbol"),
+    ).agg(F.max_by("value", F.struct("ts", "event_id")).alias("close"))
+    return T.with_pos(bars, T.MINUTE)
+
+
 def funding_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw funding rows on 8 h marks: symbol, funding_time, funding_rate, mark_price?, seq."""
     events = table(spark, sf_dir, "events")

@@ -102,6 +102,16 @@ def ewma(spark, sf):
     return shown(df, "ts", "symbol", fast="fast", slow="slow")
 
 
+@register("d05_ewma_sparse", Q.query(Q.USER_BARS, Q.ewma_cte("a", "bars", "close", 2), Q.ewma_cte("b", "bars", "close", 128),
+    Q.ewma_cte("c", "bars", "close", 2000, 3), recursive=True, select="""
+SELECT a.ts, a.symbol, round(a.y, 6) AS fast, round(b.y, 6) AS slow, round(c.y, 6) AS slower
+FROM a JOIN b USING (symbol, pos) JOIN c USING (symbol, pos)"""))
+def ewma_sparse(spark, sf):
+    df = S.ewma(P.user_bars(spark, sf), {"fast": ("close", 2), "slow": ("close", 128), "slower": ("close", 2000)},
+                min_bars={"slower": 3})
+    return shown(df, "ts", "symbol", fast="fast", slow="slow", slower="slower")
+
+
 # supplier x day on a dense calendar: most cells are null, in runs of any length
 DENSE = """cells AS (SELECT c.pos, s.symbol, p.value AS close FROM (SELECT unnest(range((SELECT min(pos) FROM positions), (SELECT max(pos) FROM positions) + 1)) AS pos) c
   CROSS JOIN (SELECT DISTINCT symbol FROM positions) s LEFT JOIN positions p ON p.pos = c.pos AND p.symbol = s.symbol)"""

@@ -30,6 +30,11 @@ HOURLY = """bars AS (
          floor(epoch(date_trunc('hour', ts)::TIMESTAMP) / 3600)::BIGINT AS pos
   FROM events GROUP BY date_trunc('hour', ts), event_type)"""
 
+USER_BARS = """bars AS (
+  SELECT date_trunc('minute', ts)::TIMESTAMP AS ts, user_id::VARCHAR AS symbol, arg_max(value, (ts, event_id)) AS close,
+         floor(epoch(date_trunc('minute', ts)::TIMESTAMP) / 60)::BIGINT AS pos
+  FROM events GROUP BY date_trunc('minute', ts), user_id)"""
+
 FUNDING_RAW = """raw_funding AS (
   SELECT event_type AS symbol,
          (date_trunc('day', ts)::TIMESTAMP + to_hours((hour(ts) // 8 * 8)::INTEGER)) AS funding_time,
