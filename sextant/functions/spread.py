@@ -3,8 +3,8 @@
 The groups are cross-sections (all symbols at one ``ts``) or pooled samples (all
 rows of a rule).  Values are cut into order-preserving buckets that depend on
 the value alone, the buckets are counted with map-side aggregation, and only
-one bucket at a time is sorted, so a group that holds a third of the rows is
-still spread over many tasks.  Group keys must not be null.
+distinct values of one bucket at a time are sorted, so a group that holds a third
+of the rows is still spread over many tasks, whatever its values are.  Group keys must not be null.
 """
 
 from __future__ import annotations
@@ -15,25 +15,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS_PER_E_FOLD = 24
+# significant bits of a bucket's value, of a part of a bucket, and of a bucket of ranks
+BUCKET_BITS, PART_BITS, RANK_BITS = 9, 31, 20
 
 
-def value_bucket(x: Column) -> Column:
-    """A bucket number that never decreases in ``x``."""
-    size = F.log1p(F.abs(x) * 1e6) * BUCKETS_PER_E_FOLD
-    return (F.signum(x) * F.floor(size)).cast("bigint")
+def value_bucket(x: Column, bits: int = BUCKET_BITS) -> Column:
+    """``x`` rounded to ``bits`` significant bits; never decreases in ``x``.
+
+    The sum and difference with a multiple of ``x`` drop the low bits by the rounding of the
+    processor.  Numbers too large for the multiple are buckets of their own.
+    """
+    multiple = x * F.lit(float((1 << (53 - bits)) + 1))
+    return F.when(F.abs(x) < F.lit(2.0 ** 960), multiple - (multiple - x)).otherwise(x)
 
 
-def _bucket_offsets(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per (by, _b): rows in the bucket, rows before it and rows in the group."""
-    counts = df.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+def _offsets(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, _b, _before, _total) from (by, _b, _n): rows in earlier buckets and rows in the group."""
     group = [F.col(c) for c in by] or [F.lit(0)]
     ordered = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(
-        *by, "_b", "_n",
-        F.coalesce(F.sum("_n").over(ordered), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*group)).alias("_total"),
-    )
+    return counts.select(*by, "_b", "_n", F.coalesce(F.sum("_n").over(ordered), F.lit(0)).alias("_before"),
+                         F.sum("_n").over(Window.partitionBy(*group)).alias("_total"))
 
 
 def rank_within(
@@ -50,21 +51,29 @@ def rank_within(
     """Rank of ``value`` inside each group; null values get no rank.
 
     ``how`` is ``average`` (ties share the mean rank) or ``row`` (ties are ordered
-    by the ``ties`` columns).  ``count_as`` names the count of ranked rows.
+    by the ``ties`` columns).  Mean ranks are found on distinct values with their counts and
+    joined back, so ties of any number are one row to the windows; a window holds the distinct
+    values of one bucket.  ``count_as`` names the count of ranked rows.
     """
     x = -F.col(value) if descending else F.col(value)
-    tagged = df.withColumn("_v", x.cast("double")).withColumn("_b", value_bucket(F.col("_v")))
-    offsets = _bucket_offsets(tagged.filter(F.col("_v").isNotNull()), by)
-    w = Window.partitionBy(*by, "_b").orderBy("_v")
+    tagged = df.withColumn("_v", x.cast("double")).withColumn("_b", value_bucket(F.col("_v"), RANK_BITS))
+    kept = [c for c in df.columns if c not in (out, count_as)]
+    present = tagged.filter(F.col("_v").isNotNull())
     if how == "average":
-        local = F.rank().over(w) + (F.count(F.lit(1)).over(w.rangeBetween(0, 0)) - 1) / 2
+        counted = present.groupBy(*by, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
+        offsets = _offsets(counted.groupBy(*by, "_b").agg(F.sum("_n").alias("_n")), by).drop("_n")
+        lower = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+        first = F.col("_before") + F.coalesce(F.sum("_n").over(lower), F.lit(0))
+        ranks = counted.join(offsets, [*by, "_b"]).select(*by, "_v", "_total", (first + (F.col("_n") + 1) / 2).alias("_rank"))
+        joined = tagged.join(ranks, [*by, "_v"], "left")
+        cols = [F.col("_rank").alias(out)]
     elif how == "row":
+        offsets = _offsets(present.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")), by)
         local = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_v", *ties))
+        joined = tagged.join(offsets, [*by, "_b"], "left")
+        cols = [F.when(F.col("_v").isNotNull(), F.col("_before") + local).alias(out)]
     else:
         raise ValueError(f"unknown rank method {how!r}")
-    kept = [c for c in df.columns if c not in (out, count_as)]
-    joined = tagged.join(offsets, [*by, "_b"], "left")
-    cols = [F.when(F.col("_v").isNotNull(), F.col("_before") + local).alias(out)]
     if count_as:
         cols.append(F.col("_total").alias(count_as))
     return joined.select(*kept, *cols)
@@ -76,39 +85,59 @@ def percentile_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> D
     return ranked.withColumn(out, F.col("_r") / F.col("_c")).drop("_r", "_c")
 
 
-def quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]
-) -> DataFrame:
-    """Exact linear quantiles per group: one row per group, one column per entry.
+def locate(counts: DataFrame, by: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Buckets that hold the order statistics of each quantile.
 
-    Bucket counts locate the order statistics; only rows of the buckets that
-    hold them are sorted.  Groups without a value are absent.
+    ``counts``: (by, _b, _n).  Returns (by, _b, _before, _name, _at, _lo, _hi) with the
+    wanted places counted from 0.
     """
-    x = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    x = x.withColumn("_b", value_bucket(F.col("_v")))
     wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probs.items()])
-    spots = (
-        _bucket_offsets(x, by).withColumn("_q", F.explode(wanted))
-        .withColumn("_at", F.col("_q.p") * (F.col("_total") - 1))
+    return (
+        _offsets(counts, by).withColumn("_q", F.explode(wanted)).withColumn("_at", F.col("_q.p") * (F.col("_total") - 1))
         .select(*by, "_b", "_before", "_n", F.col("_q.name").alias("_name"), "_at",
                 F.floor("_at").alias("_lo"), F.ceil("_at").alias("_hi"))
         .filter((F.col("_before") <= F.col("_hi")) & (F.col("_before") + F.col("_n") > F.col("_lo")))
         .drop("_n")
     )
-    near = x.join(spots, [*by, "_b"])
-    distinct = near.groupBy(*by, "_b", "_name", "_at", "_lo", "_hi", "_before", "_v").agg(
-        F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*by, "_b", "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = distinct.withColumn("_end", F.col("_before") + F.sum("_n").over(upto))
+
+
+def settle(counted: DataFrame, spots: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Quantiles (by, names) from the distinct values of the located buckets.
+
+    ``counted``: (by, _b, _v, _n).  A bucket is cut once more into some four million parts at
+    most by the next bits; only the parts that hold a wanted place are sorted, and the
+    remaining bits allow a part no more distinct values than that, whatever the values are.
+    """
+    cut = counted.withColumn("_c", value_bucket(F.col("_v"), PART_BITS))
+    sums = cut.groupBy(*by, "_b", "_c").agg(F.sum("_n").alias("_m")).join(spots, [*by, "_b"])
+    before = Window.partitionBy(*by, "_b", "_name").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sums.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_m").over(before), F.lit(0))).filter(
+        (F.col("_before") <= F.col("_hi")) & (F.col("_before") + F.col("_m") > F.col("_lo"))).drop("_m")
+    upto = Window.partitionBy(*by, "_b", "_c", "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = cut.join(parts, [*by, "_b", "_c"]).withColumn("_end", F.col("_before") + F.sum("_n").over(upto))
     start = F.col("_end") - F.col("_n")
+    out = []
+    for n in names:
+        own = F.col("_name") == n
+        low, high = (F.max(F.when(own & (start <= F.col(spot)) & (F.col(spot) < F.col("_end")), F.col("_v"))) for spot in ("_lo", "_hi"))
+        out.append((low + (high - low) * F.max(F.when(own, F.col("_at") - F.col("_lo")))).alias(n))
+    return placed.groupBy(*by).agg(*out)
 
-    def holds(spot: str) -> Column:
-        return F.max(F.when((start <= F.col(spot)) & (F.col(spot) < F.col("_end")), F.col("_v")))
 
-    picked = placed.groupBy(*by, "_name").agg(
-        holds("_lo").alias("_low"), holds("_hi").alias("_high"), F.max(F.col("_at") - F.col("_lo")).alias("_f"))
-    picked = picked.withColumn("_q", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_f"))
-    return picked.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in probs])
+def quantiles(
+    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]
+) -> DataFrame:
+    """Exact linear quantiles per group: one row per group, one column per entry.
+
+    Bucket counts locate the order statistics; only the distinct values of the
+    buckets that hold them are looked at again.  Groups without a value are absent.
+    """
+    x = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    x = x.withColumn("_b", value_bucket(F.col("_v")))
+    spots = locate(x.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")), by, probs)
+    near = x.join(spots.select(*by, "_b"), [*by, "_b"], "left_semi")
+    counted = near.groupBy(*by, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    return settle(counted, spots, by, list(probs))
 
 
 def with_totals(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:

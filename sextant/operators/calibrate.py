@@ -2,8 +2,8 @@
 
 Forecasts are long: (ts, symbol, pos, rule, value).  Refits are a small table
 (refit, start): a refit at bar ``refit`` uses bars start <= pos < refit and is
-active from the next bar.  History rows meet the refits in a range join that
-feeds map-side aggregates directly, so the replicated rows are never shuffled.
+active from the next bar.  History rows are aggregated once per segment between
+refits (:mod:`sextant.operators.refits`), and refits merge those aggregates.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sextant.functions import series as S
 from sextant.functions import spread as D
 from sextant.functions.stats import safe_corr
+from sextant.operators import refits as R
 from sextant.operators.signals import capped, legacy_cap
 from sextant.session import cut_lineage
 
@@ -126,11 +127,16 @@ def _corr_table(wide: DataFrame, rules: Sequence[str], by: Sequence[str], column
     aggs = [safe_corr(cols[a], cols[b]).alias(f"_{i}")
             for i, (a, b) in enumerate(combinations(rules, 2))]
     table = wide.groupBy(*by).agg(*aggs, F.count(F.lit(1)).alias("_n"))
+    return _cells(table.filter(F.col("_n") > 0), rules, by)
+
+
+def _cells(table: DataFrame, rules: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Both halves and the diagonal of a matrix from columns ``_0``, ``_1``, ... of its pairs."""
     cells = [F.struct(F.lit(r).alias("a"), F.lit(r).alias("b"), F.lit(1.0).alias("corr")) for r in rules]
     for i, (a, b) in enumerate(combinations(rules, 2)):
         c = F.coalesce(F.col(f"_{i}"), F.lit(0.0)).alias("corr")
         cells += [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), c), F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), c)]
-    return table.filter(F.col("_n") > 0).select(*by, F.explode(F.array(*cells)).alias("_c")).select(
+    return table.select(*by, F.explode(F.array(*cells)).alias("_c")).select(
         *by, "_c.a", "_c.b", "_c.corr")
 
 
@@ -201,12 +207,6 @@ def refit_dates(calendar: DataFrame, schedule: str, least: int = 365, history_da
     return out.select("refit", "refit_ts", "activation", "start")
 
 
-def in_history(rows: DataFrame, refits: DataFrame, before: int = 0) -> DataFrame:
-    """Rows repeated for every refit whose history holds them (``before`` bars of embargo)."""
-    inside = (F.col("pos") >= F.col("start")) & (F.col("pos") + before < F.col("refit"))
-    return rows.join(refits.select("refit", "start"), inside).drop("start")
-
-
 def calibration_path(fc: DataFrame, returns: DataFrame, refits: DataFrame, rules: Sequence[str], *, shrink: float,
                      cap: float, lag: int = 2, cap_fdm: float = 2.5, cap_forecast: float = 20.0,
                      fixed_scalars: Mapping[str, float] | None = None, fit_weights: bool = True) -> DataFrame:
@@ -215,28 +215,30 @@ def calibration_path(fc: DataFrame, returns: DataFrame, refits: DataFrame, rules
     At each refit, on the rows before it only: scalars from pooled medians,
     scores from the capped scaled forecast times the return ``lag`` bars later,
     weights shrunk and capped, and the multiplier from the pooled correlation.
+    Rows are aggregated per segment of the calendar between refits, not per refit.
     The forecasts, the refit table and the fitted scalars and weights are
     checkpointed: each feeds several of these steps.
     """
-    fc, refits = cut_lineage(fc), cut_lineage(refits)
-    history = in_history(fc, refits)
+    fc, histories = cut_lineage(fc), R.Histories(refits, [lag])
+    # one row per refit and rule: kept in one partition, so the steps below need no exchange
     if fixed_scalars is None:
-        scalars = pooled_scalars(history, ("refit", "rule"))
+        found = R.medians(fc, histories, F.abs("value"), "_m")
+        every = histories.cover().select("refit").distinct().select("refit", F.explode(F.array(*[F.lit(r) for r in rules])).alias("rule"))
+        scalars = every.join(found, ["refit", "rule"], "left").select("refit", "rule", _scalar(F.col("_m")).alias("scalar"))
     else:
         table = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(s)).alias("scalar")) for r, s in fixed_scalars.items()])
         scalars = refits.select("refit", F.inline(table))
-    scalars = cut_lineage(scalars)
+    scalars = cut_lineage(scalars.coalesce(1))
     if fit_weights:
         # the paired return has to be known before the refit; the cap needs the refit's own scalar
-        later = returns.select("symbol", (F.col("pos") - lag).alias("pos"), F.col("ret").alias("_r"))
-        pnl = in_history(fc.join(later, ["symbol", "pos"], "left"), refits).join(scalars, ["refit", "rule"])
-        known = F.when(F.col("pos") + lag < F.col("refit"), F.col("_r"))
-        pnl = pnl.withColumn("pnl", capped(F.col("value") * F.col("scalar"), cap_forecast) / 10.0 * known)
-        scores = _scores(pnl, ["refit", "rule"]).withColumnRenamed("score", "weight")
+        later = returns.select("symbol", (F.col("pos") - lag).alias("pos"), "ret")
+        outcomes = fc.select("symbol", "rule", "pos", "value").join(later, ["symbol", "pos"], "left")
+        scores = R.scores(outcomes, histories, scalars, cap_forecast, lag).withColumnRenamed("score", "weight")
     else:
-        scores = scalars.select("refit", "rule", F.lit(1.0).alias("weight"))
-    weights = cut_lineage(shrink_cap(scores, shrink, cap, ["refit"]).select("refit", "rule", "weight"))
-    corr = history_corr(fc, refits, rules, scalars, cap_forecast)
+        present = histories.of(fc).select("rule", "seg").distinct().join(histories.cover(), "seg").select("refit", "rule").distinct()
+        scores = scalars.join(present, ["refit", "rule"]).select("refit", "rule", F.lit(1.0).alias("weight"))
+    weights = cut_lineage(shrink_cap(cut_lineage(scores.coalesce(1)), shrink, cap, ["refit"]).select("refit", "rule", "weight"))
+    corr = _history_corr(fc, histories, rules, scalars, cap_forecast).coalesce(1)
     multiplier = fdm(weights, corr, cap_fdm, ["refit"])
     return scalars.join(weights, ["refit", "rule"]).join(multiplier, "refit").select("refit", "rule", "scalar", "weight", "fdm")
 
@@ -244,10 +246,13 @@ def calibration_path(fc: DataFrame, returns: DataFrame, refits: DataFrame, rules
 def history_corr(fc: DataFrame, refits: DataFrame, rules: Sequence[str], scalars: DataFrame,
                  cap: float = 20.0) -> DataFrame:
     """Pooled correlation of the capped scaled forecasts before each refit: (refit, a, b, corr)."""
-    per_refit = scalars.groupBy("refit").pivot("rule", list(rules)).agg(F.first("scalar"))
-    per_refit = per_refit.select("refit", *[F.col(r).alias(f"_s_{r}") for r in rules])
-    wide = in_history(_wide(fc, rules), refits).join(per_refit, "refit")
-    return _corr_table(wide, rules, ["refit"], lambda r: capped(F.col(r) * F.col(f"_s_{r}"), cap))
+    return _history_corr(fc, R.Histories(refits), rules, scalars, cap)
+
+
+def _history_corr(fc: DataFrame, histories: R.Histories, rules: Sequence[str], scalars: DataFrame, cap: float) -> DataFrame:
+    table = R.rule_corrs(_wide(fc, rules), histories, scalars, rules, cap)
+    return _cells(table.select("refit", *[F.get("corrs", F.lit(i)).alias(f"_{i}") for i in range(len(rules) * (len(rules) - 1) // 2)]),
+                  rules, ["refit"])
 
 
 def step_path(steps: DataFrame, calendar: DataFrame, refits: DataFrame, values: Mapping[str, float],
@@ -283,11 +288,11 @@ def ic_weights(fc: DataFrame, px: DataFrame, refits: DataFrame, calendar: DataFr
     """
     fc, refits = cut_lineage(fc), cut_lineage(refits)
     following = px.select("symbol", (F.col("pos") - 1).alias("pos"), F.col(value).alias("_next"))
-    scores = None
+    scores, histories = None, R.Histories(refits, [h + 1 for h in horizons])
     for h in horizons:
         ahead = future_returns(following.withColumnRenamed("_next", "close"), h)
-        daily = cut_lineage(row_corr(fc, ahead, min_n, ["rule"]))
-        part = in_history(daily, refits, before=h + 1).groupBy("refit", "rule").agg(F.avg("ic").alias("ic"))
+        daily = row_corr(fc, ahead, min_n, ["rule"])
+        part = R.means(daily, histories, h + 1, "ic", ["rule"], "ic")
         scores = part if scores is None else scores.unionByName(part)
     table = F.array(*[F.lit(r) for r in rules])
     every = refits.select("refit", F.explode(table).alias("rule"))
@@ -410,8 +415,7 @@ def forecast_blend(a: DataFrame, b: DataFrame, refits: DataFrame, calendar: Data
     """Half and half of two forecasts (ts, symbol, pos, f) times their causal pairwise multiplier, over 20."""
     x = a.select("ts", "symbol", "pos", F.col("f").alias("_a")).join(
         b.select("symbol", "pos", F.col("f").alias("_b")), ["symbol", "pos"])
-    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    c = in_history(x.filter(both), refits).groupBy("refit").agg(safe_corr("_a", "_b").alias("corr"))
+    c = R.pair_corr(x.select("pos", F.col("_a").alias("a"), F.col("_b").alias("b")), R.Histories(refits))
     c = refits.select("refit").join(c, "refit", "left").withColumn("corr", F.coalesce("corr", F.lit(0.0)))
     path = step_path(c, calendar, refits, {"corr": 0.0}, keys=())
     var = 0.5 + 0.5 * F.col("corr")

@@ -155,12 +155,12 @@ def rule_corr(spark, sf):
     return shown(K.rule_corr(forecasts(spark, sf), RULES), "a", "b", corr="corr")
 
 
-@register("e09_avg_ticker_corr", Q.query(*BASE, """cw AS (SELECT symbol, pos FROM fc WHERE rule <> 'breakout_32' GROUP BY symbol, pos HAVING count(value) = 2),
+@register("e09_avg_ticker_corr", Q.query(*BASE, f"""cw AS (SELECT symbol, pos FROM fc GROUP BY symbol, pos HAVING count(value) = {len(RULES)}),
 ok AS (SELECT symbol FROM cw GROUP BY symbol HAVING count(*) >= 5),
-tc AS (SELECT symbol, a.rule AS a, b.rule AS b, corr(a.value, b.value) AS c FROM cw JOIN ok USING (symbol) JOIN fc a USING (symbol, pos) JOIN fc b USING (symbol, pos) WHERE a.rule <> 'breakout_32' AND b.rule <> 'breakout_32' GROUP BY ALL)""", select="""
+tc AS (SELECT symbol, a.rule AS a, b.rule AS b, corr(a.value, b.value) AS c FROM cw JOIN ok USING (symbol) JOIN fc a USING (symbol, pos) JOIN fc b USING (symbol, pos) GROUP BY ALL)""", select="""
 SELECT a, b, round(CASE WHEN a = b THEN 1 WHEN count(*) FILTER (NOT isfinite(c) OR c IS NULL) > 0 THEN 0 ELSE greatest(avg(c), 0) END, 6) AS corr FROM tc GROUP BY a, b"""))
 def avg_ticker_corr(spark, sf):
-    return shown(K.avg_ticker_corr(forecasts(spark, sf), RULES[:2], 5), "a", "b", corr="corr")
+    return shown(K.avg_ticker_corr(forecasts(spark, sf), RULES, 5), "a", "b", corr="corr")
 
 
 @register("e10_fdm", Q.query(*BASE, CORR, scores_sql(1), project_sql("scores", "", 0.5, 0.4, "pr", raw="score"), select="""
