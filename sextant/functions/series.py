@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BLOCK = 4_096
+# rows in a block that is cut by row count
+BLOCK_ROWS = 65_536
 # exp() of the summed log decay of one block stays far inside double range
 DECAY_RANGE = 500.0
 # block summaries that are composed in one row
@@ -104,20 +106,35 @@ _COMBINE = {
 }
 
 
+def row_blocks(df: DataFrame, out: str, *, cell: int, keys: Sequence[str] = ("symbol",), rows: int = BLOCK_ROWS) -> DataFrame:
+    """Number blocks of each series that hold about ``rows`` rows, however densely they lie.
+
+    Rows are counted per cell of ``cell`` bars; a block is a run of cells whose rows begin within
+    the same ``rows`` of the running count, so it exceeds ``rows`` by less than its last cell
+    holds.  Only the counts are ordered per key, not the rows.
+    """
+    celled = df.withColumn("_cell", F.floor(F.col("pos") / F.lit(cell)).cast("bigint"))
+    counts = celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.select(*keys, "_cell", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(rows)).alias(out))
+    return celled.join(blocks, [*keys, "_cell"]).drop("_cell")
+
+
 def running(
     df: DataFrame,
     specs: Mapping[str, tuple[str, Column | str, bool]],
     *,
     keys: Sequence[str] = ("symbol",),
-    block: int = BLOCK,
+    block: int | str = BLOCK,
 ) -> DataFrame:
     """Add running values from the start of each series.
 
     ``specs`` maps a new column to ``(kind, column, include_current)`` with kind
     ``sum``, ``max``, ``min``, ``product``, ``count`` or ``last`` (the last
-    non-null value).
+    non-null value).  ``block`` is a number of bars, or a column of block numbers
+    that never decrease along ``pos``.
     """
-    base = df.withColumn("_blk", _block(block))
+    base = df.withColumn("_blk", F.col(block) if isinstance(block, str) else _block(block))
     exprs = {}
     for name, (kind, col, inclusive) in specs.items():
         exprs[name] = (kind, F.col(col) if isinstance(col, str) else col, inclusive)

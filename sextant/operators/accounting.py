@@ -20,7 +20,8 @@ from sextant.functions.dedupe import keep_last
 from sextant.operators.signals import diff_vol, ffill
 
 BARS_PER_YEAR = {"1d": 365, "4h": 365 * 6, "1h": 365 * 24}
-ASOF_BLOCK = 2 * 90 * T.DAY
+# slots of an hour, the finest grain at which a key is cut
+ASOF_CELL = 2 * T.HOUR
 
 
 def size_positions(df: DataFrame, *, value: float, target: float, freq: str, lookback: int,
@@ -118,11 +119,12 @@ def position_pnl(prices: DataFrame, positions: DataFrame, point_value: float = 1
 
 
 def asof_last(events: DataFrame, states: DataFrame, *, keys: Sequence[str], values: Sequence[str],
-              time: str = "ts", strict: bool = True) -> DataFrame:
+              time: str = "ts", strict: bool = True, rows: int = S.BLOCK_ROWS) -> DataFrame:
     """Each event with the last state of its key before it (``strict``) or at it.
 
-    Events and states are put on one axis (two slots per second) and the last
-    state is carried along it in blocks, so a hot key is still split by time.
+    Events and states are put on one axis (two slots per second), which is cut per key into
+    blocks of about ``rows`` rows; the last state of a block is carried over its border.
+    So a hot key is split however dense it is, and a sparse one is not.
     """
     slot = T.epoch_second(F.col(time)) * 2
     pack = F.struct(*values)
@@ -131,7 +133,8 @@ def asof_last(events: DataFrame, states: DataFrame, *, keys: Sequence[str], valu
     s = states.select(*keys, (slot + (1 if strict else 0)).alias("pos"), pack.alias("_state"), F.lit(False).alias("_event"))
     s = keep_last(s, [*keys, "pos"], "pos")
     both = e.unionByName(s, allowMissingColumns=True)
-    found = S.running(both, {"_found": ("last", "_state", True)}, keys=keys, block=ASOF_BLOCK)
+    cut = S.row_blocks(both, "_rows", cell=ASOF_CELL, keys=keys, rows=rows)
+    found = S.running(cut, {"_found": ("last", "_state", True)}, keys=keys, block="_rows")
     return found.filter("_event").select(
         *[c for c in events.columns if c not in values], *[F.col(f"_found.{v}").alias(v) for v in values])
 

@@ -1,10 +1,12 @@
 """Hand-made cases of the operators with their expected values."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import as_wide
 from pyspark.sql import functions as F
 
+from sextant.functions import series as S
 from sextant.functions import timeaxis as T
 from sextant.operators import accounting as G
 from sextant.operators import calibrate as K
@@ -235,3 +237,33 @@ def test_ewmac_equals_the_wide_formula(panel):
     risk = wide.pct_change(fill_method=None).rolling(10, min_periods=10).std() * wide.shift(1)
     expected = ((fast - slow) / risk).clip(-20, 20).where(wide.notna()).reindex(index=got.index, columns=got.columns)
     np.testing.assert_allclose(got.to_numpy(), expected.to_numpy(), rtol=1e-9)
+
+
+@pytest.mark.parametrize("strict", [True, False])
+@pytest.mark.parametrize("rows", [7, 1000, 65_536])
+def test_asof_equals_pandas_for_dense_and_sparse_keys(spark, rows, strict):
+    rng = np.random.default_rng(rows)
+    start = pd.Timestamp("2024-01-01")
+    spans = {"dense": 5_000, "sparse": 300_000_000, "late": 10}
+    events = pd.DataFrame([(k, start + pd.Timedelta(seconds=int(t)), i) for k, span in spans.items()
+                           for i, t in enumerate(rng.integers(0, span, 400))], columns=["symbol", "ts", "id"])
+    states = pd.DataFrame([(k, start + pd.Timedelta(seconds=int(t)), float(i)) for k, span in spans.items() if k != "late"
+                           for i, t in enumerate(rng.choice(span, 150, replace=False))], columns=["symbol", "ts", "v"])
+    states = pd.concat([states, pd.DataFrame([("late", start + pd.Timedelta(days=9), 1.0)], columns=states.columns)])
+    e = spark.createDataFrame(events).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    s = spark.createDataFrame(states).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = G.asof_last(e, s, keys=("symbol",), values=("v",), strict=strict, rows=rows).toPandas().set_index(["symbol", "id"]).v.sort_index()
+    want = pd.merge_asof(events.sort_values("ts"), states.sort_values("ts"), on="ts", by="symbol", allow_exact_matches=not strict)
+    pd.testing.assert_series_equal(got, want.set_index(["symbol", "id"]).v.sort_index())
+
+
+def test_blocks_of_one_hot_key_are_bounded(spark):
+    """A million rows of one key in two days, most of them in one hour."""
+    df = spark.range(1_000_000).select(F.lit("hot").alias("symbol"), F.when(F.col("id") % 10 < 8, F.col("id") % 7_200).otherwise(
+        F.col("id") % 345_600).alias("pos"))
+    cut = S.row_blocks(df, "b", cell=600, rows=20_000)
+    sizes = cut.groupBy("symbol", "b").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high")).orderBy("b").collect()
+    assert sum(r.n for r in sizes) == 1_000_000 and len(sizes) >= 10
+    cell = df.groupBy(F.floor(F.col("pos") / 600)).count().agg(F.max("count")).first()[0]
+    assert max(r.n for r in sizes) <= 20_000 + cell
+    assert all(a.high < b.low for a, b in zip(sizes, sizes[1:]))
