@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -35,6 +36,7 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5
 EXTRA_SHARE = 10  # a prefix is longer than necessary by n / EXTRA_SHARE hashes
 HUB_ROUNDS = 3
+LONG_WORD = 64  # bytes from which a word is hashed by itself
 SKETCH_BITS = 512
 LIST_BLOCK = 512  # members of a list that are compared in one group with another block
 
@@ -44,6 +46,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     low = S.LOWER[data]
     start, end, owner = S.word_spans(low, offsets, S.NOT_SPACE)
     hashes = S.word_hashes(low, start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():  # sums over a ring of powers of two repeat for crafted words
+        hashes[i] = xxhash.xxh3_64_intdigest(low[start[i]:end[i]].tobytes())
     first, grams = S.windows(hashes, owner, WORDS)
     owners = owner[first]
     counts = np.bincount(owner, minlength=len(offsets) - 1)
@@ -167,17 +171,21 @@ def _probes(sets: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _boundary(probes: DataFrame) -> int:
-    """Largest size that enumerates subsets: where subsets kept plus list entries read are fewest.
+    """Largest size that enumerates subsets: where the rows written for both forms are fewest.
 
-    Sizes are summed in classes a quarter apart, so a few dozen rows come to the driver.
+    A class writes a row per subset, or a row per list; either is read once more by the hub of
+    its key, but a subset only if another class shares it. Lists therefore cost two rows an
+    entry, subsets one and the measured share of probes that stand in a list of three or more,
+    whose subsets others are likely to hold. Sizes are summed in classes a quarter apart, so a
+    few dozen rows come to the driver.
     """
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
     rows = probes.groupBy(size_class.alias("c")).agg(
-        F.max("n").alias("n"), F.sum(F.when(F.col("place") <= F.col("need"), F.col("df")).otherwise(0)).alias("lists"),
-        F.sum(F.col("place") - 1).alias("subsets")).orderBy("c").collect()
+        F.max("n").alias("n"), F.sum(F.when(F.col("place") <= F.col("need"), 2).otherwise(0)).alias("lists"),
+        F.sum(F.col("place") - 1).alias("subsets"), F.avg(F.when(F.col("df") > 2, 1.0).otherwise(0.0)).alias("shared")).orderBy("c").collect()
     best, at, total = None, 1, sum(r["lists"] for r in rows)
     for r in rows:
-        total += r["subsets"] - r["lists"]
+        total += r["subsets"] * (1 + r["shared"]) - r["lists"]
         if best is None or total < best:
             best, at = total, r["n"]
     return at if best is not None and best < sum(r["lists"] for r in rows) else 1
