@@ -71,8 +71,9 @@ def thresholds(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = WEI
                most: float = MAX_COPIES) -> DataFrame:
     """One row per source: target, whole copies, sampled part, and the last rank taken.
 
-    ``docs`` has source, size, draw and tie. Rows that agree in draw and tie (repeated
-    rows) are taken or left together.
+    ``docs`` has source, size, draw and tie. Rows that agree in draw and tie are repeated rows;
+    the cut may fall among them, so the last such group taken comes with its number of rows
+    and how many of them are taken.
     """
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, share, most)
@@ -100,13 +101,29 @@ def thresholds(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = WEI
     inside = inside.select("d.source", "size", "rank", "tie", "wanted", "before")
     order = Window.partitionBy("source").orderBy("rank", "tie").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2
-    last = inside.select("source", "rank", "tie", "wanted", at.alias("at")).filter(F.col("at") <= F.col("wanted"))
-    last = last.groupBy("source").agg(F.max(F.struct("rank", "tie")).alias("last"))
+    last = inside.select("source", "rank", "tie", (at <= F.col("wanted")).alias("in")).groupBy("source", "rank", "tie").agg(
+        F.count_if("in").alias("taken"), F.count(F.lit(1)).alias("rows")).filter(F.col("taken") > 0)
+    last = last.groupBy("source").agg(F.max(F.struct("rank", "tie", "taken", "rows")).alias("last"))
     p, e, x = plan.alias("p"), edge.alias("e"), last.alias("x")
     return p.join(e, F.col("p.source").eqNullSafe(F.col("e.source")), "left").join(
         x, F.col("p.source").eqNullSafe(F.col("x.source")), "left").select(
         "p.source", "source_size", "target", "whole", "part", "n_buckets", "edge",
-        F.col("x.last.rank").alias("last_rank"), F.col("x.last.tie").alias("last_tie"))
+        F.col("x.last.rank").alias("last_rank"), F.col("x.last.tie").alias("last_tie"),
+        F.col("x.last.taken").alias("last_taken"), F.col("x.last.rows").alias("last_rows"))
+
+
+def _numbered(rows: DataFrame, group: str, number: str, scratch: Scratch) -> DataFrame:
+    """``rows`` with a number from 1 inside each group. The rows are written with their place in
+    their task; they are numbered per task, and only counts of group and task meet."""
+    place, task = fresh(rows, "place", "task")
+    kept = scratch.keep(rows.withColumn(place, F.monotonically_increasing_id()), "cut_groups").withColumn(
+        task, F.shiftright(place, 33))
+    before = Window.partitionBy("_g").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    starts = kept.groupBy(F.col(group).alias("_g"), F.col(task).alias("_t")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_g", "_t", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = kept.withColumn(number, F.row_number().over(Window.partitionBy(group, task).orderBy(place)))
+    both = local.join(starts, (local[group] == starts["_g"]) & (local[task] == starts["_t"]))
+    return both.select(*rows.columns, (F.col("_before") + F.col(number)).alias(number))
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -120,7 +137,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
     Size is the number of words (null text: 0). A null source is a source of its own. A
     source without words has target 0 and no copies. Reruns agree: draws are hashes of
-    doc_id, source and text. Repeated rows share one draw.
+    doc_id, source and text. Repeated rows share one draw; where the cut falls among them, as
+    many as fit are taken, and it does not matter which.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     size, draw, tie = fresh(docs, "size", "draw", "tie")
@@ -129,21 +147,36 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
                               tie: F.xxhash64(F.lit(seed + 1), *key)})
     narrow = scratch.keep(drawn.select("source", F.col(size).alias("size"), F.col(draw).alias("draw"),
                                        F.col(tie).alias("tie")), "draws")
-    cut = _small(scratch.keep(thresholds(narrow, scratch, weights, share, most), "cut"))
+    written = scratch.keep(thresholds(narrow, scratch, weights, share, most), "cut")
+    split = not written.filter(F.col("last_taken") < F.col("last_rows")).isEmpty()
+    cut = _small(written).select(F.struct("*").alias("cut"))
     names = dict(zip(("size", "source_size", "target", "copies"),
                      fresh(drawn, "size", "source_size", "target", "copies"), strict=True))
-    cut = cut.select(F.struct("*").alias("cut"))
-    found = drawn.alias("d").join(cut, F.col("d.source").eqNullSafe(F.col("cut.source")))
-    rank = _rank_variable(F.col(draw), F.col("cut.part"))
-    bucket = F.floor(rank * F.col("cut.n_buckets"))
-    first = F.struct(rank, F.col(tie)) <= F.struct(F.col("cut.last_rank"), F.col("cut.last_tie"))
-    taken = F.when(bucket < F.col("cut.edge"), 1).when(
-        (bucket == F.col("cut.edge")) & F.col("cut.last_rank").isNotNull() & first, 1).otherwise(0)
-    out = found.select(
-        *[F.col(f"d.`{c}`") for c in docs.columns], F.col(f"d.`{size}`").alias(names["size"]),
-        F.col("cut.source_size").alias(names["source_size"]), F.col("cut.target").alias(names["target"]),
-        (F.col("cut.whole") + taken).cast("long").alias(names["copies"]))
-    return out, names
+    rank_name, cut_name, number = fresh(drawn, "rank", "cut", "number")
+    found = drawn.alias("d").join(cut, F.col("d.source").eqNullSafe(F.col("cut.source"))).select(
+        "d.*", F.col("cut").alias(cut_name), _rank_variable(F.col(draw), F.col("cut.part")).alias(rank_name))
+
+    def of(field: str) -> Column:
+        return F.col(f"{cut_name}.{field}")
+
+    rank = F.col(rank_name)
+    bucket = F.floor(rank * of("n_buckets"))
+    at_edge = (bucket == of("edge")) & of("last_rank").isNotNull()
+    here, last = F.struct(rank, F.col(tie)), F.struct(of("last_rank"), of("last_tie"))
+    among = F.coalesce(at_edge & (here == last), F.lit(False))
+
+    def shown(rows: DataFrame, taken: Column) -> DataFrame:
+        return rows.select(
+            *[F.col(f"`{c}`") for c in docs.columns], F.col(size).alias(names["size"]),
+            of("source_size").alias(names["source_size"]), of("target").alias(names["target"]),
+            (of("whole") + taken).cast("long").alias(names["copies"]))
+
+    whole = shown(found if not split else found.filter(~among),
+                  F.when(bucket < of("edge"), 1).when(at_edge & (here <= last), 1).otherwise(0))
+    if split:  # repeated rows at the cut: as many of them as fit
+        equal = _numbered(found.filter(among), tie, number, scratch)
+        whole = whole.unionByName(shown(equal, F.when(F.col(number) <= of("last_taken"), 1).otherwise(0)))
+    return whole, names
 
 
 def report(docs: DataFrame) -> DataFrame:

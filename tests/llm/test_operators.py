@@ -408,3 +408,29 @@ def test_ngram_join_by_blocks_only(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     assert by_id(ngram_join.report(spark.createDataFrame(rows, "doc_id long, text string")),
                  "n_shingles", "component_id") == brute.components(rows)
+
+
+def thue_morse(letters, bits):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(1 << bits))
+
+
+def test_words_built_to_share_a_hash(spark):
+    words = [thue_morse(pair, bits) for pair in ("ab", "ba", "xy", "yx") for bits in (10, 11)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate([*words, " ".join(words)])], "doc_id long, text string").coalesce(1)
+    known = Tokenizer.from_file(VOCABULARY)
+    want = {r.doc_id: len(known.encode(r.text, add_special_tokens=False).ids) for r in df.collect()}
+    assert {k: v[0] for k, v in by_id(tokens.count_tokens(df, VOCABULARY), "n_tokens").items()} == want
+    assert {k: v[0] for k, v in by_id(ngram_join.report(df), "component_id").items()} == {i: i for i in range(len(words) + 1)}
+
+
+def test_mix_takes_part_of_repeated_rows(spark):
+    same = [(1, " ".join(["word"] * 50), "a", k % 3) for k in range(4000)]
+    rows = [*same, *[(10 + k, " ".join(["x"] * (1 + k % 7)), "b", 0) for k in range(500)], *[(2000 + k, "only few words here", "c", 0) for k in range(900)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, tie int")
+    for parts in (1, 9):
+        out = mixing.report(df.repartition(parts)).groupBy("source_size").agg(
+            F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("size"), F.max("copies").alias("copies")).collect()
+        assert len(out) == 3
+        for r in out:
+            assert abs(r.taken - r.target) <= r.size / 2 + 1e-6 and r.copies <= 2
+    assert mixing.resample(df).columns == df.columns
