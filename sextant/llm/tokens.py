@@ -273,6 +273,12 @@ class Counter:
         per_kind = np.fromiter((count(raw[a:b]) for a, b in zip(first[sample].tolist(), last[sample].tolist(), strict=True)),
                                dtype=np.int64, count=len(sample))
         per_piece = per_kind[which]
+        # equal hashes are compared byte by byte; pieces that only share the hash are counted one by one
+        shift = np.repeat(first[sample][which] - first, last - first)
+        spot = np.arange(first[0], len(data))
+        differs = np.logical_or.reduceat(data[spot + shift] != data[spot], first - first[0])
+        for i in np.flatnonzero(differs).tolist():
+            per_piece[i] = count(raw[first[i]:last[i]])
         for a, b in spans:
             inside = slice(*np.searchsorted(first, (a, b)))
             per_piece[inside] = 0
