@@ -86,7 +86,8 @@ def test_held_out_accuracy(scored):
 
 
 def test_the_same_text_has_the_same_score_wherever_it_stands(spark):
-    rows = [(i, "bad gromble here" if i % 5 == 0 else "good fellow there", "x") for i in range(300)]
+    # every text has words of its own: copies would count as one row
+    rows = [(i, f"w{i}a v{i}b " + ("bad gromble here" if i % 5 == 0 else "good fellow there"), "x") for i in range(300)]
     docs = spark.createDataFrame([*rows, (7, None, "y"), (7, None, "y"), (None, "gromble", "z")], "doc_id long, text string, SCORE string")
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
     out = toxicity.score(docs, labels)
