@@ -346,9 +346,9 @@ def best_per_model(configs: DataFrame, sharpe: str = "validation_net_sharpe") ->
     return keep_first(configs, ["model"], F.struct(F.col(sharpe).isNull(), -F.col(sharpe), F.col("config_id")))
 
 
-def pivot_metric(df: DataFrame, row: str, column: str, value: str, columns: Sequence) -> DataFrame:
-    """``value`` as a table of ``row`` by the listed values of ``column``."""
-    return df.groupBy(row).pivot(column, list(columns)).agg(F.first(value))
+def pivot_metric(df: DataFrame, row: str | Sequence[str], column: str, value: str, columns: Sequence) -> DataFrame:
+    """``value`` as a table of ``row`` (one or more columns) by the listed values of ``column``."""
+    return df.groupBy(*([row] if isinstance(row, str) else row)).pivot(column, list(columns)).agg(F.first(value))
 
 
 def melt_metrics(df: DataFrame, ids: Sequence[str], measures: Mapping[str, str]) -> DataFrame:

@@ -450,10 +450,10 @@ def best_per_model(spark, sf):
 
 
 @register("i15_pivot_metric", Q.query(*GBASE, folds_sql(), SCORES, select="""
-SELECT target_vol, round(max(sharpe) FILTER (rebalance = 'weekly'), 6) AS weekly, round(max(sharpe) FILTER (rebalance = 'monthly'), 6) AS monthly FROM scores WHERE model = 'signed' AND fold = '1999' GROUP BY target_vol"""))
+SELECT model, fold, target_vol, round(max(sharpe) FILTER (rebalance = 'weekly'), 6) AS weekly, round(max(sharpe) FILTER (rebalance = 'monthly'), 6) AS monthly FROM scores GROUP BY ALL"""))
 def pivot_metric(spark, sf):
-    df = scored(spark, sf).filter("model = 'signed' AND fold = '1999'")
-    return shown(I.pivot_metric(df, "target_vol", "rebalance", "sharpe", FREQS), "target_vol", weekly="weekly", monthly="monthly")
+    rows = ("model", "fold", "target_vol")
+    return shown(I.pivot_metric(scored(spark, sf), rows, "rebalance", "sharpe", FREQS), *rows, weekly="weekly", monthly="monthly")
 
 
 @register("i16_melt_metrics", Q.query(QS.CONFIGS, select="""
