@@ -151,13 +151,16 @@ def capped_shares(
     df: DataFrame,
     by: Sequence[str],
     value: str,
-    cap: float,
+    cap: float | str,
     out: str,
     *,
     widen: bool = False,
+    smallest: float | None = None,
 ) -> DataFrame:
     """Shares of ``value`` (>= 0) summing to 1 per group with none above ``cap``.
 
+    ``cap`` may name a column of ``by`` that holds caps of ``smallest`` or more.
+
     What a capped row gives up goes to the uncapped rows in proportion, so every
     share is ``least(cap, value * r)`` with one factor ``r`` per group.  Only the
     largest ``1 / cap`` values can be capped: they settle ``r`` together with the
@@ -166,14 +169,17 @@ def capped_shares(
     """
     positive = df.filter(F.col(value) > 0)
     sums = positive.groupBy(*by).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    most = math.ceil(1.0 / cap) + 1
+    if isinstance(cap, str) and (cap not in by or smallest is None):
+        raise ValueError("a cap column has to be one of the grouping columns, with its smallest value given")
+    most = math.ceil(1.0 / (smallest if isinstance(cap, str) else cap)) + 1
     group = [F.col(c) for c in by] or [F.lit(0)]
     # a row_number filter is applied before the shuffle too, so only `most` rows per task travel
     top = positive.select(*by, F.col(value).alias("_v")).withColumn(
         "_k", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_v")))
     ).filter(F.col("_k") <= most)
     top = top.join(sums, list(by)) if by else top.crossJoin(sums)
-    limit = F.greatest(F.lit(float(cap)), 1.0 / F.col("_n")) if widen else F.lit(float(cap))
+    limit = F.col(cap) if isinstance(cap, str) else F.lit(float(cap))
+    limit = F.greatest(limit, 1.0 / F.col("_n")) if widen else limit
     larger = F.coalesce(
         F.sum("_v").over(Window.partitionBy(*group).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0.0))

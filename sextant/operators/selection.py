@@ -157,6 +157,26 @@ def grid_daily(units: DataFrame, calendar: DataFrame, returns: DataFrame, grid:
                     turnover.alias("turnover"))
 
 
+def held_of_configs(units: DataFrame, calendar: DataFrame, configs: DataFrame, frequencies: Sequence[str],
+                    keys: Sequence[str] = ("model",)) -> DataFrame:
+    """Holdings of the given configurations alone: (config_id, ts, symbol, pos, held).
+
+    ``configs`` has config_id, the keys, rebalance, target_vol and gross_cap; the rest of the
+    grid is never positioned.
+    """
+    unit = units.filter(F.col("unit") != 0).select(*keys, "symbol", "pos", "unit")
+    gross = unit.groupBy(*keys, "pos").agg(F.sum(F.abs("unit")).alias("_g"))
+    sources = None
+    for freq in frequencies:
+        part = activation_map(calendar, freq).withColumn("rebalance", F.lit(freq))
+        sources = part if sources is None else sources.unionByName(part)
+    wanted = configs.select("config_id", *keys, "rebalance", "target_vol", "gross_cap").distinct()
+    m = F.least(F.col("target_vol"), F.col("gross_cap") / F.col("_g"))
+    scaled = unit.join(gross, [*keys, "pos"]).join(wanted, list(keys)).select(
+        "config_id", "rebalance", "symbol", F.col("pos").alias("source"), (F.col("unit") * m).alias("held"))
+    return scaled.join(sources, ["rebalance", "source"]).select("config_id", "ts", "symbol", "pos", "held")
+
+
 def score_grid(daily: DataFrame, folds: DataFrame, config: Sequence[str], least: int = 180) -> DataFrame:
     """Selection score of each configuration in each fold's window, with its deterministic id."""
     window = (F.col("ts") >= F.col("select_start")) & (F.col("ts") <= F.col("cutoff"))
@@ -221,8 +241,9 @@ def stitch_oos(held: DataFrame, rosters: DataFrame, folds: DataFrame) -> DataFra
     """
     chosen = rosters.filter("selected").select("fold", "family", "rank", "config_id", "target_vol").join(
         folds.select("fold", "test_start", "test_end"), "fold")
-    inside = (held["config_id"] == chosen["config_id"]) & (held["ts"] >= chosen["test_start"]) & (held["ts"] <= chosen["test_end"])
-    return held.join(chosen, inside).select("fold", "family", "rank", chosen["config_id"], "target_vol", "ts", "symbol", "pos", "held")
+    inside = (F.col("h.config_id") == F.col("c.config_id")) & (F.col("ts") >= F.col("test_start")) & (F.col("ts") <= F.col("test_end"))
+    return held.alias("h").join(chosen.alias("c"), inside).select(
+        "fold", "family", "rank", "c.config_id", "target_vol", "ts", "symbol", "pos", "held")
 
 
 def stitch_ensembles(stitched: DataFrame, rosters: DataFrame, target: float = 0.20, gross_cap: float = 3.0,

@@ -138,11 +138,14 @@ def beta_hedge(df: DataFrame, benchmark: str, w: str = "w", beta: str = "beta")
     return signed_norm(both, "w")
 
 
-def cap_budget(df: DataFrame, cap: float, raw: str = "raw", out: str = "budget",
-               by: Sequence[str] = BAR) -> DataFrame:
-    """Absolute weights as shares of the bar, none above max(cap, 1 / active rows)."""
+def cap_budget(df: DataFrame, cap: float | str, raw: str = "raw", out: str = "budget",
+               by: Sequence[str] = BAR, smallest: float | None = None) -> DataFrame:
+    """Absolute weights as shares of the bar, none above max(cap, 1 / active rows).
+
+    ``cap`` may name a column of ``by`` whose values are ``smallest`` or more.
+    """
     x = df.withColumn("_a", F.coalesce(F.abs(F.col(raw)), F.lit(0.0)))
-    return D.capped_shares(x, by, "_a", cap, out, widen=True).drop("_a")
+    return D.capped_shares(x, by, "_a", cap, out, widen=True, smallest=smallest).drop("_a")
 
 
 def predicted_vol(units: DataFrame, returns: DataFrame, lookback: int, column: str = "unit",

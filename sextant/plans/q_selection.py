@@ -14,6 +14,7 @@ from sextant.plans import panels as P
 from sextant.plans import q_accounting as A
 from sextant.plans import q_metrics as QM
 from sextant.plans import q_sources as QS
+from sextant.plans import q_xsection as QX
 from sextant.plans import sqltext as Q
 from sextant.plans.registry import r6, register, shown
 from sextant.session import cut_lineage
@@ -199,56 +200,95 @@ def stitch_windows(spark, sf):
 
 # --- grid -----------------------------------------------------------------------------------
 
-GRID = ((0.1, 0.5), (0.2, 1.0), (0.4, 1.0))
-FREQS = ("weekly", "monthly")
-UNITS = """units AS (SELECT 'neutral' AS model, symbol, pos, w * 3 AS unit FROM nt UNION ALL SELECT 'signed', symbol, pos, w FROM sn),
-gross AS (SELECT model, pos, sum(abs(unit)) AS gross FROM units GROUP BY ALL),
-points AS (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE, 0.4::DOUBLE]) AS target_vol, unnest([0.5::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE]) AS gross_cap),
-srcs AS (SELECT 'weekly' AS rebalance, * FROM src_weekly UNION ALL SELECT 'monthly', * FROM src_monthly),
-gh AS (SELECT u.model, s.rebalance, p.target_vol, p.gross_cap, s.ts, s.pos, y.symbol,
-    coalesce(x.unit * coalesce(least(p.target_vol, p.gross_cap / nullif(g.gross, 0)), p.target_vol), 0) AS held
-  FROM srcs s CROSS JOIN (SELECT DISTINCT model FROM units) u CROSS JOIN points p CROSS JOIN (SELECT DISTINCT symbol FROM panel) y
-  LEFT JOIN units x ON x.model = u.model AND x.symbol = y.symbol AND x.pos = s.source LEFT JOIN gross g ON g.model = u.model AND g.pos = s.source),
-gp AS (SELECT *, coalesce(lag(held) OVER (PARTITION BY model, rebalance, target_vol, gross_cap, symbol ORDER BY pos), 0) AS prev FROM gh),
-gd AS (SELECT gp.model, rebalance, target_vol, gross_cap, gp.ts, gp.pos, sum(held * coalesce(n.open / b.open - 1, 0) + held * coalesce(e.same, 0) + prev * coalesce(e.midnight, 0)
-    - abs(held - prev) * (0.0004::DOUBLE + 0.0005::DOUBLE)) AS net, sum(abs(held - prev)) AS turnover
-  FROM gp LEFT JOIN bars b ON b.symbol = gp.symbol AND b.pos = gp.pos LEFT JOIN bars n ON n.symbol = gp.symbol AND n.pos = gp.pos + 1
-  LEFT JOIN evfund e ON e.symbol = gp.symbol AND e.pos = gp.pos GROUP BY ALL)"""
+# The parameter grid.
+TARGETS = (0.15, 0.2, 0.25, 0.3, 0.35, 0.4)
+GROSS_CAPS = (1.0, 1.5, 2.0, 2.5, 3.0)
+TICKER_CAPS = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4)
+FREQS = ("daily", "weekly", "monthly")
+
+GRID = tuple((t, g) for t in TARGETS for g in GROSS_CAPS)
+MODEL = ("model", "ticker_cap")
+
+
+def _unnest(values) -> str:
+    return f"unnest([{', '.join(f'{v}::DOUBLE' for v in values)}])"
+
+
+UNITS = (
+    f"""w0 AS (SELECT 'neutral' AS model, symbol, pos, w AS raw FROM nt UNION ALL SELECT 'signed', symbol, pos, w FROM sn),
+capsrc AS (SELECT model, ticker_cap, symbol, pos, raw FROM w0, (SELECT {_unnest(TICKER_CAPS)} AS ticker_cap))""",
+    QX.CAPPED.format(src="capsrc", cap="ticker_cap").replace("PARTITION BY pos", "PARTITION BY model, ticker_cap, pos"),
+    f"""units AS (SELECT model, ticker_cap, symbol, pos, sign(raw) * budget * CASE WHEN model = 'neutral' THEN 3 ELSE 1 END AS unit FROM budgets WHERE budget > 0),
+mods AS (SELECT DISTINCT model, ticker_cap FROM units),
+gross AS (SELECT model, ticker_cap, pos, sum(abs(unit)) AS gross FROM units GROUP BY ALL),
+points AS (SELECT * FROM (SELECT {_unnest(TARGETS)} AS target_vol), (SELECT {_unnest(GROSS_CAPS)} AS gross_cap)),
+srcs AS (SELECT *, lag(source) OVER (PARTITION BY rebalance ORDER BY pos) AS before
+  FROM ({' UNION ALL '.join(f"SELECT '{f}' AS rebalance, ts, pos, source FROM src_{f}" for f in FREQS)}) WHERE source IS NOT NULL),
+g0 AS (SELECT m.model, m.ticker_cap, s.rebalance, s.pos, s.source, s.before, y.symbol, coalesce(x.unit, 0) AS u, coalesce(z.unit, 0) AS v
+  FROM srcs s CROSS JOIN mods m CROSS JOIN (SELECT DISTINCT symbol FROM panel) y
+  LEFT JOIN units x ON x.model = m.model AND x.ticker_cap = m.ticker_cap AND x.symbol = y.symbol AND x.pos = s.source
+  LEFT JOIN units z ON z.model = m.model AND z.ticker_cap = m.ticker_cap AND z.symbol = y.symbol AND z.pos = s.before),
+lin AS (SELECT model, ticker_cap, rebalance, g0.pos, sum(u * (coalesce(n.open / b.open - 1, 0) + coalesce(e.same, 0))) AS a, sum(v * coalesce(e.midnight, 0)) AS b
+  FROM g0 LEFT JOIN bars b ON b.symbol = g0.symbol AND b.pos = g0.pos LEFT JOIN bars n ON n.symbol = g0.symbol AND n.pos = g0.pos + 1
+  LEFT JOIN evfund e ON e.symbol = g0.symbol AND e.pos = g0.pos GROUP BY ALL),
+mult AS (SELECT model, ticker_cap, pos, target_vol, gross_cap, least(target_vol, gross_cap / gross) AS m FROM gross, points),
+trd AS (SELECT g0.model, g0.ticker_cap, g0.rebalance, g0.pos, p.target_vol, p.gross_cap,
+    sum(abs(coalesce(least(p.target_vol, p.gross_cap / ga.gross), p.target_vol) * u - coalesce(least(p.target_vol, p.gross_cap / gb.gross), p.target_vol) * v)) AS turnover
+  FROM g0 LEFT JOIN gross ga ON ga.model = g0.model AND ga.ticker_cap = g0.ticker_cap AND ga.pos = g0.source
+  LEFT JOIN gross gb ON gb.model = g0.model AND gb.ticker_cap = g0.ticker_cap AND gb.pos = g0.before CROSS JOIN points p
+  WHERE source IS DISTINCT FROM before AND (u <> 0 OR v <> 0) GROUP BY ALL),
+gd AS (SELECT m.model, m.ticker_cap, s.rebalance, p.target_vol, p.gross_cap, s.ts, s.pos, coalesce(ma.m, p.target_vol) * coalesce(lin.a, 0)
+    + coalesce(mb.m, p.target_vol) * coalesce(lin.b, 0) - coalesce(t.turnover, 0) * 0.0009::DOUBLE AS net, coalesce(t.turnover, 0) AS turnover
+  FROM srcs s CROSS JOIN mods m CROSS JOIN points p
+  LEFT JOIN mult ma ON ma.model = m.model AND ma.ticker_cap = m.ticker_cap AND ma.pos = s.source AND ma.target_vol = p.target_vol AND ma.gross_cap = p.gross_cap
+  LEFT JOIN mult mb ON mb.model = m.model AND mb.ticker_cap = m.ticker_cap AND mb.pos = s.before AND mb.target_vol = p.target_vol AND mb.gross_cap = p.gross_cap
+  LEFT JOIN lin ON lin.model = m.model AND lin.ticker_cap = m.ticker_cap AND lin.rebalance = s.rebalance AND lin.pos = s.pos
+  LEFT JOIN trd t ON t.model = m.model AND t.ticker_cap = m.ticker_cap AND t.rebalance = s.rebalance AND t.pos = s.pos AND t.target_vol = p.target_vol AND t.gross_cap = p.gross_cap)""")
 SIGNED = "sn AS (SELECT ts, symbol, pos, round(coalesce(f / nullif(sum(abs(f)) OVER (PARTITION BY pos), 0), 0), 12) AS w FROM ranks)"
-GBASE = (*A.DPANEL, A.CAL, A.held_sql("weekly"), A.held_sql("monthly", name="hm"), Q.FUNDING, A.DAYCLOSE, A.COEF, A.EVFUND, SIGNED, UNITS)
+GBASE = (*A.DPANEL, A.CAL, *[A.held_sql(f, name=f"h_{f}") for f in FREQS], Q.FUNDING, A.DAYCLOSE, A.COEF, A.EVFUND, SIGNED, *UNITS)
 
 
 def units(spark, sf):
-    signed = C.signed_norm(A.daily_signals(spark, sf)).withColumn("unit", r6("w", 12)).withColumn("model", F.lit("signed"))
-    neutral = A.neutral(spark, sf).withColumn("unit", F.col("w") * 3).withColumn("model", F.lit("neutral"))
-    cols = ("model", "symbol", "pos", "unit")
-    return signed.select(*cols).unionByName(neutral.select(*cols))
+    """Unit portfolios of two models under every ticker cap."""
+    signed = C.signed_norm(A.daily_signals(spark, sf)).select(
+        F.lit("signed").alias("model"), "symbol", "pos", r6("w", 12).alias("raw"))
+    neutral = A.neutral(spark, sf).select(F.lit("neutral").alias("model"), "symbol", "pos", F.col("w").alias("raw"))
+    both = signed.unionByName(neutral).withColumn("ticker_cap", F.explode(F.array(*[F.lit(c) for c in TICKER_CAPS])))
+    shares = C.cap_budget(both, "ticker_cap", by=(*MODEL, "pos"), smallest=min(TICKER_CAPS))
+    unit = F.signum("raw") * F.col("budget") * F.when(F.col("model") == "neutral", 3).otherwise(1)
+    return cut_lineage(shares.select(*MODEL, "symbol", "pos", unit.alias("unit")).filter("unit <> 0"))
 
 
-def grid_daily(spark, sf, grid=GRID, freqs=FREQS):
-    return I.grid_daily(units(spark, sf), A.calendar(spark, sf), A.open_returns(spark, sf), grid, freqs, funding=A.order_funding(spark, sf))
+def grid_daily(spark, sf, unit=None):
+    return I.grid_daily(units(spark, sf) if unit is None else unit, A.calendar(spark, sf), A.open_returns(spark, sf), GRID, FREQS,
+                        funding=A.order_funding(spark, sf), keys=MODEL)
 
 
-@register("i04_grid_daily", Q.query(*GBASE, select="""
-SELECT model, rebalance, target_vol, gross_cap, ts, round(net, 6) AS net, round(turnover, 6) AS turnover FROM gd
-WHERE (rebalance = 'monthly' OR pos > (SELECT min(source) FROM src_weekly)) AND (rebalance = 'weekly' OR pos > (SELECT min(source) FROM src_monthly))"""))
+CONFIG = (*MODEL, "rebalance", "target_vol", "gross_cap")
+
+
+# the daily rows of the whole grid, summed per month
+@register("i04_grid_daily", Q.query(*GBASE, select=f"""
+SELECT {', '.join(CONFIG)}, year(ts) * 100 + month(ts) AS month, count(*) AS bars, round(sum(net), 6) AS net, round(sum(turnover), 6) AS turnover FROM gd GROUP BY ALL"""))
 def grid_returns(spark, sf):
-    return shown(grid_daily(spark, sf), "model", "rebalance", "target_vol", "gross_cap", "ts", net="net", turnover="turnover")
+    month = (F.year("ts") * 100 + F.month("ts")).cast("bigint").alias("month")
+    sums = grid_daily(spark, sf).groupBy(*CONFIG, month).agg(
+        F.count(F.lit(1)).alias("bars"), F.sum("net").alias("net"), F.sum("turnover").alias("turnover"))
+    return shown(sums, *CONFIG, "month", "bars", net="net", turnover="turnover")
 
 
-SCORES = f"""scores AS (SELECT model, rebalance, target_vol, gross_cap, fold, count(net) AS observations,
+SCORES = f"""scores AS (SELECT {', '.join(CONFIG)}, fold, count(net) AS observations,
     CASE WHEN count(net) >= 180 THEN avg(net) * 365 / nullif(stddev_samp(net) * sqrt(365), 0) END AS sharpe, CASE WHEN count(net) >= 180 THEN avg(turnover) * 365 END AS annual_turnover
   FROM gd JOIN folds ON gd.ts >= select_start AND gd.ts <= cutoff GROUP BY ALL)"""
-CONFIG = ("model", "rebalance", "target_vol", "gross_cap")
-CID = """substr(sha256('{"gross_cap":' || gross_cap || ',"model":"' || model || '","rebalance":"' || rebalance || '","target_vol":' || target_vol || '}'), 1, 20)"""
+CID = """substr(sha256('{"gross_cap":' || gross_cap || ',"model":"' || model || '","rebalance":"' || rebalance || '","target_vol":' || target_vol || ',"ticker_cap":' || ticker_cap || '}'), 1, 20)"""
 
 
-def scored(spark, sf):
-    return I.score_grid(grid_daily(spark, sf), folds(spark, sf), CONFIG)
+def scored(spark, sf, unit=None):
+    return I.score_grid(grid_daily(spark, sf, unit), folds(spark, sf), CONFIG)
 
 
 @register("i04_score_grid", Q.query(*GBASE, folds_sql(), SCORES, select=f"""
-SELECT model, rebalance, target_vol, gross_cap, fold, {CID} AS config_id, observations, round(sharpe, 6) AS sharpe, round(annual_turnover, 6) AS annual_turnover FROM scores"""))
+SELECT {', '.join(CONFIG)}, fold, {CID} AS config_id, observations, round(sharpe, 6) AS sharpe, round(annual_turnover, 6) AS annual_turnover FROM scores"""))
 def score_grid(spark, sf):
     return shown(scored(spark, sf), *CONFIG, "fold", "config_id", "observations", sharpe="sharpe", annual_turnover="annual_turnover")
 
@@ -310,25 +350,24 @@ def select_best(spark, sf):
     return I.select_best(rows).select("family", "config_id", "validation_net_sharpe")
 
 
-STITCH = """pick AS (SELECT model || rebalance || target_vol AS config_id, model AS family, fold, target_vol, row_number() OVER (PARTITION BY fold, model ORDER BY round(sharpe, 7) DESC NULLS LAST, target_vol, rebalance) AS rank FROM scores WHERE target_vol < 0.3),
-stitched AS (SELECT p.fold, p.family, p.rank, p.target_vol, g.ts, g.symbol, g.held FROM gh g JOIN pick p ON p.config_id = g.model || g.rebalance || g.target_vol JOIN folds f ON f.fold = p.fold AND g.ts BETWEEN test_start AND test_end WHERE rank <= 2 AND abs(held) > 1e-13)"""
+STITCH = """pick AS (SELECT *, model AS family, row_number() OVER (PARTITION BY fold, model
+    ORDER BY round(sharpe, 7) DESC NULLS LAST, round(annual_turnover, 6) NULLS FIRST, gross_cap, target_vol, ticker_cap, rebalance) AS rank FROM scores),
+stitched AS (SELECT p.fold, p.family, p.rank, p.target_vol, s.ts, u.symbol, u.unit * least(p.target_vol, p.gross_cap / g.gross) AS held
+  FROM pick p JOIN folds f ON f.fold = p.fold JOIN srcs s ON s.rebalance = p.rebalance AND s.ts BETWEEN test_start AND test_end
+  JOIN units u ON u.model = p.model AND u.ticker_cap = p.ticker_cap AND u.pos = s.source
+  JOIN gross g ON g.model = u.model AND g.ticker_cap = u.ticker_cap AND g.pos = u.pos WHERE rank <= 2)"""
 
 
 def stitch_parts(spark, sf):
-    """Held positions of every configuration, the rosters and the folds."""
+    """Held positions of the selected configurations, the rosters out of the whole grid, and the folds."""
     from pyspark.sql import Window
-    scores = cut_lineage(scored(spark, sf)).filter("target_vol < 0.3")
-    cid = F.concat("model", "rebalance", F.col("target_vol").cast("string"))
-    order = Window.partitionBy("fold", "model").orderBy(r6("sharpe", 7).desc_nulls_last(), "target_vol", "rebalance")
-    pick = scores.select(cid.alias("config_id"), F.col("model").alias("family"), "fold", "target_vol", F.row_number().over(order).alias("rank")).withColumn(
-        "selected", F.col("rank") <= 2)
-    cal, held = A.calendar(spark, sf), None
-    u = cut_lineage(units(spark, sf).join(A.daily_signals(spark, sf).select("symbol", "pos", "ts"), ["symbol", "pos"]))
-    for freq in FREQS:
-        for target, cap in GRID[:2]:
-            w = C.scale_to_target(u, target, cap, by=("model", "pos"))
-            part = G.held_positions(w, cal, freq, keys=("model",)).withColumn("config_id", F.concat("model", F.lit(f"{freq}{target}")))
-            held = part if held is None else held.unionByName(part)
+    unit = units(spark, sf)
+    order = Window.partitionBy("fold", "model").orderBy(
+        r6("sharpe", 7).desc_nulls_last(), r6("annual_turnover"), "gross_cap", "target_vol", "ticker_cap", "rebalance")
+    rank = F.row_number().over(order)
+    pick = cut_lineage(scored(spark, sf, unit).select(
+        "config_id", *CONFIG, F.col("model").alias("family"), "fold", rank.alias("rank"), (rank <= 2).alias("selected")))
+    held = I.held_of_configs(unit, A.calendar(spark, sf), pick.filter("selected"), FREQS, MODEL)
     return held, pick, folds(spark, sf)
 
 
@@ -449,11 +488,13 @@ def best_per_model(spark, sf):
     return I.best_per_model(score_rows(spark, sf)).select("model", "config_id", "validation_net_sharpe")
 
 
-@register("i15_pivot_metric", Q.query(*GBASE, folds_sql(), SCORES, select="""
-SELECT model, fold, target_vol, round(max(sharpe) FILTER (rebalance = 'weekly'), 6) AS weekly, round(max(sharpe) FILTER (rebalance = 'monthly'), 6) AS monthly FROM scores GROUP BY ALL"""))
+CELL = (*MODEL, "fold", "target_vol", "gross_cap")
+
+
+@register("i15_pivot_metric", Q.query(*GBASE, folds_sql(), SCORES, select=f"""
+SELECT {', '.join(CELL)}, {', '.join(f"round(max(sharpe) FILTER (rebalance = '{f}'), 6) AS {f}" for f in FREQS)} FROM scores GROUP BY ALL"""))
 def pivot_metric(spark, sf):
-    rows = ("model", "fold", "target_vol")
-    return shown(I.pivot_metric(scored(spark, sf), rows, "rebalance", "sharpe", FREQS), *rows, weekly="weekly", monthly="monthly")
+    return shown(I.pivot_metric(scored(spark, sf), CELL, "rebalance", "sharpe", FREQS), *CELL, **{f: f for f in FREQS})
 
 
 @register("i16_melt_metrics", Q.query(QS.CONFIGS, select="""

@@ -96,6 +96,30 @@ def test_contributions_sum_to_the_net_return_and_the_grid_agrees(spark):
             assert all(r.ok for r in B.reconcile_accounting(state, contrib).collect())
 
 
+def test_chosen_configurations_are_held_as_each_alone(spark):
+    rng = np.random.default_rng(2)
+    rows = [(d, s, float(rng.normal())) for d in range(1, 25) for s in ("A", "B", "C")]
+    raw = T.with_pos(days(spark, rows, "symbol string, raw double"), T.DAY)
+    caps = (0.4, 0.9)
+    both = raw.withColumn("ticker_cap", F.explode(F.array(*[F.lit(c) for c in caps])))
+    unit = C.cap_budget(both, "ticker_cap", out="unit", by=("ticker_cap", "pos"), smallest=min(caps)).cache()
+    for cap in caps:
+        one = {(r.pos, r.symbol): r.budget for r in C.cap_budget(raw, cap).collect()}
+        many = {(r.pos, r.symbol): r.unit for r in unit.filter(F.col("ticker_cap") == cap).collect()}
+        assert many == pytest.approx(one)
+    with pytest.raises(ValueError):
+        C.cap_budget(both, "ticker_cap")
+    cal = P.calendar(raw)
+    configs = [("a", 0.4, "weekly", 0.2, 0.1), ("b", 0.9, "daily", 0.3, 2.0), ("b", 0.9, "daily", 0.3, 2.0)]
+    table = spark.createDataFrame(configs, "config_id string, ticker_cap double, rebalance string, target_vol double, gross_cap double")
+    got = I.held_of_configs(unit, cal, table, ("daily", "weekly"), ("ticker_cap",)).collect()
+    for name, cap, freq, target, gross in configs[:2]:
+        w = C.scale_to_target(unit.filter(F.col("ticker_cap") == cap), target, gross)
+        alone = {(r.pos, r.symbol): r.held for r in G.held_positions(w, cal, freq).collect()}
+        assert alone and {(r.pos, r.symbol): r.held for r in got if r.config_id == name} == pytest.approx(alone)
+    assert len({(r.config_id, r.pos, r.symbol) for r in got}) == len(got)
+
+
 def test_splice_scales_older_rows_that_stay_untradable(spark):
     main = T.with_pos(days(spark, [(d, "A", 20.0 + d) for d in range(14, 30)], "symbol string, close double"), T.DAY)
     old = T.with_pos(days(spark, [(d, "A", (20.0 + d) / 2) for d in range(1, 21)], "symbol string, close double"), T.DAY)
