@@ -2,8 +2,11 @@
 
 Each source gets a target of words by water-filling. Documents of a source get
 ``floor(target / source size)`` certain whole copies; the rest of the target is a fixed-size
-sample drawn by Pareto ordering: documents are ranked by their random odds divided by their
-inclusion odds and taken from the front until the words of the rest are reached.
+unequal-probability sample drawn by Pareto ordering. A document's inclusion probability is
+proportional to the power of two at or below its size, so long documents are likelier; where
+that exceeds one the document is taken for certain and the others share what is left. The
+probabilities times the sizes add up to the rest of the target. Documents are ranked by their
+random odds divided by their inclusion odds and taken from the front until its words are reached.
 
 The cut in the ranking is found without sorting a source: documents are counted in buckets
 of the ranking variable, the bucket that holds the cut is found from bucket sums, and only
@@ -57,6 +60,29 @@ def _uniform(seed: int, *columns: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def _weight(size: Column) -> Column:
+    """The power of two at or below a size, 0 without words: at most 63 classes in a source."""
+    return F.when(size > 0, F.pow(F.lit(2.0), F.length(F.bin(size)) - 1)).otherwise(F.lit(0.0))
+
+
+def inclusion(classes: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, rate, top, sure) of each source with words.
+
+    ``classes`` has source, w and words, ``plan`` source and wanted. Documents above the
+    weight ``top`` are certain and hold ``sure`` words; others are included with
+    probability ``rate * w``. The largest ``top`` that keeps all probabilities below one is
+    taken. A window orders the classes of one source.
+    """
+    rows = classes.filter(F.col("w") > 0).alias("c").join(
+        _small(plan).alias("p"), F.col("c.source").eqNullSafe(F.col("p.source"))).select("c.source", "w", "words", "wanted")
+    along = Window.partitionBy("source").orderBy(F.desc("w"))
+    sure = F.coalesce(F.sum("words").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    mass = F.sum(F.col("words") * F.col("w")).over(along.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.select("source", "w", sure.alias("sure"), ((F.col("wanted") - sure) / mass).alias("rate"))
+    best = F.max_by(F.struct("rate", F.col("w").alias("top"), "sure"), "w").alias("b")
+    return rows.filter(F.col("rate") * F.col("w") < 1).groupBy("source").agg(best).select("source", "b.*")
+
+
 def _odds(p: Column) -> Column:
     return p / (1 - p)
 
@@ -67,25 +93,36 @@ def _rank_variable(draw: Column, part: Column) -> Column:
     return F.when((part > 0) & (part < 1), x / (1 + x))
 
 
+def _part(size: Column, rate: Column, top: Column) -> Column:
+    """Inclusion probability of a document: 1 for a certain one, 0 without words."""
+    return F.when(_weight(size) > top, 1.0).otherwise(rate * _weight(size))
+
+
 def thresholds(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = WEIGHTS, share: float = SHARE,
                most: float = MAX_COPIES) -> DataFrame:
-    """One row per source: target, whole copies, sampled part, and the last rank taken.
+    """One row per source: target, whole copies, inclusion rate, and the last rank taken.
 
     ``docs`` has source, size, draw and tie. Rows that agree in draw and tie are repeated rows;
     the cut may fall among them, so the last such group taken comes with its number of rows
     and how many of them are taken.
     """
-    sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
+    classes = scratch.keep(docs.groupBy("source", _weight(F.col("size")).alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "classes")
+    sizes = classes.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum("words").alias("source_size"))
     plan = targets(sizes, weights, share, most)
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(copies + F.lit(1e-12))
-    part = F.greatest(copies - whole, F.lit(0.0))
-    plan = plan.select("*", whole.cast("long").alias("whole"), part.alias("part"),
+    plan = plan.select("*", whole.cast("long").alias("whole"),
                        F.greatest(F.lit(0.0), F.col("target") - whole * F.col("source_size")).alias("wanted"),
                        F.ceil(F.sqrt("n_docs")).alias("n_buckets"))
+    plan = scratch.keep(plan, "whole_copies")
+    plan = plan.alias("p").join(inclusion(classes, plan).alias("i"), F.col("p.source").eqNullSafe(F.col("i.source")), "left").select(
+        "p.source", "source_size", "target", "whole", "n_buckets", (F.col("wanted") - F.coalesce("sure", F.lit(0))).alias("wanted"),
+        F.coalesce("rate", F.lit(0.0)).alias("rate"), F.coalesce("top", F.lit(0.0)).alias("top"))
     plan = scratch.keep(plan, "plan")
     ranked = docs.alias("d").join(_small(plan).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(
-        "d.source", "size", "tie", "wanted", "n_buckets", _rank_variable(F.col("draw"), F.col("part")).alias("rank")
+        "d.source", "size", "tie", "wanted", "n_buckets",
+        _rank_variable(F.col("draw"), _part(F.col("size"), F.col("rate"), F.col("top"))).alias("rank")
     ).filter(F.col("rank").isNotNull())
     bucket = F.floor(F.col("rank") * F.col("n_buckets"))
     ranked = ranked.withColumn("bucket", bucket)
@@ -107,7 +144,7 @@ def thresholds(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = WEI
     p, e, x = plan.alias("p"), edge.alias("e"), last.alias("x")
     return p.join(e, F.col("p.source").eqNullSafe(F.col("e.source")), "left").join(
         x, F.col("p.source").eqNullSafe(F.col("x.source")), "left").select(
-        "p.source", "source_size", "target", "whole", "part", "n_buckets", "edge",
+        "p.source", "source_size", "target", "whole", "rate", "top", "n_buckets", "edge",
         F.col("x.last.rank").alias("last_rank"), F.col("x.last.tie").alias("last_tie"),
         F.col("x.last.taken").alias("last_taken"), F.col("x.last.rows").alias("last_rows"))
 
@@ -136,7 +173,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     """``docs`` plus size, source size, target and copies; returns the frame and the new names.
 
     Size is the number of words (null text: 0). A null source is a source of its own. A
-    source without words has target 0 and no copies. Reruns agree: draws are hashes of
+    source without words has target 0 and no copies; a text without words is taken with the
+    whole copies only. Reruns agree: draws are hashes of
     doc_id, source and text. Repeated rows share one draw; where the cut falls among them, as
     many as fit are taken, and it does not matter which.
     """
@@ -152,9 +190,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     cut = _small(written).select(F.struct("*").alias("cut"))
     names = dict(zip(("size", "source_size", "target", "copies"),
                      fresh(drawn, "size", "source_size", "target", "copies"), strict=True))
-    rank_name, cut_name, number = fresh(drawn, "rank", "cut", "number")
+    rank_name, part_name, cut_name, number = fresh(drawn, "rank", "part", "cut", "number")
+    part = _part(F.col(size), F.col("cut.rate"), F.col("cut.top"))
     found = drawn.alias("d").join(cut, F.col("d.source").eqNullSafe(F.col("cut.source"))).select(
-        "d.*", F.col("cut").alias(cut_name), _rank_variable(F.col(draw), F.col("cut.part")).alias(rank_name))
+        "d.*", F.col("cut").alias(cut_name), part.alias(part_name), _rank_variable(F.col(draw), part).alias(rank_name))
 
     def of(field: str) -> Column:
         return F.col(f"{cut_name}.{field}")
@@ -172,7 +211,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
             (of("whole") + taken).cast("long").alias(names["copies"]))
 
     whole = shown(found if not split else found.filter(~among),
-                  F.when(bucket < of("edge"), 1).when(at_edge & (here <= last), 1).otherwise(0))
+                  F.when(F.col(part_name) >= 1, 1).when(bucket < of("edge"), 1).when(at_edge & (here <= last), 1).otherwise(0))
     if split:  # repeated rows at the cut: as many of them as fit
         equal = _numbered(found.filter(among), tie, number, scratch)
         whole = whole.unionByName(shown(equal, F.when(F.col(number) <= of("last_taken"), 1).otherwise(0)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,6 +87,35 @@ def mix_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
         stopped |= above
 
 
+def pareto_copies(docs, target):
+    """(id, size, draw, tie) of one source and its target -> {id: copies}; ids are unique here."""
+    total = sum(d[1] for d in docs)
+    whole = math.floor(target / total + 1e-12) if total else 0
+    left = max(0.0, target - whole * total)
+    weight = {d[0]: 2 ** (d[1].bit_length() - 1) if d[1] else 0 for d in docs}
+    sure, open_ = set(), [d for d in docs if d[1]]
+    while True:
+        mass = sum(d[1] * weight[d[0]] for d in open_)
+        rate = left / mass if mass else 0
+        heavy = max((weight[d[0]] for d in open_), default=0)
+        if rate * heavy < 1:
+            break
+        certain = {d[0] for d in open_ if weight[d[0]] == heavy}
+        left -= sum(d[1] for d in open_ if d[0] in certain)
+        sure |= certain
+        open_ = [d for d in open_ if d[0] not in certain]
+
+    def rank(d):
+        p = rate * weight[d[0]]
+        return d[2] / (1 - d[2]) / (p / (1 - p))
+
+    copies, words = {d[0]: whole + (d[0] in sure) for d in docs}, 0
+    for d in sorted(open_ if rate else [], key=lambda d: (rank(d), d[3])):
+        copies[d[0]] += words + d[1] / 2 <= left
+        words += d[1]
+    return copies
+
+
 def repeats(docs, length=100):
     """(doc_id, text) -> {doc_id: (bytes, removed, runs, digest of the rest)}; ids are unique here."""
     seen, out = set(), {}
