@@ -28,11 +28,10 @@ DATE = (r"(?<![\d./-])(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])
 SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"
 PHONE = (r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)"
          r"|(?<![\w+])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)")
-CARD = r"(?<![\w+.-])(?:\d{13,19}|\d(?:[ -]?\d){12,18})(?!\d)"
-LONG_CARD = r"(?<![\w+.-])\d(?:[ -]?\d){12,18}(?!\d)"
+CARD = r"(?<![\w+.-])\d(?:[ -]?\d){12,18}(?!\d)"
 SECRET = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)\w{6,64}|(?<![A-Za-z0-9])[0-9a-f]{40}(?![A-Za-z0-9])"
 FIRST = "|".join((EMAIL, DATE, SSN, IPV4, PHONE))
-ANY = "|".join((FIRST, IBAN, CARD, SECRET))
+ANY = "|".join((FIRST, SECRET))
 
 # characters of an account number by country
 IBAN_LENGTHS = {
@@ -184,21 +183,17 @@ def _valid_values(body: Column) -> Column:
         return let(ordered, lambda vs: F.when(F.size(vs) > 0, F.concat(F.lit(before + "(?:"), F.array_join(vs, "|"), F.lit(")" + after))))
 
     return F.filter(F.array(pattern(IBAN, _account_in, "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"),
-                            pattern(LONG_CARD, _card_in, r"(?<![\w+.-])", r"(?!\d)")), lambda p: p.isNotNull())
+                            pattern(CARD, _card_in, r"(?<![\w+.-])", r"(?!\d)")), lambda p: p.isNotNull())
 
 
 def _pattern(values: Column) -> Column:
-    """``ANY`` for a text with valid numbers: they come before longer matches that are none, and
-    no failing account number takes one of them along."""
-    guard = F.concat(F.lit("(?! ?(?:"), F.array_join(values, "|"), F.lit("))"))
-    iban = F.concat(F.lit(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:"), guard, F.lit(" ?[A-Z0-9]{4}){2,7}(?:"), guard,
-                    F.lit(" ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"))
-    return F.concat(F.lit(FIRST + "|"), F.array_join(values, "|"), F.lit("|"), iban, F.lit("|" + CARD + "|" + SECRET))
+    """``ANY`` for a text with valid account or card numbers."""
+    return F.concat(F.lit(FIRST + "|"), F.array_join(values, "|"), F.lit("|" + SECRET))
 
 
 def _card(m: Column, key: str) -> Column:
     """All digits but the last are permuted; the last keeps its distance from the right check
-    digit, so valid numbers stay valid and others do not become so."""
+    digit, so valid numbers stay valid; only valid ones are found."""
 
     def of(digits: Column) -> Column:
         n = F.length(digits) - 1
@@ -299,8 +294,9 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text") -> tuple[D
     """``docs`` with personal data replaced in ``text``, plus a count; returns the frame and its name.
 
     E-mail addresses, telephone, card, account and social security numbers, IPv4 addresses,
-    dates, access keys, passwords and digests are replaced. Texts keep their length, but for
-    IPv4 addresses. A valid account or card number ends where its check digits and length say,
+    dates, access keys, passwords and digests are replaced and counted. Account and card numbers
+    with wrong check digits and days that do not exist stay and do not count. Texts keep their
+    length, but for IPv4 addresses. A valid account or card number ends where its check digits and length say,
     whatever word follows. Null and empty texts stay as they are with count 0. Other columns pass
     through, whatever their names; repeated rows change alike.
     """
@@ -308,10 +304,14 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text") -> tuple[D
     nothing = F.struct(body.alias("text"), F.lit(0).alias("n"))
 
     def replaced(found: Column, regex: Column) -> Column:
-        return F.when(F.size(found) == 0, nothing).otherwise(let(F.split(body, regex, -1), lambda parts: F.struct(
-            F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(
-                found, lambda m, i: F.concat(pseudonym(m, key), F.get(parts, i + 1))), "")).alias("text"),
-            F.size(found).alias("n"))))
+        def joined(new: Column) -> Column:
+            return let(F.split(body, regex, -1), lambda parts: F.struct(
+                F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(
+                    new, lambda p, i: F.concat(p, F.get(parts, i + 1))), "")).alias("text"),
+                F.size(F.filter(new, lambda p, i: p != F.get(found, i))).alias("n")))
+
+        return F.when(F.size(found) == 0, nothing).otherwise(
+            let(F.transform(found, lambda m: pseudonym(m, key)), joined))
 
     def search(values: Column) -> Column:
         regex = F.when(F.size(values) == 0, F.lit(ANY)).otherwise(_pattern(values))
