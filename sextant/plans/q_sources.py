@@ -149,6 +149,26 @@ def append_ledger(spark, sf):
     return L.append_ledger(both.drop("_h"), path, keys, "seq")
 
 
+@register("a08_export_ledger", Q.query(Q.FUNDING_RAW, select="""
+SELECT form, symbol, funding_time, arg_min(funding_rate, seq) AS funding_rate, min(seq) AS seq FROM raw_funding, (SELECT unnest(['csv', 'parquet']) AS form) GROUP BY form, symbol, funding_time"""))
+def export_ledger(spark, sf):
+    rows = P.funding_events(spark, sf).select("symbol", "funding_time", "funding_rate", "seq", F.lit("public").alias("source"))
+    root = shared_folder(spark)
+    ledger = L.append_ledger(rows, f"{root}/funding_events", L.LEDGER_KEYS["funding_events"], "seq")
+    L.export_ledger(spark, root, f"{root}/export")
+    text = spark.read.schema(ledger.schema).option("header", True).csv(f"{root}/export/funding_events.csv")
+    columns = spark.read.parquet(f"{root}/export/funding_events.parquet")
+    both = text.withColumn("form", F.lit("csv")).unionByName(columns.withColumn("form", F.lit("parquet")))
+    return both.select("form", "symbol", "funding_time", "funding_rate", "seq")
+
+
+@register("a09_content_run_id", Q.query(select="""
+SELECT o_orderkey, substr(sha256('{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '"}'), 1, 24) AS run_id FROM orders"""))
+def content_run_id(spark, sf):
+    manifest = F.struct("o_orderkey", "o_orderpriority")
+    return P.table(spark, sf, "orders").select("o_orderkey", L.content_run_id(manifest).alias("run_id"))
+
+
 @register("a09_melt_with_run_id", Q.query(Q.DAILY, select="SELECT ts, symbol AS model, quote AS value, 'run-1' AS run_id FROM bars"))
 def melt_with_run_id(spark, sf):
     wide = bars(spark, sf).groupBy("ts").pivot("symbol", list(PRIORITIES)).agg(F.first("quote"))
@@ -209,6 +229,25 @@ def config_catalog(spark, sf):
     return L.config_catalog(rows, fields).select("config_id", "family", "target_vol", "matches")
 
 
+@register("a12_catalog_check", Q.query(CONFIGS, CATALOG, select="SELECT count(DISTINCT config_id) AS configurations FROM ids"))
+def catalog_check(spark, sf):
+    fields = ("family", "target_vol")
+    return L.catalog_check(L.config_catalog(flat_configs(spark, sf).select(*fields).withColumn("config_id", B.config_id(fields)), fields))
+
+
+@register("a12_write_catalog", Q.query(CONFIGS, CATALOG, select="""
+SELECT DISTINCT part, config_id, '{"family":"' || family || '","target_vol":' || target_vol || '}' AS config
+FROM ids, (SELECT unnest(['all_tested', 'selected']) AS part) WHERE part = 'all_tested' OR target_vol > 1"""))
+def write_catalog(spark, sf):
+    fields = ("family", "target_vol")
+    catalog = L.config_catalog(flat_configs(spark, sf).select(*fields).withColumn("config_id", B.config_id(fields)), fields)
+    path = shared_folder(spark)
+    L.write_catalog(catalog, catalog.select("config_id", (F.col("target_vol") > 1).alias("selected")), path)
+    parts = [spark.read.schema("config_id string, config string, selected boolean").json(f"{path}/{part}").select(
+        F.lit(part).alias("part"), "config_id", "config") for part in ("all_tested", "selected")]
+    return parts[0].unionByName(parts[1])
+
+
 @register("a13_headline_grid", Q.query(CONFIGS, select="""
 SELECT config_id, validation_net_sharpe FROM cfg WHERE validation_annual_turnover > 3 ORDER BY validation_net_sharpe DESC, config_id LIMIT 250"""))
 def headline_grid(spark, sf):

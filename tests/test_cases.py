@@ -120,6 +120,16 @@ def test_chosen_configurations_are_held_as_each_alone(spark):
     assert len({(r.config_id, r.pos, r.symbol) for r in got}) == len(got)
 
 
+def test_catalog_with_a_wrong_id_is_an_error(spark):
+    rows = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "family string, target double")
+    good = rows.withColumn("config_id", B.config_id(("family", "target")))
+    assert L.catalog_check(L.config_catalog(good, ("family", "target"))).first().configurations == 2
+    bad = good.withColumn("target", F.col("target") + 1)
+    assert not any(r.matches for r in L.config_catalog(bad, ("family", "target")).collect())
+    with pytest.raises(Exception, match="configuration hash mismatch"):
+        L.catalog_check(L.config_catalog(bad, ("family", "target"))).collect()
+
+
 def test_splice_scales_older_rows_that_stay_untradable(spark):
     main = T.with_pos(days(spark, [(d, "A", 20.0 + d) for d in range(14, 30)], "symbol string, close double"), T.DAY)
     old = T.with_pos(days(spark, [(d, "A", (20.0 + d) / 2) for d in range(1, 21)], "symbol string, close double"), T.DAY)
