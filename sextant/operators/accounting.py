@@ -394,14 +394,14 @@ def round_qty(quantity: Column, step: Column, min_qty: Column | None = None) ->
     return F.when((min_qty > 0) & (F.abs(rounded) < min_qty), F.lit(0.0)).otherwise(rounded)
 
 
-def exchange_rules(info: DataFrame) -> DataFrame:
-    """Step, minimum quantity and notional per symbol from nested filters (symbol, filters array of maps)."""
-    x = info.select("symbol", F.explode("filters").alias("_f"))
+def exchange_rules(info: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Step, minimum quantity and notional per symbol from nested filters (keys, filters array of maps)."""
+    x = info.select(*keys, F.explode("filters").alias("_f"))
 
     def pick(kind: str, field: str) -> Column:
         return F.max(F.when(F.col("_f")["filterType"] == kind, F.col("_f")[field].cast("double")))
 
-    return x.groupBy("symbol").agg(
+    return x.groupBy(*keys).agg(
         pick("PRICE_FILTER", "tickSize").alias("tick_size"), pick("LOT_SIZE", "stepSize").alias("step_size"),
         pick("LOT_SIZE", "minQty").alias("min_qty"), pick("MIN_NOTIONAL", "notional").alias("min_notional"))
 
