@@ -27,7 +27,7 @@ def wide(tmp_path_factory):
 
 @pytest.mark.parametrize("name", (
     "b14_coverage_stats", "b22_eligible_symbols", "g16_round_quantity", "g17_rounded_portfolio",
-    "g18_rebalance_sheet", "g20_group_attribution", "g22_exposure", "g22_net_exposure"))
+    "g18_rebalance_sheet", "g20_group_attribution", "g22_exposure", "g22_net_exposure", "k13_holdings_weekly"))
 def test_names_cut_to_four_digits(spark, wide, name):
     problem, rows = oracle.compare(E.queries()[name](spark, wide), oracle.connect(wide), E.oracle_sql()[name])
     assert problem is None and rows > 0, problem
