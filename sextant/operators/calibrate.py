@@ -342,9 +342,14 @@ def combine(fc: DataFrame, weights: DataFrame, on: Sequence[str] = ("rule",), ca
     x = fc.join(weights, list(on))
     value = capped(F.col("value") * F.col("scalar"), cap) if "scalar" in weights.columns else F.col("value")
     dm = F.max("fdm") if "fdm" in weights.columns else F.lit(1.0)
-    total = F.sum(F.when(value.isNotNull(), F.col("weight")))
-    g = x.groupBy(*keys, "ts", "symbol", "pos").agg(
-        (F.sum(value * F.col("weight")) / F.nullif(total, F.lit(0.0)) * dm).alias("_f"))
+    # few rules meet in a cell; they are added in a fixed order, so equal reruns rank alike
+    terms = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(
+        *on, (value * F.col("weight")).alias("_p"), F.col("weight").cast("double").alias("_w")))))
+
+    def add(field: str) -> Column:
+        return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.coalesce(t[field], F.lit(0.0)))
+
+    g = x.groupBy(*keys, "ts", "symbol", "pos").agg((add("_p") / F.nullif(add("_w"), F.lit(0.0)) * dm).alias("_f"))
     return g.withColumn("f", capped(F.col("_f"), cap)).drop("_f")
 
 

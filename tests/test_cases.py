@@ -301,3 +301,14 @@ def test_blocks_of_one_hot_key_are_bounded(spark):
     cell = df.groupBy(F.floor(F.col("pos") / 600)).count().agg(F.max("count")).first()[0]
     assert max(r.n for r in sizes) <= 20_000 + cell
     assert all(a.high < b.low for a, b in zip(sizes, sizes[1:]))
+
+
+def test_combined_forecast_does_not_depend_on_the_order_of_the_rules(spark):
+    rows = [("A", 7.1, "r1"), ("A", 19.3, "r2"), ("A", 3.7, "r3"), ("A", 11.9, "r4"), ("A", 0.3, "r5")]
+    weights = spark.createDataFrame([(f"r{i}", w) for i, w in enumerate((0.1, 0.2, 0.3, 0.7, 0.9), 1)], "rule string, weight double")
+
+    def one(order):
+        fc = spark.createDataFrame([(0, *rows[i]) for i in order], "pos long, symbol string, value double, rule string").coalesce(1)
+        return K.combine(fc.withColumn("ts", F.lit("2024-01-01")), F.broadcast(weights)).first().f
+
+    assert len({one(o) for o in ((0, 1, 2, 3, 4), (4, 3, 2, 1, 0), (2, 4, 0, 3, 1), (3, 0, 4, 1, 2))}) == 1
