@@ -252,21 +252,24 @@ icpath AS (SELECT g.ts, g.pos, g.rule, coalesce(s.pw, {1 / 3!r}) AS weight FROM
 icw AS (SELECT ts, pos, rule, y / sum(y) OVER (PARTITION BY pos) AS weight FROM icsm)"""
 
 
-def ic_weight_path(spark, sf):
-    px = panel(spark, sf).withColumn("open", F.col("close"))
-    return K.ic_weights(forecasts(spark, sf), px, refits(spark, sf), calendar(spark, sf), RULES, (2, 5), cap=0.4, smooth=25)
+def ic_weight_path(px):
+    """Weights from a panel that is written once; every step reads the small panel instead of the orders."""
+    cal = P.calendar(px, T.WEEK)
+    return K.ic_weights(X.breakout_raw(px, HORIZONS), px.withColumn("open", F.col("close")), K.refit_dates(cal, "semiannual", LEAST, None),
+                        cal, RULES, (2, 5), cap=0.4, smooth=25)
 
 
 @register("e14_ic_weights", Q.query(*BASE, CAL, refits_sql("semiannual"), ICW, recursive=True, select="SELECT ts, rule, round(weight, 6) AS weight FROM icw"))
 def ic_weights(spark, sf):
-    return shown(ic_weight_path(spark, sf), "ts", "rule", weight="weight")
+    return shown(ic_weight_path(cut_lineage(panel(spark, sf))), "ts", "rule", weight="weight")
 
 
 @register("e14_ic_weighted_forecast", Q.query(*BASE, CAL, refits_sql("semiannual"), ICW, recursive=True, select=f"""
 SELECT ts, symbol, round({cap('v')}, 6) AS f FROM (SELECT f.ts, f.symbol, sum(value * weight) / nullif(sum(weight) FILTER (value IS NOT NULL), 0) AS v
   FROM fc f JOIN icw w ON w.rule = f.rule AND w.pos = f.pos GROUP BY f.ts, f.symbol)"""))
 def ic_weighted_forecast(spark, sf):
-    df = K.combine(forecasts(spark, sf), ic_weight_path(spark, sf).select("rule", "pos", "weight"), ("rule", "pos"))
+    px = cut_lineage(panel(spark, sf))
+    df = K.combine(X.breakout_raw(px, HORIZONS), ic_weight_path(px).select("rule", "pos", "weight"), ("rule", "pos"))
     return shown(df, "ts", "symbol", f="f")
 
 

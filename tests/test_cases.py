@@ -312,3 +312,11 @@ def test_combined_forecast_does_not_depend_on_the_order_of_the_rules(spark):
         return K.combine(fc.withColumn("ts", F.lit("2024-01-01")), F.broadcast(weights)).first().f
 
     assert len({one(o) for o in ((0, 1, 2, 3, 4), (4, 3, 2, 1, 0), (2, 4, 0, 3, 1), (3, 0, 4, 1, 2))}) == 1
+
+
+def test_ic_weights_read_the_orders_once(spark):
+    import __spark_entry__ as E
+
+    for name in ("e14_ic_weights", "e14_ic_weighted_forecast"):
+        plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "orders.parquet" not in plan  # the panel is written before, later steps read it
