@@ -88,6 +88,27 @@ def rolling_mean(x, n: int, w: WindowSpec, min_bars: int | None = None) -> Colum
     return F.when(F.count(x).over(frame) >= (min_bars or n), F.avg(x).over(frame))
 
 
+def trailing_parts(df: DataFrame, parts: Mapping[str, tuple[Callable[[Column], Column], str]], length: str,
+                   keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Aggregates over the last ``length`` bars (a column, constant in a series), in two parts to be merged.
+
+    A series is cut into chunks of ``length`` bars, so a frame is the end of one chunk and the start of
+    the next; both are running aggregates, and the work per row does not grow with ``length``.  ``parts``
+    maps a name to an aggregate and its column; ``{name}_a`` is the earlier part, ``{name}_b`` the later.
+    """
+    chunk = F.floor(F.col("pos") / F.col(length)).cast("bigint")
+    twice = df.withColumn("_old", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+        "_chunk", chunk + F.col("_old")).withColumn("_at", F.col("pos") + F.col("_old") * F.col(length))
+    w = Window.partitionBy(*keys, "_chunk")
+    start = w.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    # rows of the chunk before that are younger than ``length`` bars; one of exactly that age comes after the row
+    end = w.orderBy(F.desc("_at"), "_old").rowsBetween(Window.unboundedPreceding, 0)
+    later = {f"{n}_b": agg(F.when(F.col("_old") == 0, F.col(c))).over(start) for n, (agg, c) in parts.items()}
+    earlier = {f"{n}_a": agg(F.when(F.col("_old") == 1, F.col(c))).over(end) for n, (agg, c) in parts.items()}
+    both = twice.select("*", *[c.alias(n) for n, c in {**later, **earlier}.items()])
+    return both.filter("_old = 0").drop("_old", "_chunk", "_at")
+
+
 def simple_returns(df: DataFrame, value: str = "close", k: int = 1, out: str = "ret",
                    keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """``k``-bar return; null where the earlier bar is absent."""

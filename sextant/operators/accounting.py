@@ -17,7 +17,7 @@ from sextant.functions import series as S
 from sextant.functions import spread as D
 from sextant.functions import timeaxis as T
 from sextant.functions.dedupe import keep_last
-from sextant.operators.signals import diff_vol, ffill
+from sextant.operators.signals import diff_vol, ffill, pooled_diff_vol
 
 BARS_PER_YEAR = {"1d": 365, "4h": 365 * 6, "1h": 365 * 24}
 # slots of an hour, the finest grain at which a key is cut
@@ -25,15 +25,19 @@ ASOF_CELL = 2 * T.HOUR
 
 
 def size_positions(df: DataFrame, *, value: float, target: float, freq: str, lookback: int,
-                   max_leverage: float | None = None, f: str = "f") -> DataFrame:
+                   max_leverage: float | None = None, f: str = "f", shared_scale: int | None = None) -> DataFrame:
     """Forecast to units and notional: (f / 10) x per-bar risk / deviation of price differences.
 
-    A series with fewer prices than ``lookback`` uses as many as it has.
+    A series with fewer prices than ``lookback`` uses as many as it has.  ``shared_scale`` is given where
+    several rows may share a symbol and a bar: the decimals of their prices.
     """
     risk = value * target / math.sqrt(BARS_PER_YEAR.get(freq, 365))
-    vol = diff_vol(df, lookback, out="_vol", backfill=True, shorten=True)
-    units = vol.withColumn("_u", F.coalesce(F.col(f), F.lit(0.0)) / 10.0 * (risk / F.col("_vol")))
-    units = ffill(units, "_u", "units").withColumn("units", F.coalesce("units", F.lit(0.0)))
+    if shared_scale is None:
+        vol = diff_vol(df, lookback, out="_vol", backfill=True, shorten=True)
+    else:
+        vol = pooled_diff_vol(df, lookback, shared_scale, out="_vol")
+    # the deviation is never null here, so neither are the units
+    units = vol.withColumn("units", F.coalesce(F.col(f), F.lit(0.0)) / 10.0 * (risk / F.col("_vol")))
     out = units.withColumn("notional", F.col("units") * F.col("close"))
     if max_leverage is not None:
         cap = max_leverage * value

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions import series as S
+from sextant.session import cut_lineage
 
 DAYS_PER_YEAR = 365
 CAP = 20.0
@@ -71,32 +72,76 @@ def diff_vol(df: DataFrame, lookback: int, out: str = "vol", backfill: bool = Fa
     diffs = S.over_bars(df, lambda w: {"_d": F.col("close") - S.at("close", -1, w)}, before=1)
     if shorten:
         counts = df.filter(F.col("close").isNotNull()).groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
-        diffs = diffs.join(counts.filter(F.col("_n") < lookback), "symbol", "left")
+        diffs = diffs.join(counts, "symbol", "left").withColumn("_look", _shortened(F.coalesce("_n", F.lit(0)), lookback))
+        vol = S.trailing_parts(diffs, {"_k": (F.count, "_d"), "_m": (F.avg, "_d"), "_v": (F.var_pop, "_d"), "_min": (F.min, "_d")}, "_look")
+        na, nb = F.col("_k_a"), F.col("_k_b")
+        n = na + nb
+        # the mean of equal values is that value, so they keep a deviation of exactly zero
+        ma, mb = (F.when(F.col(f"_v_{p}") == 0, F.col(f"_min_{p}")).otherwise(F.col(f"_m_{p}")) for p in ("a", "b"))
+        between = F.when((na > 0) & (nb > 0), F.pow(ma - mb, F.lit(2.0)) * na * nb / n).otherwise(F.lit(0.0))
+        squares = F.coalesce(F.col("_v_a") * na, F.lit(0.0)) + F.coalesce(F.col("_v_b") * nb, F.lit(0.0)) + between
+        enough = n >= F.greatest(F.lit(2), F.floor(F.col("_look") / 2))
+        vol = vol.withColumn(out, F.when(enough, F.nullif(F.sqrt(squares / F.nullif(n - 1, F.lit(0))), F.lit(0.0)))).drop(
+            "_d", "_n", "_look", *[f"{c}_{p}" for c in ("_k", "_m", "_v", "_min") for p in ("a", "b")])
     else:
-        diffs = diffs.withColumn("_n", F.lit(None).cast("bigint"))
-    # the few bars of a short series are gathered per bar; other series gather nothing
-    few = F.when(F.col("_n").isNotNull() & F.col("_d").isNotNull(), F.struct("pos", "_d"))
-    vol = S.over_bars(diffs, lambda w: {
-        out: S.rolling_std("_d", lookback, w, max(2, lookback // 2)),
-        "_few": F.collect_list(few).over(S.trailing(w, lookback))}, before=lookback - 1)
-    length = F.greatest(F.lit(2), F.col("_n"))
-    near = F.transform(F.filter("_few", lambda x: x["pos"] > F.col("pos") - length), lambda x: x["_d"])
-    vol = vol.withColumn("_few", near)
-    n = F.size("_few")
-    mean = F.aggregate("_few", F.lit(0.0), lambda acc, x: acc + x) / F.nullif(n, F.lit(0))
-    vol = vol.withColumn("_mean", mean)
-    spread = F.sqrt(F.aggregate("_few", F.lit(0.0), lambda acc, x: acc + F.pow(x - F.col("_mean"), F.lit(2.0))) / F.nullif(n - 1, F.lit(0)))
-    short = F.when(n >= F.greatest(F.lit(2), F.floor(length / 2)), spread)
-    vol = vol.withColumn(out, F.nullif(F.when(F.col("_n").isNotNull(), short).otherwise(F.col(out)), F.lit(0.0))).drop(
-        "_d", "_n", "_few", "_mean")
+        vol = S.over_bars(diffs, lambda w: {out: S.rolling_std("_d", lookback, w, max(2, lookback // 2))}, before=lookback - 1)
+        vol = vol.withColumn(out, F.nullif(F.col(out), F.lit(0.0))).drop("_d")
     if not backfill:
         return vol
+    return _filled(vol, out)
+
+
+def _shortened(n: Column, lookback: int) -> Column:
+    return F.least(F.lit(lookback), F.greatest(F.lit(2), n))
+
+
+def _filled(vol: DataFrame, out: str) -> DataFrame:
+    """``out`` filled from later bars, then from earlier ones and with 1e-8."""
     turned = vol.withColumn("pos", -F.col("pos"))
     filled = S.running(turned, {"_back": ("last", out, True)}).withColumn("pos", -F.col("pos"))
     filled = S.running(filled, {"_fwd": ("last", "_back", True)})
     return filled.withColumn(out, F.coalesce("_fwd", F.lit(1e-8))).drop("_back", "_fwd")
 
 
+def pooled_diff_vol(df: DataFrame, lookback: int, scale: int, out: str = "vol") -> DataFrame:
+    """:func:`diff_vol` with both options where rows of several members share a name and a bar.
+
+    Each row is paired with every row of the bar before, so a bar of ``k`` rows after one of ``m`` holds
+    ``k * m`` differences.  They are not formed: a bar keeps count, sum and sum of squares of its prices,
+    as integers (``close`` has at most ``scale`` decimals), and frames add those exactly.  Equal rows are
+    one result row, whose own differences weigh once per equal row and pair, as a grouped self-join has it.
+    """
+    rows = cut_lineage(df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_g")))
+    cents = F.round(F.col("close") * F.lit(10.0 ** scale)).cast("decimal(18,0)")
+    whole = lambda c: c.cast("decimal(38,0)")
+    g = F.when(F.col("_c").isNotNull(), F.col("_g"))
+    cells = cut_lineage(rows.withColumn("_c", cents).groupBy("symbol", "pos").agg(
+        F.sum(F.coalesce(g, F.lit(0))).alias("_k"), whole(F.sum(F.col("_c") * g)).alias("_x"),
+        whole(F.sum(F.col("_c") * F.col("_c") * g)).alias("_xx"), F.min("_g").alias("_few"), F.max("_g").alias("_many")))
+    looks = cells.groupBy("symbol").agg(_shortened(F.sum("_k"), lookback).alias("_look"))
+    paired = S.over_bars(cells, lambda w: {"_p": S.at(F.struct("_k", "_x", "_xx"), -1, w)}, before=1)
+    k, m = F.col("_k"), F.col("_p._k")
+    paired = paired.join(looks, "symbol").select(
+        "symbol", "pos", "_look", "_few", "_many", F.greatest(F.coalesce(m, F.lit(0)), F.lit(1)).alias("_m"), (k * m).alias("_n"),
+        whole(m * F.col("_x") - k * F.col("_p._x")).alias("_s"),
+        whole(whole(m * F.col("_xx")) - whole(2 * whole(F.col("_x") * F.col("_p._x"))) + whole(k * F.col("_p._xx"))).alias("_q"))
+    ends = S.trailing_parts(paired, {c: (F.sum, c) for c in ("_n", "_s", "_q")}, "_look")
+    n, s, q = (F.coalesce(F.col(f"{c}_a"), F.lit(0)) + F.coalesce(F.col(f"{c}_b"), F.lit(0)) for c in ("_n", "_s", "_q"))
+    ends = ends.select("symbol", "pos", "_look", "_m", "_few", "_many", n.alias("_n"), (
+        whole(whole(q) * n) - whole(whole(s) * whole(s))).cast("double").alias("_spread"))
+
+    def deviation(times: Column) -> Column:
+        count = times * F.col("_n")
+        value = F.sqrt(times * F.col("_spread") / F.nullif(F.col("_n"), F.lit(0)) / F.nullif(count - 1, F.lit(0))) / F.lit(10.0 ** scale)
+        return F.when(count >= F.greatest(F.lit(2), F.floor(F.col("_look") / 2)), F.nullif(value, F.lit(0.0)))
+
+    # equal rows reach the least number of differences earlier; other bars fill from the first row that has it
+    first = F.coalesce(deviation(F.col("_m") * F.col("_few")), deviation(F.col("_m") * F.col("_many")))
+    filled = _filled(ends.withColumn("_dev", first).drop("_few", "_many"), "_dev")
+    return rows.join(filled, ["symbol", "pos"]).withColumn(
+        out, F.coalesce(deviation(F.col("_m") * F.col("_g")), "_dev")).select(*df.columns, out)
+
+
 def ewmac(
     df: DataFrame,
     rules: Sequence[tuple[int, int]],

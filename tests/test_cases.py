@@ -320,3 +320,19 @@ def test_ic_weights_read_the_orders_once(spark):
     for name in ("e14_ic_weights", "e14_ic_weighted_forecast"):
         plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "orders.parquet" not in plan  # the panel is written before, later steps read it
+
+
+@pytest.mark.parametrize("lookback", (6, 40))
+def test_shortened_deviation_equals_frames_taken_one_by_one(spark, lookback):
+    rng = np.random.default_rng(5)
+    rows = [(s, int(p), float(c)) for s, n in (("A", 30), ("B", 7), ("C", 55)) for p, c in zip(
+        np.sort(rng.choice(90, n, replace=False)) - 20, np.where(np.arange(n) < n // 2, 5.0, rng.normal(100, 3, n)))]
+    df = spark.createDataFrame(rows, "symbol string, pos long, close double")
+    got = {(r.symbol, r.pos): r.vol for r in X.diff_vol(df, lookback, shorten=True).collect()}
+    for s in "ABC":
+        close = {p: c for x, p, c in rows if x == s}
+        look = min(lookback, max(2, len(close)))
+        for p in close:
+            d = [close[b] - close[b - 1] for b in range(p - look + 1, p + 1) if b in close and b - 1 in close]
+            want = np.std(d, ddof=1) if len(d) >= max(2, look // 2) else 0.0
+            assert got[s, p] == (None if want == 0 else pytest.approx(want, rel=1e-12))
