@@ -36,6 +36,10 @@ def _block(block: int) -> Column:
     return F.floor(F.col("pos") / F.lit(block)).cast("bigint")
 
 
+def _place(order: Sequence[str]) -> Column:
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def over_bars(
     df: DataFrame,
     build: Callable[[WindowSpec], Mapping[str, Column]],
@@ -147,13 +151,14 @@ def running(
     *,
     keys: Sequence[str] = ("symbol",),
     block: int | str = BLOCK,
+    order: Sequence[str] = ("pos",),
 ) -> DataFrame:
     """Add running values from the start of each series.
 
     ``specs`` maps a new column to ``(kind, column, include_current)`` with kind
     ``sum``, ``max``, ``min``, ``product``, ``count`` or ``last`` (the last
     non-null value).  ``block`` is a number of bars, or a column of block numbers
-    that never decrease along ``pos``.
+    that never decrease along ``pos``.  ``order`` begins with ``pos``; more columns order rows of one bar.
     """
     base = df.withColumn("_blk", F.col(block) if isinstance(block, str) else _block(block))
     exprs = {}
@@ -161,7 +166,7 @@ def running(
         exprs[name] = (kind, F.col(col) if isinstance(col, str) else col, inclusive)
     for i, (name, (kind, col, _)) in enumerate(exprs.items()):
         base = base.withColumn(f"_x{i}", col)
-    w = Window.partitionBy(*keys, "_blk").orderBy("pos")
+    w = Window.partitionBy(*keys, "_blk").orderBy(*order)
     by_block = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     local, summary, carry, final = [], [], [], []
     for i, (name, (kind, _, inclusive)) in enumerate(exprs.items()):
@@ -169,7 +174,7 @@ def running(
         x = F.col(f"_x{i}")
         if kind == "last":
             local.append(F.last(x, ignorenulls=True).over(frame).alias(f"_l{i}"))
-            summary.append(F.max_by(x, F.when(x.isNotNull(), F.col("pos"))).alias(f"_s{i}"))
+            summary.append(F.max_by(x, F.when(x.isNotNull(), _place(order))).alias(f"_s{i}"))
             carry.append(F.last(f"_s{i}", ignorenulls=True).over(by_block).alias(f"_c{i}"))
             final.append(F.coalesce(f"_l{i}", f"_c{i}").alias(name))
         else:
@@ -237,6 +242,7 @@ def linear_recurrence(
     keys: Sequence[str] = ("symbol",),
     block: int,
     group: int = GROUP,
+    order: Sequence[str] = ("pos",),
 ) -> DataFrame:
     """Add ``y = a * y + b`` per series, taken at the rows where ``x`` is present (``y`` starts at 0).
 
@@ -246,7 +252,7 @@ def linear_recurrence(
     block is one affine map, and :func:`affine_carry` composes those exactly.
     """
     base = df.withColumn("_blk", _block(block))
-    w = Window.partitionBy(*keys, "_blk").orderBy("pos")
+    w = Window.partitionBy(*keys, "_blk").orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     pairs = list(enumerate(specs.values()))
     sources = sorted({x for _, _, x in specs.values()})
@@ -263,11 +269,11 @@ def linear_recurrence(
         for i, (_, b, x) in pairs])
 
     def first_factor(a: str, x: str) -> Column:
-        return F.min_by(F.col(a), F.when(F.col(x).isNotNull(), F.col("pos")))
+        return F.min_by(F.col(a), F.when(F.col(x).isNotNull(), _place(order)))
 
     ends = base.groupBy(*keys, "_blk").agg(*[
-        F.when(F.count(x) > 0, F.struct((first_factor(a, x) * F.exp(F.max_by(f"_s{i}", "pos"))).alias("a"),
-                                        F.max_by(f"_v{i}", "pos").alias("b"))).alias(f"_c{i}")
+        F.when(F.count(x) > 0, F.struct((first_factor(a, x) * F.exp(F.max_by(f"_s{i}", _place(order)))).alias("a"),
+                                        F.max_by(f"_v{i}", _place(order)).alias("b"))).alias(f"_c{i}")
         for i, (a, _, x) in pairs])
     carry = affine_carry(ends, [f"_c{i}" for i, _ in pairs], keys, group)
     kept = [c for c in df.columns if c not in specs]
@@ -288,13 +294,16 @@ def ewma(
     keys: Sequence[str] = ("symbol",),
     block: int = BLOCK,
     group: int = GROUP,
+    order: Sequence[str] = ("pos",),
+    most: int = 1,
 ) -> DataFrame:
     """Exponentially weighted means ``{out: (value, span)}`` along each series.
 
     An absent or null bar ages the earlier mean by one step and repeats it where
     the row exists; values may be as far apart as the series is long.  ``adjust`` divides
     by the summed weights instead of starting from the first value.  ``min_bars[out]``
-    values are needed before a mean shows.
+    values are needed before a mean shows.  With rows that share a bar, taken one after the other without
+    ageing, ``order`` says in which order and ``most`` how many a bar holds at most.
     """
     need = dict(min_bars or {})
     prior = {}
@@ -302,13 +311,13 @@ def ewma(
         seen = F.when(F.col(value).isNotNull(), F.col("pos"))
         prior[f"_p_{value}"] = ("last", seen, False)
         prior[f"_n_{value}"] = ("count", F.col(value), True)
-    out = running(df, prior, keys=keys, block=block)
+    out = running(df, prior, keys=keys, block=block, order=order)
     recur: dict[str, tuple[str, str, str]] = {}
     steepest = 0.0
     for name, (value, span) in specs.items():
         alpha = 2.0 / (span + 1.0)
         decay = -math.log1p(-alpha) if alpha < 1 else 40.0
-        steepest = max(steepest, decay)
+        steepest = max(steepest, decay + (most - 1) * math.log1p(alpha))
         first = F.col(f"_p_{value}").isNull()
         aged = F.exp((F.col("pos") - F.col(f"_p_{value}")) * F.lit(-decay))
         keep = aged if adjust else aged / (aged + F.lit(alpha))
@@ -321,7 +330,7 @@ def ewma(
             recur[f"_d_{name}"] = (f"_a_{name}", f"_w_{name}", value)
     # a factor is at least the decay to the power of its gap, so a block's product stays in range
     width = max(1, min(block, int(DECAY_RANGE / steepest)))
-    out = linear_recurrence(out, recur, keys=keys, block=width, group=group)
+    out = linear_recurrence(out, recur, keys=keys, block=width, group=group, order=order)
     kept = [c for c in df.columns if c not in specs]
     final = []
     for name, (value, _) in specs.items():

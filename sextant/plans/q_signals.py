@@ -10,6 +10,7 @@ from sextant.operators import signals as X
 from sextant.plans import panels as P
 from sextant.plans import sqltext as Q
 from sextant.plans.registry import register, shown
+from sextant.session import cut_lineage
 
 RULES = ((2, 8), (4, 16), (8, 32))
 VOL = 10
@@ -121,8 +122,16 @@ DENSE = """cells AS (SELECT c.pos, s.symbol, p.value AS close FROM (SELECT unnes
     Q.ewma_cte("b", "cells", "close", 32, 32, keep="pos"), recursive=True, select="""
 SELECT a.pos, a.symbol, round(a.y, 6) AS fast, round(b.y, 6) AS slow FROM a JOIN b USING (symbol, pos)"""))
 def ewma_null_runs(spark, sf):
-    cells = P.grid(P.positions(spark, sf), "value", step=T.DAY).select("pos", "symbol", F.col("value").alias("close"))
-    df = S.ewma(cells, {"fast": ("close", 2), "slow": ("close", 32)}, min_bars={"fast": 2, "slow": 32})
+    held = cut_lineage(P.positions(spark, sf))
+    # suppliers that share a name have rows of one bar; the SQL leaves their order open, here they go by value
+    most = held.groupBy("symbol", "pos").count().agg(F.max("count")).first()[0] or 1
+    cells = P.grid(held, "value", step=T.DAY).select("pos", "symbol", F.col("value").alias("close"))
+    df = S.ewma(cells, {"fast": ("close", 2), "slow": ("close", 32)}, min_bars={"fast": 2, "slow": 32},
+                order=("pos", "close"), most=most)
+    if most > 1:  # the SQL joins both means by name and bar, which pairs the rows of a bar
+        df = df.groupBy("pos", "symbol").agg(F.collect_list(F.struct("fast", "slow")).alias("_r"))
+        df = df.select("pos", "symbol", "_r", F.explode("_r.fast").alias("fast")).select(
+            "pos", "symbol", "fast", F.explode("_r.slow").alias("slow"))
     return shown(df, "pos", "symbol", fast="fast", slow="slow")
 
 

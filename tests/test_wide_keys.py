@@ -5,6 +5,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as E
+from sextant.plans import panels as P
 
 SF = "/root/testdata/sf0.001"
 # suppliers 0 to 9 become 996 to 1005; a second copy of the tables has them as 10000 to 10009, all named S1000
@@ -33,3 +34,27 @@ def wide(tmp_path_factory):
 def test_names_cut_to_four_digits(spark, wide, name):
     problem, rows = oracle.compare(E.queries()[name](spark, wide), oracle.connect(wide), E.oracle_sql()[name])
     assert problem is None and rows > 0, problem
+
+
+def test_means_over_rows_that_share_a_bar(spark, wide):
+    rows = sorted((r.pos, r.value) for r in P.positions(spark, wide).filter("symbol = 'S1000'").collect())
+    want = {}
+    for span, least in ((2, 2), (32, 32)):
+        alpha, y, last = 2 / (span + 1), None, None
+        for i, (pos, x) in enumerate(rows):
+            aged = None if y is None else (1 - alpha) ** (pos - last)
+            y, last = x if y is None else (y * aged + alpha * x) / (aged + alpha), pos
+            want.setdefault(pos, {}).setdefault(span, []).append(y if i + 1 >= least else None)
+    df = E.queries()["d05_ewma_null_runs"](spark, wide)
+    n = oracle.connect(wide).execute(E.oracle_sql()["d05_ewma_null_runs"]).fetchall()
+    assert df.count() == len(n)
+    got = {}
+    for r in df.filter("symbol = 'S1000'").collect():
+        got.setdefault(r.pos, []).append((r.fast, r.slow))
+    key = lambda t: tuple((v is None, v or 0.0) for v in t)
+    for pos, w in want.items():
+        pairs = sorted(((a, b) for a in w[2] for b in w[32]), key=key)
+        mine = sorted(got[pos], key=key)
+        assert len(mine) == len(pairs)
+        assert sorted(f or 0 for f, _ in mine) == pytest.approx(sorted(a or 0 for a, _ in pairs), abs=2e-6)
+        assert sorted(s or 0 for _, s in mine) == pytest.approx(sorted(b or 0 for _, b in pairs), abs=2e-6)
