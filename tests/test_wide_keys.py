@@ -58,3 +58,30 @@ def test_means_over_rows_that_share_a_bar(spark, wide):
         assert len(mine) == len(pairs)
         assert sorted(f or 0 for f, _ in mine) == pytest.approx(sorted(a or 0 for a, _ in pairs), abs=2e-6)
         assert sorted(s or 0 for _, s in mine) == pytest.approx(sorted(b or 0 for _, b in pairs), abs=2e-6)
+
+
+@pytest.fixture(scope="module")
+def pooled(tmp_path_factory):
+    """Suppliers 10010 to 10019 are all S1001: each has 12 rows and a small size, together they have 120 and the largest."""
+    folder = tmp_path_factory.mktemp("pooled")
+    con = duckdb.connect()
+    con.execute(f"""COPY (
+      SELECT k AS l_suppkey, TIMESTAMP '1995-01-02' + to_days(d::INTEGER) AS l_shipdate, 'N' AS l_returnflag,
+        CASE WHEN k < 10000 THEN 10.0::DOUBLE ELSE 40.0::DOUBLE END AS l_quantity, (1000 + k)::DOUBLE AS l_extendedprice
+      FROM (SELECT unnest(range(2000, 2030)) AS k UNION ALL SELECT unnest(range(10010, 10020))), range(100) g(d)
+      WHERE d < CASE WHEN k >= 10000 THEN 12 WHEN k % 2 = 0 THEN 100 ELSE 50 END) TO '{folder}/lineitem.parquet'""")
+    return str(folder)
+
+
+def lineitem_only(folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet'")
+    return con
+
+
+def test_least_rows_are_those_of_a_name(spark, pooled):
+    df = E.queries()["b22_eligible_symbols"](spark, pooled)
+    problem, _ = oracle.compare(df, lineitem_only(pooled), E.oracle_sql()["b22_eligible_symbols"])
+    assert problem is None, problem
+    got = {r.symbol: r.n for r in df.collect()}
+    assert got["S1001USDT"] == 120 and "S2001USDT" not in got
