@@ -104,3 +104,11 @@ def test_missing_quantities(spark, unfilled, name):
     con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{unfilled}/supplier.parquet'")
     problem, rows = oracle.compare(E.queries()[name](spark, unfilled), con, E.oracle_sql()[name])
     assert problem is None and rows > 0, problem
+
+
+def test_largest_names_are_ranked_together(spark, pooled):
+    df = E.queries()["k13_holdings_weekly"](spark, pooled)
+    problem, _ = oracle.compare(df, lineitem_only(pooled), E.oracle_sql()["k13_holdings_weekly"])
+    assert problem is None, problem
+    labels = {r.label for r in df.collect()}
+    assert {"S1001", "OTHER_NET"} <= labels and len(labels) <= 19
